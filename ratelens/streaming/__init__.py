@@ -1,0 +1,6 @@
+"""Streaming.
+
+The source material has no streaming operator: its "time series" monitoring
+is batch work over monthly partitions (see ``ratelens.plans.monitor``).  This
+package is intentionally empty.
+"""
