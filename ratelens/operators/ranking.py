@@ -16,6 +16,12 @@
 
 Every window therefore sorts at most one bucket of distinct values, and the
 result is exact whatever the splits are.
+
+Steps 2-4 cost several shuffles, so they run only when needed: one small
+aggregate measures the largest group (distinct values per key group).  If it
+holds at most ``max_group_rows`` values, a plain window per group is used
+(each task sorts at most that many rows); beyond it, the bucketed plan with
+enough buckets to keep every window task under the same bound.
 """
 
 from __future__ import annotations
@@ -26,16 +32,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_BUCKETS = 64
+from ratelens.functions.lineage import materialize
+
 SPLIT_ACCURACY = 10000
+MAX_GROUP_ROWS = 2_000_000
 
 
-def _default_buckets(df: DataFrame) -> int:
-    try:
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:  # pragma: no cover - conf always present in practice
-        n = DEFAULT_BUCKETS
-    return max(DEFAULT_BUCKETS, 4 * n)
+def plan_buckets(vc: DataFrame, keys: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS) -> int:
+    """Range buckets per group so that no window task sorts more than
+    ``max_group_rows`` distinct values (1 = a plain window per group).
+
+    Runs one aggregate; the driver receives a single number.
+    """
+    if keys:
+        largest = vc.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    else:
+        largest = vc.count()
+    largest = largest or 0
+    if largest <= max_group_rows:
+        return 1
+    # approximate splits: leave headroom so buckets stay under the bound
+    return 2 * -(-largest // max_group_rows)
 
 
 def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -62,11 +79,24 @@ def ordered_prefix(
     """Inclusive running sums of ``measures`` in ``value`` order within ``keys``.
 
     ``vc`` must hold one row per ``(keys, value)`` (distinct, non-null values).
-    Adds ``cum_<m>`` for each measure and ``next_value`` (the next larger
-    value in the group, null for the largest).
+    Adds ``cum_<m>`` (running sum) and ``tot_<m>`` (group total) for each
+    measure and ``next_value`` (the next larger value in the group, null for
+    the largest).  ``buckets``: None sizes the
+    plan from the data (see module doc); 1 forces the plain window; more
+    forces the bucketed plan.
     """
     keys = list(keys)
-    nb = buckets or _default_buckets(vc)
+    nb = buckets if buckets is not None else plan_buckets(vc, keys)
+    if nb <= 1:
+        w = Window.partitionBy(*keys).orderBy(value)
+        running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        whole = Window.partitionBy(*keys)
+        return vc.select(
+            *vc.columns,
+            *[F.sum(m).over(running).alias(f"cum_{m}") for m in measures],
+            *[F.sum(m).over(whole).alias(f"tot_{m}") for m in measures],
+            F.lead(value).over(w).alias("next_value"),
+        )
     probs = [i / nb for i in range(1, nb)]
     splits = vc.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(value, probs, SPLIT_ACCURACY)).alias("_splits")
@@ -89,6 +119,7 @@ def ordered_prefix(
             )
             for m in measures
         ],
+        *[F.sum(f"_t_{m}").over(Window.partitionBy(*keys)).alias(f"tot_{m}") for m in measures],
         F.lead("_bmin").over(wb).alias("_next_bmin"),
     )
     j = b.join(offs, keys + ["_b"])
@@ -97,6 +128,7 @@ def ordered_prefix(
     return j.select(
         *vc.columns,
         *[(F.col(f"_o_{m}") + F.sum(m).over(running)).alias(f"cum_{m}") for m in measures],
+        *[F.col(f"tot_{m}") for m in measures],
         F.coalesce(F.lead(value).over(w), F.col("_next_bmin")).alias("next_value"),
     )
 
@@ -128,8 +160,7 @@ def quantiles_from_prefix(
     nulls (global).
     """
     keys = list(keys)
-    totals = pre.groupBy(*keys).agg(F.sum(n).alias("_N"))
-    x = _attach(pre.where(F.col(n) > 0), totals, keys)
+    x = pre.where(F.col(n) > 0).withColumn("_N", F.col(f"tot_{n}"))
     start = F.col(cum) - F.col(n)  # 0-based rank of the value's first row
     targets = F.array(
         *[
@@ -192,6 +223,8 @@ def exact_quantiles(
     buckets (see module doc) and the driver sees only split points.
     """
     vc = value_counts(df, keys, value)
+    if buckets is None:
+        vc = materialize(vc)  # measured by plan_buckets, then read again
     pre = ordered_prefix(vc, keys, value, ["n"], buckets)
     return quantiles_from_prefix(pre, keys, value, "n", "cum_n", probs, name)
 
@@ -220,9 +253,9 @@ def ntile_summary(
     """
     keys = list(keys)
     vc = value_counts(df, keys, value)
-    pre = ordered_prefix(vc, keys, value, ["n"], buckets)
-    totals = pre.groupBy(*keys).agg(F.sum("n").alias("_N"))
-    x = _attach(pre, totals, keys)
+    if buckets is None:
+        vc = materialize(vc)  # measured by plan_buckets, then read again
+    x = ordered_prefix(vc, keys, value, ["n"], buckets).withColumn("_N", F.col("tot_n"))
 
     N = F.col("_N")
     base = F.floor(N / tiles).cast("long")

@@ -92,11 +92,11 @@ policy_query(
 )
 policy_query(
     "a07_policy_duration_stats",
-    f"""SELECT min(d) AS min_days, max(d) AS max_days, {R6('avg(d)')} AS avg_days,
+    f"""SELECT min(d) AS min_days, max(d) AS max_days, avg(d) AS avg_days,
        {R6('quantile_cont(d, 0.5)')} AS median_days
 FROM (SELECT CAST(date_diff('day', CAST(pol_eff_dt AS DATE), CAST(pol_expir_dt AS DATE)) AS INTEGER) AS d FROM policy)""",
     R.policy_duration_stats,
-    ("avg_days", "median_days"),
+    ("median_days",),
 )
 policy_query(
     "a08_with_effective_date",
@@ -180,18 +180,17 @@ GROUP BY premium_decile""",
 # ------------------------------------------------------------------ commission
 policy_query(
     "a19_state_commission",
-    f"SELECT acct_st_cd, {R6('avg(comm_pct)')} AS avg_commission_pct, "
+    f"SELECT acct_st_cd, {MAVG('comm_pct')} AS avg_commission_pct, "
     f"{R6('avg(comm_amt / nullif(tot_wprm_amt, 0))')} AS avg_comm_to_premium_ratio, "
     f"{MSUM('comm_amt')} AS total_commission FROM policy GROUP BY acct_st_cd",
     R.state_commission,
-    ("avg_commission_pct", "avg_comm_to_premium_ratio"),
+    ("avg_comm_to_premium_ratio",),
 )
 policy_query(
     "a20_form_commission",
-    f"SELECT pol_fm_cd, {R6('avg(comm_pct)')} AS avg_commission_pct, {MSUM('comm_amt')} AS total_commission, "
+    f"SELECT pol_fm_cd, {MAVG('comm_pct')} AS avg_commission_pct, {MSUM('comm_amt')} AS total_commission, "
     "count(*) AS policy_count FROM policy GROUP BY pol_fm_cd",
     R.form_commission,
-    ("avg_commission_pct",),
 )
 policy_query(
     "a21_waived_commission_by_state",
@@ -218,15 +217,14 @@ FROM (SELECT {_YOY} AS g FROM policy) GROUP BY 1""",
 )
 # ------------------------------------------------------------------ location / coverage
 _LOC = (
-    f"SELECT loc_nbr, count(rec_id) AS policy_count, {R6('avg(bas_rt)')} AS avg_base_rate, "
+    f"SELECT loc_nbr, count(rec_id) AS policy_count, {MAVG('bas_rt')} AS avg_base_rate, "
     f"{MSUM('tot_wprm_amt')} AS total_premium FROM policy GROUP BY loc_nbr"
 )
-policy_query("a24_location_risk", _LOC, R.location_risk, ("avg_base_rate",))
+policy_query("a24_location_risk", _LOC, R.location_risk)
 policy_query(
     "a24_location_risk_top10",
     _LOC + " ORDER BY total_premium DESC NULLS LAST, loc_nbr ASC NULLS FIRST LIMIT 10",
     lambda df: R.location_risk(df, top=10),
-    ("avg_base_rate",),
 )
 policy_query(
     "a25_coverage_pivot",
@@ -293,23 +291,21 @@ policy_query(
 # ------------------------------------------------------------------ risk factors
 policy_query(
     "a34_premium_by_hazard",
-    f"SELECT haz_cd_leg, {TRIPLE}, {R6('avg(bas_rt)')} AS avg_base_rate FROM policy WHERE haz_cd_leg IS NOT NULL "
+    f"SELECT haz_cd_leg, {TRIPLE}, {MAVG('bas_rt')} AS avg_base_rate FROM policy WHERE haz_cd_leg IS NOT NULL "
     "GROUP BY haz_cd_leg ORDER BY policy_count DESC NULLS LAST, haz_cd_leg ASC NULLS FIRST LIMIT 10",
     R.premium_by_hazard,
-    ("avg_base_rate",),
 )
 policy_query(
     "a35_rate_bands",
     f"""WITH rated AS (SELECT * FROM policy WHERE bas_rt IS NOT NULL),
 q AS (SELECT quantile_cont(bas_rt, [0.2, 0.4, 0.6, 0.8]) AS p FROM rated)
-SELECT rate_band, count(rec_id) AS policy_count, {R6('avg(bas_rt)')} AS avg_base_rate,
+SELECT rate_band, count(rec_id) AS policy_count, {MAVG('bas_rt')} AS avg_base_rate,
        {MAVG('tot_wprm_amt')} AS avg_premium, {MSUM('tot_wprm_amt')} AS total_premium
 FROM (SELECT CASE WHEN bas_rt <= p[1] THEN 'Very Low' WHEN bas_rt <= p[2] THEN 'Low'
                   WHEN bas_rt <= p[3] THEN 'Medium' WHEN bas_rt <= p[4] THEN 'High' ELSE 'Very High' END AS rate_band,
              rec_id, bas_rt, tot_wprm_amt FROM rated, q)
 GROUP BY rate_band""",
     R.rate_bands,
-    ("avg_base_rate",),
 )
 policy_query(
     "a36_premium_by_product",
@@ -371,3 +367,223 @@ for _key, _fn, _name in (
         _fn,
         ("avg_ratio",),
     )
+
+
+# ====================================================================== part B
+from ratelens.operators import colocate as C  # noqa: E402
+from ratelens.sources.tables import load_table  # noqa: E402
+
+# Fixed value: explicit splits for the oracle-checked bucket reports.
+EXPLICIT_SPLITS = [float("-inf"), 300.0, 600.0, 900.0, 1200.0, float("inf")]
+
+
+def _bucket_case(col: str) -> str:
+    inner = EXPLICIT_SPLITS[1:-1]
+    whens = " ".join(f"WHEN {col} < {s} THEN {i}" for i, s in enumerate(inner))
+    return f"CAST(CASE {whens} ELSE {len(inner)} END AS INTEGER)"
+
+
+def _copart(spark: SparkSession, sf_dir: str, splits=None) -> C.CoPartitioned:
+    cust = load_table(spark, sf_dir, "customer")
+    details = [
+        (load_table(spark, sf_dir, "orders"), "o_custkey"),
+        (load_table(spark, sf_dir, "events"), "user_id"),
+        (load_table(spark, sf_dir, "nation"), "nationkey"),  # wrong key name: skipped
+    ]
+    return C.plan_copartitioned(cust, "c_custkey", details, 10, splits=splits)
+
+
+@register("b03_master_buckets_learned")
+def _b03(spark, sf_dir):
+    """Bucket report of the master under splits learnt from its key (approximate, rows-only check)."""
+    p = _copart(spark, sf_dir)
+    return C.bucket_report(p.frames["master"], "c_custkey")
+
+
+register(
+    "b04_master_buckets_explicit",
+    f"SELECT {_bucket_case('c_custkey')} AS partition_key, count(*) AS row_count, min(c_custkey) AS min_key, "
+    "max(c_custkey) AS max_key FROM customer GROUP BY 1",
+)(lambda spark, sf_dir: C.bucket_report(_copart(spark, sf_dir, EXPLICIT_SPLITS).frames["master"], "c_custkey"))
+register(
+    "b04_detail_buckets_explicit",
+    f"SELECT {_bucket_case('o_custkey')} AS partition_key, count(*) AS row_count, min(o_custkey) AS min_key, "
+    "max(o_custkey) AS max_key FROM orders GROUP BY 1",
+)(lambda spark, sf_dir: C.bucket_report(_copart(spark, sf_dir, EXPLICIT_SPLITS).frames["detail_0"], "o_custkey"))
+
+
+@register(
+    "b08_copartitioned_join",
+    f"SELECT c.*, {_bucket_case('c.c_custkey')} AS partition_key, o.o_orderkey, o.o_totalprice "
+    "FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey",
+)
+def _b08(spark, sf_dir):
+    p = _copart(spark, sf_dir, EXPLICIT_SPLITS)
+    return C.join_copartitioned(p.frames["master"], p.frames["detail_0"], "c_custkey", "o_custkey", detail_columns=["o_orderkey", "o_totalprice"])
+
+
+@register(
+    "b08_copartitioned_join_events",
+    f"SELECT c.*, {_bucket_case('c.c_custkey')} AS partition_key, e.event_id, e.event_type, e.value "
+    "FROM customer c JOIN events e ON c.c_custkey = e.user_id",
+)
+def _b08e(spark, sf_dir):
+    p = _copart(spark, sf_dir, EXPLICIT_SPLITS)
+    return C.join_copartitioned(p.frames["master"], p.frames["detail_1"], "c_custkey", "user_id", detail_columns=["event_id", "event_type", "value"])
+
+
+# ====================================================================== part C
+from ratelens.operators.alerts import Rule, alerts  # noqa: E402
+from ratelens.plans import drift_sql as DS  # noqa: E402
+from ratelens.plans import monitor as M  # noqa: E402
+
+DRIFT_ROUND = ("ks_p_value", "wasserstein_distance", "wasserstein_norm", "js_divergence")
+PROFILE_ROUND = ("stddev", "p25", "p50", "p75")
+LI_NUM = ["l_extendedprice", "l_quantity", "l_discount"]
+LI_CAT = ["l_returnflag", "l_linestatus"]
+LI_SLICES = ["l_returnflag = 'R'", "l_linestatus = 'O'"]
+# The alert rules of the alert queries.
+RULES = [
+    Rule("wasserstein_over_0_05", "wasserstein_distance", "wasserstein_distance > 0.05"),
+    Rule("ks_p_below_0_05", "ks_p_value", "ks_p_value < 0.05"),
+    Rule("jsd_over_0_01", "js_divergence", "js_divergence > 0.01"),
+]
+
+
+def _li(spark, sf_dir):
+    return load_table(spark, sf_dir, "lineitem")
+
+
+register(
+    "d01_drift_time_series_lineitem", DS.drift_time_series_sql("lineitem", "l_shipdate", LI_NUM, LI_CAT)
+)(lambda spark, sf_dir: _round(M.drift_time_series(_li(spark, sf_dir), "l_shipdate", LI_NUM + LI_CAT, mean_scale=4), *DRIFT_ROUND))
+
+register(
+    "d01_drift_time_series_orders",
+    DS.drift_time_series_sql("orders", "o_orderdate", ["o_totalprice"], ["o_orderpriority", "o_orderstatus"]),
+)(
+    lambda spark, sf_dir: _round(
+        M.drift_time_series(load_table(spark, sf_dir, "orders"), "o_orderdate", ["o_totalprice", "o_orderpriority", "o_orderstatus"], mean_scale=4),
+        *DRIFT_ROUND,
+    )
+)
+
+register(
+    "d07_drift_all_columns_orders",
+    DS.drift_time_series_sql(
+        "orders", "o_orderdate", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"]
+    ),
+)(lambda spark, sf_dir: _round(M.drift_time_series(load_table(spark, sf_dir, "orders"), "o_orderdate", mean_scale=4), *DRIFT_ROUND))
+
+register(
+    "d17_drift_sliced_lineitem",
+    DS.drift_time_series_sql("lineitem", "l_shipdate", ["l_extendedprice", "l_discount"], ["l_returnflag"], LI_SLICES),
+)(
+    lambda spark, sf_dir: _round(
+        M.drift_time_series(_li(spark, sf_dir), "l_shipdate", ["l_extendedprice", "l_discount", "l_returnflag"], LI_SLICES, mean_scale=4),
+        *DRIFT_ROUND,
+    )
+)
+
+register("d08_profile_lineitem", DS.profile_sql("lineitem", "l_shipdate", LI_NUM, LI_CAT, LI_SLICES[:1]))(
+    lambda spark, sf_dir: _round(M.profile(_li(spark, sf_dir), "l_shipdate", LI_NUM + LI_CAT, LI_SLICES[:1], mean_scale=4), *PROFILE_ROUND)
+)
+
+
+def _month_range(df: DataFrame, ts: str) -> list[tuple[int, int]]:
+    """Calendar months between the first and the last timestamp (one-row aggregate)."""
+    lo, hi = df.agg(F.min(ts), F.max(ts)).first()
+    out, (y, m) = [], (lo.year, lo.month)
+    while (y, m) <= (hi.year, hi.month):
+        out.append((y, m))
+        y, m = (y + 1, 1) if m == 12 else (y, m + 1)
+    return out
+
+
+@register(
+    "d03_drift_separate_monthly_tables",
+    DS.drift_time_series_sql("lineitem", "l_shipdate", ["l_extendedprice"], ["l_returnflag"]),
+)
+def _d03(spark, sf_dir):
+    li = _li(spark, sf_dir)
+
+    def resolve(y: int, m: int) -> DataFrame:  # the month's "separate table"
+        start = F.make_timestamp_ntz(F.lit(y), F.lit(m), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+        return li.where((F.col("l_shipdate") >= start) & (F.col("l_shipdate") < F.add_months(start, 1).cast("timestamp_ntz")))
+
+    out = M.drift_separate(resolve, _month_range(li, "l_shipdate"), ["l_extendedprice", "l_returnflag"], mean_scale=4)
+    return _round(out, *DRIFT_ROUND)
+
+
+@register(
+    "d02_drift_snapshot_month",
+    None,
+)
+def _d02(spark, sf_dir):
+    """1997-04 partition against the 1997-03 baseline, whole and one slice."""
+    li = _li(spark, sf_dir).withColumns({"year": F.year("l_shipdate"), "month": F.month("l_shipdate")})
+    cur = li.where((F.col("year") == 1997) & (F.col("month") == 4))
+    base = li.where((F.col("year") == 1997) & (F.col("month") == 3))
+    out = M.drift_snapshot(cur, base, LI_NUM + LI_CAT, ["l_returnflag = 'R'"], "1997-04-01", "1997-03-01", mean_scale=4)
+    return _round(out, *DRIFT_ROUND)
+
+
+def _alerts_sql(drift_sql: str) -> str:
+    parts = [
+        f"SELECT '{r.name}' AS rule, window_start, baseline_start, slice, column_name, CAST({r.metric} AS DOUBLE) AS metric_value "
+        f"FROM ({drift_sql}) d WHERE {r.condition}"
+        for r in RULES
+    ]
+    return "\nUNION ALL\n".join(parts)
+
+
+register("d16_alerts_lineitem", _alerts_sql(DS.drift_time_series_sql("lineitem", "l_shipdate", LI_NUM, LI_CAT)))(
+    lambda spark, sf_dir: alerts(
+        _round(M.drift_time_series(_li(spark, sf_dir), "l_shipdate", LI_NUM + LI_CAT, mean_scale=4), *DRIFT_ROUND), RULES
+    )
+)
+
+# User metrics as SQL aggregates (exact decimal sums, so window values are
+# reproducible bit for bit).
+CUSTOM = {
+    "avg_discount": "CAST(sum(CAST(l_discount AS DECIMAL(18,4))) AS DOUBLE) / count(l_discount)",
+    "revenue": "CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS DOUBLE)",
+    "rows": "count(*)",
+}
+
+
+@register(
+    "d15_custom_metric_drift",
+    f"""WITH cm AS (
+  SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS window_start, 'all' AS slice,
+         {CUSTOM['avg_discount']} AS avg_discount, {CUSTOM['revenue']} AS revenue, CAST(count(*) AS DOUBLE) AS "rows"
+  FROM lineitem GROUP BY 1),
+lg AS (UNPIVOT cm ON avg_discount, revenue, "rows" INTO NAME metric_name VALUE metric_value)
+SELECT c.window_start, CAST(c.window_start - INTERVAL 1 MONTH AS DATE) AS baseline_start, c.slice, c.metric_name,
+       p.metric_value AS baseline_value, c.metric_value AS current_value, c.metric_value - p.metric_value AS delta
+FROM lg c LEFT JOIN lg p ON p.window_start = CAST(c.window_start - INTERVAL 1 MONTH AS DATE)
+  AND p.slice = c.slice AND p.metric_name = c.metric_name""",
+)
+def _d15(spark, sf_dir):
+    return M.custom_metric_drift(_li(spark, sf_dir), "l_shipdate", CUSTOM)
+
+
+@register("d18_drift_on_hash_sample")
+def _d18(spark, sf_dir):
+    """Drift on a deterministic half sample of the rows (rows-only check: the
+    sample hash is Spark's xxhash64)."""
+    sample = M.hash_sample(_li(spark, sf_dir), ["l_orderkey", "l_linenumber"], 0.5)
+    return _round(M.drift_time_series(sample, "l_shipdate", LI_NUM + LI_CAT, mean_scale=4), *DRIFT_ROUND)
+
+
+@register(
+    "d19_critical_vs_all",
+    f"""WITH d AS ({DS.drift_time_series_sql("lineitem", "l_shipdate", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus"])}),
+f AS (SELECT DISTINCT window_start, column_name, 1 AS drifted FROM d WHERE wasserstein_distance > 0.05)
+SELECT d.window_start, count(*) AS columns_all, sum(coalesce(f.drifted, 0)) AS drifted_all,
+       sum(CASE WHEN d.column_name IN ('l_extendedprice', 'l_discount') THEN 1 ELSE 0 END) AS columns_critical,
+       sum(CASE WHEN d.column_name IN ('l_extendedprice', 'l_discount') THEN coalesce(f.drifted, 0) ELSE 0 END) AS drifted_critical
+FROM d LEFT JOIN f USING (window_start, column_name) WHERE d.slice = 'all' GROUP BY d.window_start""",
+)
+def _d19(spark, sf_dir):
+    return M.critical_vs_all(_li(spark, sf_dir), "l_shipdate", ["l_extendedprice", "l_discount"], mean_scale=4)

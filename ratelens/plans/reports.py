@@ -254,7 +254,7 @@ def state_commission(df: DataFrame, scale: int | None = 4) -> DataFrame:
         d,
         ["acct_st_cd"],
         [
-            F.avg("comm_pct").alias("avg_commission_pct"),
+            money_avg("comm_pct", scale).alias("avg_commission_pct"),
             F.avg("comm_ratio").alias("avg_comm_to_premium_ratio"),
             money_sum("comm_amt", scale).alias("total_commission"),
         ],
@@ -267,7 +267,7 @@ def form_commission(df: DataFrame, scale: int | None = 4) -> DataFrame:
         df,
         ["pol_fm_cd"],
         [
-            F.avg("comm_pct").alias("avg_commission_pct"),
+            money_avg("comm_pct", scale).alias("avg_commission_pct"),
             money_sum("comm_amt", scale).alias("total_commission"),
             F.count(F.lit(1)).alias("policy_count"),
         ],
@@ -325,7 +325,7 @@ def location_risk(df: DataFrame, top: int | None = None, scale: int | None = 4)
         ["loc_nbr"],
         [
             F.count("rec_id").alias("policy_count"),
-            F.avg("bas_rt").alias("avg_base_rate"),
+            money_avg("bas_rt", scale).alias("avg_base_rate"),
             money_sum("tot_wprm_amt", scale).alias("total_premium"),
         ],
         order=["-total_premium"],
@@ -442,7 +442,7 @@ def premium_by_hazard(df: DataFrame, top: int = 10, scale: int | None = 4) -> Da
     return segment_summary(
         df,
         ["haz_cd_leg"],
-        [*policy_triple(scale=scale), F.avg("bas_rt").alias("avg_base_rate")],
+        [*policy_triple(scale=scale), money_avg("bas_rt", scale).alias("avg_base_rate")],
         order=["-policy_count"],
         top=top,
         where=F.col("haz_cd_leg").isNotNull(),
@@ -468,7 +468,7 @@ def rate_bands(df: DataFrame, scale: int | None = 4) -> DataFrame | None:
         .groupBy("rate_band")
         .agg(
             F.count("rec_id").alias("policy_count"),
-            F.avg("bas_rt").alias("avg_base_rate"),
+            money_avg("bas_rt", scale).alias("avg_base_rate"),
             money_avg("tot_wprm_amt", scale).alias("avg_premium"),
             money_sum("tot_wprm_amt", scale).alias("total_premium"),
         )
