@@ -25,11 +25,14 @@ x_1 < ... < x_k):
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratelens.functions.lineage import materialize
 from ratelens.operators.profile import weighted_mean
 from ratelens.operators.ranking import ordered_prefix, quantiles_from_prefix
 
@@ -90,13 +93,17 @@ def numeric_drift(
         weighted_mean(v, nb, mean_scale).alias("_mean_b"),
         weighted_mean(v, nc, mean_scale).alias("_mean_c"),
     )
-    pre = ordered_prefix(paired.where(nn), keys, value, ["n_b", "n_c"], buckets)
+    # read three times below (distances, deciles, bins): materialize once
+    # baseline value total rides along as a third measure (mean for the spread)
+    pre = materialize(
+        ordered_prefix(paired.where(nn).withColumn("_vb", v * nb), keys, value, ["n_b", "n_c", "_vb"], buckets)
+    )
     Nb, Nc = F.col("tot_n_b"), F.col("tot_n_c")
     gap = F.abs(F.try_divide(F.col("cum_n_b"), Nb) - F.try_divide(F.col("cum_n_c"), Nc))
     # baseline mean for the spread: double sums over the values (per group)
     base = nn & (nb > 0)
     dist = (
-        pre.withColumn("_mb", F.try_divide(F.sum(v * nb).over(Window.partitionBy(*keys)), Nb))
+        pre.withColumn("_mb", F.try_divide(F.col("tot__vb"), Nb))
         .groupBy(*keys)
         .agg(
             F.first(Nb).alias("_Nb"),
@@ -110,20 +117,21 @@ def numeric_drift(
     )
     # JSD bins from the baseline's exact deciles
     deciles = quantiles_from_prefix(pre, keys, value, "n_b", "cum_n_b", JSD_DECILES, name="_dec")
+    # edges min_B <= d_1 <= ... <= d_9 as columns; equal neighbours count once
+    edge_cols = [F.col("_min_b")] + [F.col("_dec")[i] for i in range(len(JSD_DECILES))]
     edges = deciles.join(dist.select(*keys, "_min_b", "_max_b"), keys).select(
-        *keys,
-        "_min_b",
-        "_max_b",
-        F.array_distinct(F.concat(F.array(F.col("_min_b")), F.col("_dec"))).alias("_edges"),
+        *keys, "_max_b", *[e.alias(f"_e{k}") for k, e in enumerate(edge_cols)]
+    )
+    e = [F.col(f"_e{k}") for k in range(len(edge_cols))]
+    inside = functools.reduce(
+        operator.add,
+        [F.when((e[k] <= v) & ((e[k] != e[k - 1]) if k else F.lit(True)), 1).otherwise(0) for k in range(len(e))],
     )
     shares = (
         pre.join(edges, keys)
         .select(
             *keys,
-            F.when(v < F.col("_min_b"), F.lit(-1))
-            .when(v > F.col("_max_b"), F.lit(1 << 20))
-            .otherwise(F.size(F.filter("_edges", lambda e: e <= v)))
-            .alias("_bin"),
+            F.when(v < e[0], F.lit(-1)).when(v > F.col("_max_b"), F.lit(1 << 20)).otherwise(inside).alias("_bin"),
             nb,
             nc,
             Nb,

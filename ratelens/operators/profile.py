@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,50 +23,78 @@ PROFILE_PROBS = [0.25, 0.5, 0.75]
 
 
 def slice_column(slices: Sequence[str] | None) -> Column:
-    """Array of the slices a row belongs to: always ``"all"``, plus every
-    slicing predicate (SQL text) that is true for the row."""
-    labels = [F.lit(ALL_SLICE)] + [F.when(F.expr(s), F.lit(s)) for s in (slices or [])]
-    return F.filter(F.array(*labels), lambda x: x.isNotNull())
+    """Array of the slice ids a row belongs to: always 0 (``"all"``), plus
+    ``i`` for every slicing predicate ``slices[i-1]`` (SQL text) that holds."""
+    ids = [F.lit(0)] + [F.when(F.expr(s), F.lit(i)) for i, s in enumerate(slices or [], start=1)]
+    return F.filter(F.array(*ids), lambda x: x.isNotNull())
+
+
+class Layout:
+    """Integer codes of the monitored columns and slices.
+
+    Aggregations and sorts run on one ``long`` group key that packs the
+    window (days since epoch), the slice id and the column id; names are
+    decoded only on the final, small result.
+    """
+
+    SLICE_BITS, COL_BITS = 10, 16
+
+    def __init__(self, numeric: Sequence[str], categorical: Sequence[str], slices: Sequence[str] | None):
+        self.numeric, self.categorical = list(numeric), list(categorical)
+        self.columns = self.numeric + self.categorical
+        self.slices = [ALL_SLICE, *(slices or [])]
+        if len(self.slices) >= 1 << self.SLICE_BITS or len(self.columns) >= 1 << self.COL_BITS:
+            raise ValueError("too many slices or columns for one monitor pass")
+
+    def group_key(self, window: Column) -> Column:
+        day = F.coalesce(F.unix_date(window), F.lit(0)).cast("long")
+        return ((day * (1 << self.SLICE_BITS) + F.col("slice_id")) * (1 << self.COL_BITS) + F.col("col_id")).alias("_g")
+
+    def decode(self, g: str = "_g") -> dict[str, Column]:
+        col_id = (F.col(g) % (1 << self.COL_BITS)).cast("int")
+        slice_id = (F.floor(F.col(g) / (1 << self.COL_BITS)) % (1 << self.SLICE_BITS)).cast("int")
+        day = F.floor(F.col(g) / (1 << (self.COL_BITS + self.SLICE_BITS))).cast("int")
+        return {
+            "window_start": F.date_from_unix_date(day),
+            "slice": F.element_at(F.array(*[F.lit(s) for s in self.slices]), slice_id + 1),
+            "column_name": F.element_at(F.array(*[F.lit(c) for c in self.columns]), col_id + 1),
+        }
 
 
 def long_value_counts(
     df: DataFrame,
     group_cols: Mapping[str, Column],
-    numeric: Sequence[str],
-    categorical: Sequence[str],
-    slices: Sequence[str] | None = None,
+    layout: Layout,
     slices_col: str | None = None,
 ) -> DataFrame:
-    """``(group..., slice, column_name, kind, num, cat, n)``: rows per value.
+    """``(group..., slice_id, col_id, num, cat, n)``: rows per distinct value.
 
-    ``kind`` is ``'n'`` (value in ``num``, NaN counted as null) or ``'c'``
-    (value in ``cat``, as string).  Slice labels come from ``slices``
-    (predicates over ``df``) or from an array column ``slices_col`` built
+    Numeric columns carry their value in ``num`` (NaN counted as null),
+    categorical ones in ``cat`` (as string).  Slice ids come from the layout's
+    predicates over ``df``, or from an array column ``slices_col`` built
     earlier with :func:`slice_column`.
     """
     items = [
         F.struct(
-            F.lit(c).alias("column_name"),
-            F.lit("n").alias("kind"),
+            F.lit(i).alias("col_id"),
             F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("num"),
             F.lit(None).cast("string").alias("cat"),
         )
-        for c in numeric
+        for i, c in enumerate(layout.numeric)
     ] + [
         F.struct(
-            F.lit(c).alias("column_name"),
-            F.lit("c").alias("kind"),
+            F.lit(len(layout.numeric) + i).alias("col_id"),
             F.lit(None).cast("double").alias("num"),
             F.col(c).cast("string").alias("cat"),
         )
-        for c in categorical
+        for i, c in enumerate(layout.categorical)
     ]
     if not items:
         raise ValueError("no column to monitor")
-    labels = F.col(slices_col) if slices_col else slice_column(slices)
-    base = df.select(*[c.alias(n) for n, c in group_cols.items()], F.explode(labels).alias("slice"), *numeric, *categorical)
-    long = base.select(*group_cols, "slice", F.inline(F.array(*items)))
-    return long.groupBy(*group_cols, "slice", "column_name", "kind", "num", "cat").agg(F.count(F.lit(1)).alias("n"))
+    labels = F.col(slices_col) if slices_col else slice_column(layout.slices[1:])
+    base = df.select(*[c.alias(n) for n, c in group_cols.items()], F.explode(labels).alias("slice_id"), *layout.columns)
+    long = base.select(*group_cols, "slice_id", F.inline(F.array(*items)))
+    return long.groupBy(*group_cols, "slice_id", "col_id", "num", "cat").agg(F.count(F.lit(1)).alias("n"))
 
 
 def weighted_mean(value: Column, weight: Column, scale: int | None = None) -> Column:
@@ -85,15 +113,17 @@ def weighted_mean(value: Column, weight: Column, scale: int | None = None) -> Co
 
 
 def profile_from_counts(
-    vc: DataFrame, keys: Sequence[str], buckets: int | None = None, mean_scale: int | None = None
+    vc: DataFrame, layout: Layout, window: str = "window_start", buckets: int | None = None, mean_scale: int | None = None
 ) -> DataFrame:
-    """Profile metrics per ``keys + [column_name]`` from long value counts."""
-    keys = [*keys, "column_name"]
-    num = vc.where(F.col("kind") == "n").select(*keys, F.col("num").alias("value"), "n")
-    cat = vc.where(F.col("kind") == "c").select(*keys, F.col("cat").alias("value"), "n")
+    """Profile metrics per ``(window, slice, column)`` from long value counts."""
+    vc = vc.select(layout.group_key(F.col(window)), "col_id", "num", "cat", "n")
+    keys = ["_g"]
+    is_num = F.col("col_id") < len(layout.numeric)
+    num = vc.where(is_num).select(*keys, F.col("num").alias("value"), "n")
+    cat = vc.where(~is_num).select(*keys, F.col("cat").alias("value"), "n")
     nd = F.lit(None).cast("double")
 
-    def counts(frame: DataFrame) -> list[Column]:
+    def counts() -> list[Column]:
         v = F.col("value")
         return [
             F.sum("n").alias("row_count"),
@@ -102,22 +132,19 @@ def profile_from_counts(
         ]
 
     nstats = num.groupBy(*keys).agg(
-        *counts(num),
+        *counts(),
         F.min("value").alias("min_value"),
         F.max("value").alias("max_value"),
         weighted_mean(F.col("value"), F.col("n"), mean_scale).alias("mean"),
     )
     vals = num.where(F.col("value").isNotNull())
+    pre = ordered_prefix(vals, keys, "value", ["n"], buckets)
+    # spread around the (double) mean from the same pass as the quantiles
     spread = (
-        vals.join(nstats.select(*keys, "mean"), keys)
+        pre.withColumn("_m", F.try_divide(F.sum(F.col("value") * F.col("n")).over(Window.partitionBy(*keys)), F.col("tot_n")))
         .groupBy(*keys)
-        .agg(
-            F.sqrt(
-                F.try_divide(F.sum(F.col("n") * (F.col("value") - F.col("mean")) ** 2), F.sum("n") - 1)
-            ).alias("stddev")
-        )
+        .agg(F.sqrt(F.try_divide(F.sum(F.col("n") * (F.col("value") - F.col("_m")) ** 2), F.first("tot_n") - 1)).alias("stddev"))
     )
-    pre = ordered_prefix(vals, keys, "value", ["n"], buckets)
     qs = quantiles_from_prefix(pre, keys, "value", "n", "cum_n", PROFILE_PROBS, name="_q")
     nprof = (
         nstats.join(spread, keys, "left")
@@ -135,7 +162,7 @@ def profile_from_counts(
             *[F.col("_q")[i].alias(n) for i, n in enumerate(["p25", "p50", "p75"])],
         )
     )
-    cprof = cat.groupBy(*keys).agg(*counts(cat)).select(
+    cprof = cat.groupBy(*keys).agg(*counts()).select(
         *keys,
         F.lit("categorical").alias("data_type"),
         "row_count",
@@ -144,4 +171,11 @@ def profile_from_counts(
         *[nd.alias(n) for n in ["min_value", "max_value", "mean", "stddev", "p25", "p50", "p75"]],
     )
     out = nprof.unionByName(cprof)
-    return out.withColumn("null_rate", F.col("null_count") / F.col("row_count"))
+    names = layout.decode()
+    return out.select(
+        names["window_start"].alias(window),
+        names["slice"].alias("slice"),
+        names["column_name"].alias("column_name"),
+        *[c for c in out.columns if c != "_g"],
+        (F.col("null_count") / F.col("row_count")).alias("null_rate"),
+    )

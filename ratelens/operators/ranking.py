@@ -26,6 +26,8 @@ enough buckets to keep every window task under the same bound.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -162,27 +164,20 @@ def quantiles_from_prefix(
     keys = list(keys)
     x = pre.where(F.col(n) > 0).withColumn("_N", F.col(f"tot_{n}"))
     start = F.col(cum) - F.col(n)  # 0-based rank of the value's first row
+    pos = [F.lit(float(p)) * (F.col("_N") - 1) for p in probs]
+
+    def covers(rank: Column) -> Column:
+        return (rank >= start) & (rank < F.col(cum))
+
+    # plain comparisons first (codegen'd): keeps at most 2 rows per probability
+    x = x.where(functools.reduce(operator.or_, [covers(F.floor(q)) | covers(F.ceil(q)) for q in pos]))
     targets = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                (F.lit(float(p)) * (F.col("_N") - 1)).alias("pos"),
-            )
-            for i, p in enumerate(probs)
-        ]
+        *[F.struct(F.lit(i).alias("i"), q.alias("pos"), F.floor(q).alias("lo"), F.ceil(q).alias("hi")) for i, q in enumerate(pos)]
     )
     hits = x.select(
         *keys,
         F.col(value).cast("double").alias("_v"),
-        F.explode(
-            F.filter(
-                F.transform(
-                    targets,
-                    lambda t: t.withField("lo", F.floor(t["pos"])).withField("hi", F.ceil(t["pos"])),
-                ),
-                lambda t: ((t["lo"] >= start) & (t["lo"] < F.col(cum))) | ((t["hi"] >= start) & (t["hi"] < F.col(cum))),
-            )
-        ).alias("t"),
+        F.explode(F.filter(targets, lambda t: covers(t["lo"]) | covers(t["hi"]))).alias("t"),
         start.alias("_s"),
         F.col(cum).alias("_e"),
     )

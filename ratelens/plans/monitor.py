@@ -23,7 +23,7 @@ from ratelens.functions.columns import categorical_columns, numeric_columns
 from ratelens.functions.lineage import materialize
 from ratelens.operators.alerts import DEFAULT_RULES, Rule, alerts
 from ratelens.operators.drift_metrics import DRIFT_COLUMNS, categorical_drift, numeric_drift
-from ratelens.operators.profile import long_value_counts, profile_from_counts, slice_column
+from ratelens.operators.profile import Layout, long_value_counts, profile_from_counts, slice_column
 
 DRIFT_KEYS = ["window_start", "baseline_start", "slice", "column_name"]
 _UNITS = {"day", "week", "month", "quarter", "year"}
@@ -72,35 +72,44 @@ def hash_sample(df: DataFrame, key_cols: Sequence[str], fraction: float) -> Data
     return df.where(h < F.lit(int(round(fraction * scale))))
 
 
-def _pair_numeric_and_categorical(
-    paired: DataFrame, keys: Sequence[str], buckets: int | None, mean_scale: int | None = None
+def _metrics(
+    paired: DataFrame, layout: Layout, baseline_start: Column, buckets: int | None, mean_scale: int | None
 ) -> DataFrame:
-    num = paired.where(F.col("kind") == "n").select(*keys, F.col("num").alias("value"), "n_b", "n_c")
-    cat = paired.where(F.col("kind") == "c").select(*keys, F.col("cat").alias("value"), "n_b", "n_c")
-    return numeric_drift(num, keys, buckets=buckets, mean_scale=mean_scale).unionByName(categorical_drift(cat, keys))
+    """Drift metrics for a paired count frame ``(window_start, slice_id, col_id, num, cat, n_b, n_c)``."""
+    g = paired.select(layout.group_key(F.col("window_start")), "col_id", "num", "cat", "n_b", "n_c")
+    is_num = F.col("col_id") < len(layout.numeric)
+    num = g.where(is_num).select("_g", F.col("num").alias("value"), "n_b", "n_c")
+    cat = g.where(~is_num).select("_g", F.col("cat").alias("value"), "n_b", "n_c")
+    out = numeric_drift(num, ["_g"], buckets=buckets, mean_scale=mean_scale).unionByName(categorical_drift(cat, ["_g"]))
+    names = layout.decode()
+    ws = names["window_start"]
+    return out.select(
+        ws.alias("window_start"),
+        (baseline_start if isinstance(baseline_start, Column) else baseline_start(ws)).alias("baseline_start"),
+        names["slice"].alias("slice"),
+        names["column_name"].alias("column_name"),
+        *DRIFT_COLUMNS,
+    )
 
 
 def _drift_from_window_counts(
-    vc: DataFrame, unit: str, buckets: int | None, mean_scale: int | None = None, cut_lineage: bool = True
+    vc: DataFrame, layout: Layout, unit: str, buckets: int | None, mean_scale: int | None = None
 ) -> DataFrame:
     """Pair every window's counts with the previous window's (one union + aggregate).
 
-    The paired count frame (one row per window, column and distinct value)
-    is materialized once; the dozen metric aggregates read it from there.
+    The paired count frame (one row per window, slice, column and distinct
+    value) is materialized once; the metric aggregates read it from there.
     """
-    cols = ["slice", "column_name", "kind", "num", "cat"]
+    cols = ["slice_id", "col_id", "num", "cat"]
     cur = vc.select(F.col("ws").alias("window_start"), *cols, F.lit(0).cast("long").alias("n_b"), F.col("n").alias("n_c"))
     base = vc.select(
         shift_window(F.col("ws"), unit).alias("window_start"), *cols, F.col("n").alias("n_b"), F.lit(0).cast("long").alias("n_c")
     )
     paired = (
-        cur.unionByName(base)
-        .groupBy("window_start", *cols)
-        .agg(F.sum("n_b").alias("n_b"), F.sum("n_c").alias("n_c"))
-        .withColumn("baseline_start", shift_window(F.col("window_start"), unit, -1))
+        cur.unionByName(base).groupBy("window_start", *cols).agg(F.sum("n_b").alias("n_b"), F.sum("n_c").alias("n_c"))
     )
-    paired = materialize(paired) if cut_lineage else paired
-    return _pair_numeric_and_categorical(paired, DRIFT_KEYS, buckets, mean_scale).select(*DRIFT_KEYS, *DRIFT_COLUMNS)
+    paired = materialize(paired)
+    return _metrics(paired, layout, lambda ws: shift_window(ws, unit, -1), buckets, mean_scale)
 
 
 def drift_time_series(
@@ -119,9 +128,9 @@ def drift_time_series(
     at most that many decimals (None: double sums).
     """
     unit = window_unit(window)
-    num, cat = split_columns(df, columns, [ts_col])
-    vc = long_value_counts(df, {"ws": window_start(ts_col, unit)}, num, cat, slices)
-    out = _drift_from_window_counts(vc, unit, buckets, mean_scale)
+    layout = Layout(*split_columns(df, columns, [ts_col]), slices)
+    vc = long_value_counts(df, {"ws": window_start(ts_col, unit)}, layout)
+    out = _drift_from_window_counts(vc, layout, unit, buckets, mean_scale)
     # windows after the last one exist only as shifted baselines
     return out.where(F.col("status") != "NO_CURRENT")
 
@@ -136,33 +145,27 @@ def drift_snapshot(
     buckets: int | None = None,
     mean_scale: int | None = None,
 ) -> DataFrame:
-    """Current table (or slice of it) against a baseline table."""
-    num, cat = split_columns(current, columns)
-    cs = F.lit(current_start).cast("date") if isinstance(current_start, str) or current_start is None else current_start
-    bs = F.lit(baseline_start).cast("date") if isinstance(baseline_start, str) or baseline_start is None else baseline_start
-    cols = [*num, *cat]
-    sl = slice_column(slices).alias("_slices")
-    tagged = current.select(cs.alias("window_start"), bs.alias("baseline_start"), F.lit(0).alias("_b"), sl, *cols).unionByName(
-        baseline.select(cs.alias("window_start"), bs.alias("baseline_start"), F.lit(1).alias("_b"), sl, *cols)
-    )
-    return _paired_from_tagged(tagged, num, cat, buckets, mean_scale)
+    """Current table (or slice of it) against a baseline table.
 
-
-def _paired_from_tagged(tagged: DataFrame, num, cat, buckets, mean_scale=None) -> DataFrame:
-    """Paired counts from rows tagged with their comparison and side (``_b``: 1 baseline, 0 current)."""
-    vc = long_value_counts(
-        tagged,
-        {"window_start": F.col("window_start"), "baseline_start": F.col("baseline_start"), "_b": F.col("_b")},
-        num,
-        cat,
-        slices_col="_slices",
+    Slice predicates are evaluated on both tables, so each slice compares the
+    same sub-population.  ``current_start`` / ``baseline_start`` label the
+    result rows.
+    """
+    layout = Layout(*split_columns(current, columns), slices)
+    cs = current_start if isinstance(current_start, Column) else F.lit(current_start).cast("date")
+    bs = baseline_start if isinstance(baseline_start, Column) else F.lit(baseline_start).cast("date")
+    sl = slice_column(layout.slices[1:]).alias("_slices")
+    tagged = current.select(F.lit(0).alias("_b"), sl, *layout.columns).unionByName(
+        baseline.select(F.lit(1).alias("_b"), sl, *layout.columns)
     )
-    paired = vc.groupBy(*DRIFT_KEYS, "kind", "num", "cat").agg(
+    vc = long_value_counts(tagged, {"_b": F.col("_b")}, layout, slices_col="_slices")
+    paired = vc.groupBy("slice_id", "col_id", "num", "cat").agg(
         F.sum(F.when(F.col("_b") == 1, F.col("n")).otherwise(0)).alias("n_b"),
         F.sum(F.when(F.col("_b") == 0, F.col("n")).otherwise(0)).alias("n_c"),
     )
-    paired = materialize(paired)
-    return _pair_numeric_and_categorical(paired, DRIFT_KEYS, buckets, mean_scale).select(*DRIFT_KEYS, *DRIFT_COLUMNS)
+    paired = materialize(paired.withColumn("window_start", cs))
+    out = _metrics(paired, layout, bs, buckets, mean_scale)
+    return out.withColumn("window_start", cs)
 
 
 def drift_separate(
@@ -184,16 +187,15 @@ def drift_separate(
         return (y - 1, 12) if m == 1 else (y, m - 1)
 
     needed = sorted({*months, *[prev(*ym) for ym in months]})
-    num, cat = split_columns(resolve(*needed[0]), columns)
-    cols = [*num, *cat]
-    sl = slice_column(slices).alias("_slices")
+    layout = Layout(*split_columns(resolve(*needed[0]), columns), slices)
+    sl = slice_column(layout.slices[1:]).alias("_slices")
     tagged = None
     for y, m in needed:
-        t = resolve(y, m).select(F.make_date(F.lit(y), F.lit(m), F.lit(1)).alias("_ws"), sl, *cols)
+        t = resolve(y, m).select(F.make_date(F.lit(y), F.lit(m), F.lit(1)).alias("_ws"), sl, *layout.columns)
         tagged = t if tagged is None else tagged.unionByName(t)
-    vc = long_value_counts(tagged, {"ws": F.col("_ws")}, num, cat, slices_col="_slices")
+    vc = long_value_counts(tagged, {"ws": F.col("_ws")}, layout, slices_col="_slices")
     listed = [F.make_date(F.lit(y), F.lit(m), F.lit(1)) for y, m in sorted(set(months))]
-    return _drift_from_window_counts(vc, "month", buckets, mean_scale).where(F.col("window_start").isin(*listed))
+    return _drift_from_window_counts(vc, layout, "month", buckets, mean_scale).where(F.col("window_start").isin(*listed))
 
 
 def profile(
@@ -207,9 +209,9 @@ def profile(
 ) -> DataFrame:
     """Profile metrics per ``(window_start, slice, column_name)``."""
     unit = window_unit(window)
-    num, cat = split_columns(df, columns, [ts_col])
-    vc = materialize(long_value_counts(df, {"window_start": window_start(ts_col, unit)}, num, cat, slices))
-    return profile_from_counts(vc, ["window_start", "slice"], buckets, mean_scale)
+    layout = Layout(*split_columns(df, columns, [ts_col]), slices)
+    vc = materialize(long_value_counts(df, {"window_start": window_start(ts_col, unit)}, layout))
+    return profile_from_counts(vc, layout, "window_start", buckets, mean_scale)
 
 
 def custom_metrics(
@@ -222,6 +224,8 @@ def custom_metrics(
     """User SQL aggregates per window and slice: ``(window_start, slice, metric_name, metric_value)``."""
     unit = window_unit(window)
     g = df.select("*", window_start(ts_col, unit).alias("window_start"), F.explode(slice_column(slices)).alias("slice"))
+    names = F.array(*[F.lit(x) for x in ["all", *(slices or [])]])
+    g = g.withColumn("slice", F.element_at(names, F.col("slice") + 1))
     wide = g.groupBy("window_start", "slice").agg(*[F.expr(sql).cast("double").alias(name) for name, sql in metrics.items()])
     return wide.unpivot(["window_start", "slice"], list(metrics), "metric_name", "metric_value")
 
