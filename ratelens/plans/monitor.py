@@ -65,6 +65,16 @@ def split_columns(df: DataFrame, columns: Sequence[str] | None, exclude: Sequenc
     return [c for c in columns if c in num], [c for c in columns if c in cat]
 
 
+def critical_view(df: DataFrame, columns: Sequence[str], ts_col: str | None = None, name: str | None = None) -> DataFrame:
+    """The critical columns (plus the timestamp) of a wide table; registered as
+    a temp view when ``name`` is given.  Selecting first means only these
+    Parquet columns are read by any monitor built on the view."""
+    out = df.select(*columns, *([ts_col] if ts_col else []))
+    if name:
+        out.createOrReplaceTempView(name)
+    return out
+
+
 def hash_sample(df: DataFrame, key_cols: Sequence[str], fraction: float) -> DataFrame:
     """Deterministic row sample: the same rows on every run and partitioning."""
     scale = 1_000_000

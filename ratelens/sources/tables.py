@@ -23,3 +23,8 @@ def read_source(spark: SparkSession, source: str | DataFrame, fmt: str = "parque
     if "/" in source or ":" in source:
         return spark.read.format(fmt).load(source)
     return spark.table(source)
+
+
+def save_table(df: DataFrame, name: str, mode: str = "overwrite", fmt: str = "parquet") -> None:
+    """Save a result as a catalog table (``saveAsTable``)."""
+    df.write.mode(mode).format(fmt).saveAsTable(name)
