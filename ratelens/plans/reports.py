@@ -702,7 +702,11 @@ CATALOGUE = {
 
 
 def run_all(df: DataFrame, cache: bool = False, names: Sequence[str] | None = None) -> dict:
-    """Build every report over one table; returns ``{"results": {...}, "skipped": [...]}``.
+    """Build every report over one table.
+
+    Returns ``{"results": {name: DataFrame}, "skipped": [names], "source": DataFrame}``;
+    ``source`` is the (possibly persisted) table the reports read; call
+    ``source.unpersist()`` when done.
 
     With ``cache=True`` the table is first pruned to the columns the reports
     read and persisted (memory, spilling to disk), so the ~45 result sets
@@ -720,7 +724,7 @@ def run_all(df: DataFrame, cache: bool = False, names: Sequence[str] | None = No
             skipped.append(name)
         else:
             results[name] = out
-    return {"results": results, "skipped": skipped}
+    return {"results": results, "skipped": skipped, "source": src}
 
 
 _USED_COLUMNS = {

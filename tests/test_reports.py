@@ -11,6 +11,18 @@ def test_run_all_builds_every_report(spark):
     assert set(out["results"]) == set(R.CATALOGUE)
     for name in ("state_premium", "decile_summary", "growth_summary", "renewal_data"):
         assert out["results"][name].count() > 0
+    out["source"].unpersist()
+
+
+def test_summary_statistics_equals_describe(spark):
+    df = policy_frame(spark, SF001)
+    ours, ref = R.summary_statistics(df).collect(), df.describe().collect()
+    assert [r.summary for r in ours] == [r.summary for r in ref]
+    for a, b in zip(ours, ref):
+        for k in b.asDict():
+            x, y = a[k], b[k]
+            if x != y:
+                assert abs(float(x) - float(y)) <= 1e-9 * max(1.0, abs(float(y))), (a.summary, k, x, y)
 
 
 def test_missing_optional_columns_are_skipped(spark):
