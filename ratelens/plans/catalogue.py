@@ -485,6 +485,16 @@ register(
     )
 )
 
+register(
+    "d17_drift_by_group_lineitem",
+    DS.drift_time_series_sql("lineitem", "l_shipdate", ["l_extendedprice"], ["l_linestatus"], groups=["l_returnflag"]),
+)(
+    lambda spark, sf_dir: _round(
+        M.drift_time_series(_li(spark, sf_dir), "l_shipdate", ["l_extendedprice", "l_linestatus"], group_cols=["l_returnflag"], mean_scale=4),
+        *DRIFT_ROUND,
+    )
+)
+
 register("d08_profile_lineitem", DS.profile_sql("lineitem", "l_shipdate", LI_NUM, LI_CAT, LI_SLICES[:1]))(
     lambda spark, sf_dir: _round(M.profile(_li(spark, sf_dir), "l_shipdate", LI_NUM + LI_CAT, LI_SLICES[:1], mean_scale=4), *PROFILE_ROUND)
 )

@@ -20,36 +20,46 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _long(table: str, ts: str, numeric: Sequence[str], categorical: Sequence[str], slices: Sequence[str]) -> str:
+def _long(
+    table: str, ts: str, numeric: Sequence[str], categorical: Sequence[str], slices: Sequence[str], groups: Sequence[str] = ()
+) -> str:
+    g = "".join(f"{c}, " for c in groups)
     parts = []
     for label, pred in [("all", "TRUE"), *[(s, s) for s in slices]]:
         for c in numeric:
             parts.append(
-                f"SELECT CAST(date_trunc('month', {ts}) AS DATE) AS ws, {_q(label)} AS slice, {_q(c)} AS column_name, 'n' AS kind, "
+                f"SELECT CAST(date_trunc('month', {ts}) AS DATE) AS ws, {_q(label)} AS slice, {g}{_q(c)} AS column_name, 'n' AS kind, "
                 f"CASE WHEN isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE CAST({c} AS DOUBLE) END AS num, CAST(NULL AS VARCHAR) AS cat "
                 f"FROM {table} WHERE {pred}"
             )
         for c in categorical:
             parts.append(
-                f"SELECT CAST(date_trunc('month', {ts}) AS DATE) AS ws, {_q(label)} AS slice, {_q(c)} AS column_name, 'c' AS kind, "
+                f"SELECT CAST(date_trunc('month', {ts}) AS DATE) AS ws, {_q(label)} AS slice, {g}{_q(c)} AS column_name, 'c' AS kind, "
                 f"CAST(NULL AS DOUBLE) AS num, CAST({c} AS VARCHAR) AS cat FROM {table} WHERE {pred}"
             )
     return "\nUNION ALL ".join(parts)
 
 
 def drift_time_series_sql(
-    table: str, ts: str, numeric: Sequence[str], categorical: Sequence[str], slices: Sequence[str] = (), digits: int = 6
+    table: str,
+    ts: str,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    slices: Sequence[str] = (),
+    digits: int = 6,
+    groups: Sequence[str] = (),
 ) -> str:
-    K = "window_start, slice, column_name"
+    G = "".join(f"{c}, " for c in groups)
+    K = f"window_start, slice, {G}column_name"
     R = lambda e: f"round({e}, {digits})"
     return f"""
-WITH long AS ({_long(table, ts, numeric, categorical, slices)}),
-vc AS (SELECT ws, slice, column_name, kind, num, cat, count(*) AS n FROM long GROUP BY ALL),
+WITH long AS ({_long(table, ts, numeric, categorical, slices, groups)}),
+vc AS (SELECT ws, slice, {G}column_name, kind, num, cat, count(*) AS n FROM long GROUP BY ALL),
 paired AS (
-  SELECT window_start, slice, column_name, kind, num, cat, sum(n_b) AS n_b, sum(n_c) AS n_c FROM (
-    SELECT ws AS window_start, slice, column_name, kind, num, cat, 0 AS n_b, n AS n_c FROM vc
+  SELECT window_start, slice, {G}column_name, kind, num, cat, sum(n_b) AS n_b, sum(n_c) AS n_c FROM (
+    SELECT ws AS window_start, slice, {G}column_name, kind, num, cat, 0 AS n_b, n AS n_c FROM vc
     UNION ALL
-    SELECT CAST(ws + INTERVAL 1 MONTH AS DATE), slice, column_name, kind, num, cat, n, 0 FROM vc) GROUP BY ALL),
+    SELECT CAST(ws + INTERVAL 1 MONTH AS DATE), slice, {G}column_name, kind, num, cat, n, 0 FROM vc) GROUP BY ALL),
 nump AS (SELECT {K}, num AS value, n_b, n_c FROM paired WHERE kind = 'n'),
 nstats AS (
   SELECT {K},
@@ -63,9 +73,9 @@ nstats AS (
 cdf AS (
   SELECT v.*, s.Nb, s.Nc, s.mean_b,
     sum(n_b) OVER w AS cb, sum(n_c) OVER w AS cc,
-    lead(value) OVER (PARTITION BY v.window_start, v.slice, v.column_name ORDER BY value) AS nv
+    lead(value) OVER (PARTITION BY {K} ORDER BY value) AS nv
   FROM nump v JOIN nstats s USING ({K}) WHERE value IS NOT NULL
-  WINDOW w AS (PARTITION BY v.window_start, v.slice, v.column_name ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  WINDOW w AS (PARTITION BY {K} ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 dist AS (
   SELECT {K},
     max(abs(cb / nullif(Nb, 0) - cc / nullif(Nc, 0))) AS ks,
@@ -73,10 +83,10 @@ dist AS (
     sqrt(sum(n_b * (value - mean_b) * (value - mean_b)) / nullif(sum(n_b) - 1, 0)) AS sd_b
   FROM cdf GROUP BY ALL),
 dec AS (
-  SELECT CAST(ws + INTERVAL 1 MONTH AS DATE) AS window_start, slice, column_name, quantile_cont(num, {JSD_DECILES}) AS d
+  SELECT CAST(ws + INTERVAL 1 MONTH AS DATE) AS window_start, slice, {G}column_name, quantile_cont(num, {JSD_DECILES}) AS d
   FROM long WHERE kind = 'n' AND num IS NOT NULL GROUP BY ALL),
 bins AS (
-  SELECT v.window_start, v.slice, v.column_name, s.Nb, s.Nc, v.n_b, v.n_c,
+  SELECT {K}, s.Nb, s.Nc, v.n_b, v.n_c,
     CASE WHEN v.value < s.min_b THEN -1 WHEN v.value > s.max_b THEN 1048576
          ELSE len(list_filter(list_distinct(list_prepend(s.min_b, d.d)), lambda e: e <= v.value)) END AS bin
   FROM nump v JOIN nstats s USING ({K}) JOIN dec d USING ({K}) WHERE v.value IS NOT NULL),
@@ -86,7 +96,7 @@ njs AS (
                 + 0.5 * CASE WHEN pc > 0 THEN pc * log2(pc / ((pb + pc) / 2)) ELSE 0 END) AS js
   FROM nshares GROUP BY ALL),
 num_out AS (
-  SELECT s.window_start, s.slice, s.column_name, s.Nb AS n_baseline, s.Nc AS n_current,
+  SELECT {K}, s.Nb AS n_baseline, s.Nc AS n_current,
     (s.Tc - s.Nc) / nullif(s.Tc, 0) - (s.Tb - s.Nb) / nullif(s.Tb, 0) AS null_rate_delta,
     abs(s.mean_c - s.mean_b) AS mean_drift,
     CASE WHEN s.Nb > 0 AND s.Nc > 0 THEN d.ks END AS ks_stat,
@@ -110,7 +120,7 @@ cjs AS (
                 + 0.5 * CASE WHEN pc > 0 THEN pc * log2(pc / ((pb + pc) / 2)) ELSE 0 END) AS js
   FROM cshares GROUP BY ALL),
 cat_out AS (
-  SELECT s.window_start, s.slice, s.column_name, s.Nb AS n_baseline, s.Nc AS n_current,
+  SELECT {K}, s.Nb AS n_baseline, s.Nc AS n_current,
     (s.Tc - s.Nc) / nullif(s.Tc, 0) - (s.Tb - s.Nb) / nullif(s.Tb, 0) AS null_rate_delta,
     CAST(NULL AS DOUBLE) AS mean_drift, CAST(NULL AS DOUBLE) AS ks_stat, CAST(NULL AS DOUBLE) AS ks_p_value,
     CAST(NULL AS DOUBLE) AS wasserstein_distance, CAST(NULL AS DOUBLE) AS wasserstein_norm,
@@ -118,7 +128,7 @@ cat_out AS (
     CASE WHEN s.Tb = 0 THEN 'NO_BASELINE' WHEN s.Tc = 0 THEN 'NO_CURRENT' ELSE 'OK' END AS status
   FROM cstats s LEFT JOIN cjs j USING ({K})),
 drift AS (SELECT * FROM num_out UNION ALL SELECT * FROM cat_out)
-SELECT window_start, CAST(window_start - INTERVAL 1 MONTH AS DATE) AS baseline_start, slice, column_name,
+SELECT window_start, CAST(window_start - INTERVAL 1 MONTH AS DATE) AS baseline_start, slice, {G}column_name,
   n_baseline, n_current, null_rate_delta, mean_drift, ks_stat, {R('ks_p_value')} AS ks_p_value,
   {R('wasserstein_distance')} AS wasserstein_distance, {R('wasserstein_norm')} AS wasserstein_norm,
   {R('js_divergence')} AS js_divergence, status

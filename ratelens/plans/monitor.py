@@ -83,34 +83,47 @@ def hash_sample(df: DataFrame, key_cols: Sequence[str], fraction: float) -> Data
 
 
 def _metrics(
-    paired: DataFrame, layout: Layout, baseline_start: Column, buckets: int | None, mean_scale: int | None
+    paired: DataFrame,
+    layout: Layout,
+    baseline_start: Column,
+    buckets: int | None,
+    mean_scale: int | None,
+    group_cols: Sequence[str] = (),
 ) -> DataFrame:
-    """Drift metrics for a paired count frame ``(window_start, slice_id, col_id, num, cat, n_b, n_c)``."""
-    g = paired.select(layout.group_key(F.col("window_start")), "col_id", "num", "cat", "n_b", "n_c")
+    """Drift metrics for a paired count frame ``(window_start, [groups], slice_id, col_id, num, cat, n_b, n_c)``."""
+    groups = list(group_cols)
+    keys = ["_g", *groups]
+    g = paired.select(layout.group_key(F.col("window_start")), *groups, "col_id", "num", "cat", "n_b", "n_c")
     is_num = F.col("col_id") < len(layout.numeric)
-    num = g.where(is_num).select("_g", F.col("num").alias("value"), "n_b", "n_c")
-    cat = g.where(~is_num).select("_g", F.col("cat").alias("value"), "n_b", "n_c")
-    out = numeric_drift(num, ["_g"], buckets=buckets, mean_scale=mean_scale).unionByName(categorical_drift(cat, ["_g"]))
+    num = g.where(is_num).select(*keys, F.col("num").alias("value"), "n_b", "n_c")
+    cat = g.where(~is_num).select(*keys, F.col("cat").alias("value"), "n_b", "n_c")
+    out = numeric_drift(num, keys, buckets=buckets, mean_scale=mean_scale).unionByName(categorical_drift(cat, keys))
     names = layout.decode()
     ws = names["window_start"]
     return out.select(
         ws.alias("window_start"),
         (baseline_start if isinstance(baseline_start, Column) else baseline_start(ws)).alias("baseline_start"),
         names["slice"].alias("slice"),
+        *groups,
         names["column_name"].alias("column_name"),
         *DRIFT_COLUMNS,
     )
 
 
 def _drift_from_window_counts(
-    vc: DataFrame, layout: Layout, unit: str, buckets: int | None, mean_scale: int | None = None
+    vc: DataFrame,
+    layout: Layout,
+    unit: str,
+    buckets: int | None,
+    mean_scale: int | None = None,
+    group_cols: Sequence[str] = (),
 ) -> DataFrame:
     """Pair every window's counts with the previous window's (one union + aggregate).
 
     The paired count frame (one row per window, slice, column and distinct
     value) is materialized once; the metric aggregates read it from there.
     """
-    cols = ["slice_id", "col_id", "num", "cat"]
+    cols = [*group_cols, "slice_id", "col_id", "num", "cat"]
     cur = vc.select(F.col("ws").alias("window_start"), *cols, F.lit(0).cast("long").alias("n_b"), F.col("n").alias("n_c"))
     base = vc.select(
         shift_window(F.col("ws"), unit).alias("window_start"), *cols, F.col("n").alias("n_b"), F.lit(0).cast("long").alias("n_c")
@@ -119,7 +132,7 @@ def _drift_from_window_counts(
         cur.unionByName(base).groupBy("window_start", *cols).agg(F.sum("n_b").alias("n_b"), F.sum("n_c").alias("n_c"))
     )
     paired = materialize(paired)
-    return _metrics(paired, layout, lambda ws: shift_window(ws, unit, -1), buckets, mean_scale)
+    return _metrics(paired, layout, lambda ws: shift_window(ws, unit, -1), buckets, mean_scale, group_cols)
 
 
 def drift_time_series(
@@ -130,17 +143,21 @@ def drift_time_series(
     window: str = "1 month",
     buckets: int | None = None,
     mean_scale: int | None = None,
+    group_cols: Sequence[str] = (),
 ) -> DataFrame:
     """Every window against the previous calendar window, one plan for all columns.
 
     A window whose predecessor has no rows gets ``status = 'NO_BASELINE'``
     and null metrics.  ``mean_scale``: exact decimal means for columns with
-    at most that many decimals (None: double sums).
+    at most that many decimals (None: double sums).  ``group_cols``: a
+    granularity level; metrics per value of these columns (each group
+    compared with the same group in the previous window).
     """
     unit = window_unit(window)
-    layout = Layout(*split_columns(df, columns, [ts_col]), slices)
-    vc = long_value_counts(df, {"ws": window_start(ts_col, unit)}, layout)
-    out = _drift_from_window_counts(vc, layout, unit, buckets, mean_scale)
+    layout = Layout(*split_columns(df, columns, [ts_col, *group_cols]), slices)
+    groups = {"ws": window_start(ts_col, unit), **{c: F.col(c) for c in group_cols}}
+    vc = long_value_counts(df, groups, layout)
+    out = _drift_from_window_counts(vc, layout, unit, buckets, mean_scale, group_cols)
     # windows after the last one exist only as shifted baselines
     return out.where(F.col("status") != "NO_CURRENT")
 

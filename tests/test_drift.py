@@ -128,3 +128,14 @@ def test_window_units():
     assert M.window_unit("1 MONTH") == "month" and M.window_unit("week") == "week" and M.window_unit("1 days") == "day"
     with pytest.raises(ValueError):
         M.window_unit("2 months")
+
+
+def test_group_cols_equal_slices(spark):
+    li = _months(load_table(spark, SF01, "lineitem"), "l_shipdate")
+    cols = ["l_extendedprice", "l_linestatus"]
+    by_group = M.drift_time_series(li, "l_shipdate", cols, group_cols=["l_returnflag"], mean_scale=4)
+    assert by_group.columns[:4] == ["window_start", "baseline_start", "slice", "l_returnflag"]
+    by_slice = M.drift_time_series(li, "l_shipdate", cols, slices=["l_returnflag = 'R'"], mean_scale=4)
+    a = sorted(tuple(r)[4:] for r in by_group.where("l_returnflag = 'R'").collect())
+    b = sorted(tuple(r)[3:] for r in by_slice.where("slice = \"l_returnflag = 'R'\"").collect())
+    assert a == b and len(a) == 4
