@@ -217,9 +217,19 @@ def exact_quantiles(
     one task holding every distinct value.  Here the work is spread over range
     buckets (see module doc) and the driver sees only split points.
     """
+    keys = list(keys)
     vc = value_counts(df, keys, value)
     if buckets is None:
         vc = materialize(vc)  # measured by plan_buckets, then read again
+        buckets = plan_buckets(vc, keys)
+    if buckets <= 1:
+        # every group holds at most MAX_GROUP_ROWS distinct values: Spark's
+        # exact percentile over (value, count) pairs has a bounded buffer
+        q = F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probs]), F.col("n"))
+        if keys:
+            return vc.groupBy(*keys).agg(q.alias(name))
+        empty = F.array(*[F.lit(None).cast("double") for _ in probs])
+        return vc.agg(F.coalesce(q, empty).alias(name))
     pre = ordered_prefix(vc, keys, value, ["n"], buckets)
     return quantiles_from_prefix(pre, keys, value, "n", "cum_n", probs, name)
 
