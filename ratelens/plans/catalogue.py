@@ -527,7 +527,9 @@ def _d03(spark, sf_dir):
 
 @register(
     "d02_drift_snapshot_month",
-    None,
+    "SELECT * FROM ("
+    + DS.drift_time_series_sql("lineitem", "l_shipdate", LI_NUM, LI_CAT, ["l_returnflag = 'R'"])
+    + ") WHERE window_start = DATE '1997-04-01'",
 )
 def _d02(spark, sf_dir):
     """1997-04 partition against the 1997-03 baseline, whole and one slice."""
