@@ -113,11 +113,17 @@ def weighted_mean(value: Column, weight: Column, scale: int | None = None) -> Co
 
 
 def profile_from_counts(
-    vc: DataFrame, layout: Layout, window: str = "window_start", buckets: int | None = None, mean_scale: int | None = None
+    vc: DataFrame,
+    layout: Layout,
+    window: str = "window_start",
+    buckets: int | None = None,
+    mean_scale: int | None = None,
+    group_cols: Sequence[str] = (),
 ) -> DataFrame:
-    """Profile metrics per ``(window, slice, column)`` from long value counts."""
-    vc = vc.select(layout.group_key(F.col(window)), "col_id", "num", "cat", "n")
-    keys = ["_g"]
+    """Profile metrics per ``(window, slice, [groups], column)`` from long value counts."""
+    groups = list(group_cols)
+    vc = vc.select(layout.group_key(F.col(window)), *groups, "col_id", "num", "cat", "n")
+    keys = ["_g", *groups]
     is_num = F.col("col_id") < len(layout.numeric)
     num = vc.where(is_num).select(*keys, F.col("num").alias("value"), "n")
     cat = vc.where(~is_num).select(*keys, F.col("cat").alias("value"), "n")
@@ -175,7 +181,8 @@ def profile_from_counts(
     return out.select(
         names["window_start"].alias(window),
         names["slice"].alias("slice"),
+        *groups,
         names["column_name"].alias("column_name"),
-        *[c for c in out.columns if c != "_g"],
+        *[c for c in out.columns if c not in keys],
         (F.col("null_count") / F.col("row_count")).alias("null_rate"),
     )

@@ -500,6 +500,17 @@ register("d08_profile_lineitem", DS.profile_sql("lineitem", "l_shipdate", LI_NUM
 )
 
 
+register(
+    "d08_profile_by_group_orders",
+    DS.profile_sql("orders", "o_orderdate", ["o_totalprice"], ["o_orderpriority"], groups=["o_orderstatus"]),
+)(
+    lambda spark, sf_dir: _round(
+        M.profile(load_table(spark, sf_dir, "orders"), "o_orderdate", ["o_totalprice", "o_orderpriority"], group_cols=["o_orderstatus"], mean_scale=4),
+        *PROFILE_ROUND,
+    )
+)
+
+
 def _month_range(df: DataFrame, ts: str) -> list[tuple[int, int]]:
     """Calendar months between the first and the last timestamp (one-row aggregate)."""
     lo, hi = df.agg(F.min(ts), F.max(ts)).first()

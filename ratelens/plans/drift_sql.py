@@ -137,19 +137,26 @@ FROM drift WHERE status <> 'NO_CURRENT'
 
 
 def profile_sql(
-    table: str, ts: str, numeric: Sequence[str], categorical: Sequence[str], slices: Sequence[str] = (), digits: int = 6
+    table: str,
+    ts: str,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    slices: Sequence[str] = (),
+    digits: int = 6,
+    groups: Sequence[str] = (),
 ) -> str:
     R = lambda e: f"round({e}, {digits})"
+    G = "".join(f"{c}, " for c in groups)
     return f"""
-WITH long AS ({_long(table, ts, numeric, categorical, slices)}),
+WITH long AS ({_long(table, ts, numeric, categorical, slices, groups)}),
 nums AS (
-  SELECT ws AS window_start, slice, column_name, 'numeric' AS data_type, count(*) AS row_count,
+  SELECT ws AS window_start, slice, {G}column_name, 'numeric' AS data_type, count(*) AS row_count,
     count(*) - count(num) AS null_count, count(DISTINCT num) AS distinct_count,
     min(num) AS min_value, max(num) AS max_value, CAST(sum(CAST(num AS DECIMAL(18,4))) AS DOUBLE) / nullif(count(num), 0) AS mean, {R('stddev_samp(num)')} AS stddev,
     {R('quantile_cont(num, 0.25)')} AS p25, {R('quantile_cont(num, 0.5)')} AS p50, {R('quantile_cont(num, 0.75)')} AS p75
   FROM long WHERE kind = 'n' GROUP BY ALL),
 cats AS (
-  SELECT ws AS window_start, slice, column_name, 'categorical' AS data_type, count(*) AS row_count,
+  SELECT ws AS window_start, slice, {G}column_name, 'categorical' AS data_type, count(*) AS row_count,
     count(*) - count(cat) AS null_count, count(DISTINCT cat) AS distinct_count,
     CAST(NULL AS DOUBLE) AS min_value, CAST(NULL AS DOUBLE) AS max_value, CAST(NULL AS DOUBLE) AS mean,
     CAST(NULL AS DOUBLE) AS stddev, CAST(NULL AS DOUBLE) AS p25, CAST(NULL AS DOUBLE) AS p50, CAST(NULL AS DOUBLE) AS p75

@@ -233,12 +233,14 @@ def profile(
     window: str = "1 month",
     buckets: int | None = None,
     mean_scale: int | None = None,
+    group_cols: Sequence[str] = (),
 ) -> DataFrame:
-    """Profile metrics per ``(window_start, slice, column_name)``."""
+    """Profile metrics per ``(window_start, slice, [group_cols], column_name)``."""
     unit = window_unit(window)
-    layout = Layout(*split_columns(df, columns, [ts_col]), slices)
-    vc = materialize(long_value_counts(df, {"window_start": window_start(ts_col, unit)}, layout))
-    return profile_from_counts(vc, layout, "window_start", buckets, mean_scale)
+    layout = Layout(*split_columns(df, columns, [ts_col, *group_cols]), slices)
+    groups = {"window_start": window_start(ts_col, unit), **{c: F.col(c) for c in group_cols}}
+    vc = materialize(long_value_counts(df, groups, layout))
+    return profile_from_counts(vc, layout, "window_start", buckets, mean_scale, group_cols)
 
 
 def custom_metrics(
