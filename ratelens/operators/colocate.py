@@ -123,32 +123,41 @@ def write_copartitioned(
     partition_key_col: str = "partition_key",
     layout: str = "partitioned",
     fmt: str = "parquet",
-    files_per_bucket: int = 4,
+    files_per_bucket: int | None = None,
+    hash_buckets: int | None = None,
     table_prefix: str = "copart",
 ) -> CoPartitioned:
     """Write every planned table; fills ``plan.paths``.  Errors propagate.
 
-    ``partitioned``: one directory per bucket.  Rows are first spread over
-    ``(bucket, hash(row) mod files_per_bucket)`` so a bucket holding a third
-    of the rows is written by several tasks instead of one, and each task
-    writes files for few buckets (no small-file explosion).  The overwrite
-    is static: a rewrite with fewer buckets leaves no stale directory.
-
-    ``bucketed``: ``bucketBy(num_buckets, key).sortBy(key)`` tables in the
-    session catalog at the same paths; joins between them on the keys plan
+    ``partitioned``: one directory per bucket.  Rows are shuffled on
+    ``(bucket, hash(row) mod files_per_bucket)`` - the salt is a
+    deterministic row hash, so a retried task rebuilds the same files - which
+    spreads every bucket, including one holding a third of the rows, over
+    many write tasks; each task writes about one file per bucket it holds.
+    ``files_per_bucket`` defaults to ``spark.sql.shuffle.partitions``, and
+    AQE may coalesce small shuffle partitions.  The overwrite is static: a
+    rewrite with fewer buckets leaves no stale directory.
+
+    ``bucketed``: ``bucketBy(hash_buckets, key).sortBy(key)`` tables in the
+    session catalog at the same paths (default ``hash_buckets`` =
+    ``spark.sql.shuffle.partitions``); joins between them on the keys plan
     without an Exchange.  Keys are cast to the master key type so their
-    hashes agree.
+    hashes agree.  A key value holding a large share of the rows makes one
+    large hash bucket; prefer the partitioned layout (whose joins keep AQE's
+    skew handling) for such keys.
     """
     if layout not in ("partitioned", "bucketed"):
         raise ValueError("layout must be 'partitioned' or 'bucketed'")
-    master_type = plan.frames["master"].schema[plan.keys["master"]].dataType
+    master = plan.frames["master"]
+    parallelism = int(master.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    master_type = master.schema[plan.keys["master"]].dataType
     for ident, df in plan.frames.items():
         path = f"{output_base_path.rstrip('/')}/{ident}_partitioned"
         if layout == "partitioned":
-            salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_bucket))
-            n = max(1, plan.num_buckets * files_per_bucket)
+            k = files_per_bucket or parallelism
+            salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(k))
             (
-                df.repartition(n, F.col(partition_key_col), salt)
+                df.repartition(F.col(partition_key_col), salt)
                 .write.mode("overwrite")
                 .option("partitionOverwriteMode", "static")
                 .partitionBy(partition_key_col)
@@ -157,10 +166,11 @@ def write_copartitioned(
             )
         else:
             key = plan.keys[ident]
-            out = df.withColumn(key, F.col(key).cast(master_type))
+            n = hash_buckets or parallelism
+            out = df.withColumn(key, F.col(key).cast(master_type)).repartition(n, F.col(key))
             (
                 out.write.mode("overwrite")
-                .bucketBy(plan.num_buckets, key)
+                .bucketBy(n, key)
                 .sortBy(key)
                 .format(fmt)
                 .option("path", path)
@@ -180,10 +190,11 @@ def create_partitioned_tables(
     layout: str = "partitioned",
     null_keys: str = "error",
     fmt: str = "parquet",
+    hash_buckets: int | None = None,
 ) -> CoPartitioned:
     """Learn splits on the master key, bucket master and details, write them."""
     plan = plan_copartitioned(master, master_key, details, num_buckets, partition_key_col, null_keys)
-    return write_copartitioned(plan, output_base_path, partition_key_col, layout, fmt)
+    return write_copartitioned(plan, output_base_path, partition_key_col, layout, fmt, hash_buckets=hash_buckets)
 
 
 def join_copartitioned(
