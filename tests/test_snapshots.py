@@ -26,3 +26,26 @@ def test_capture_partition_of_partitioned_table(spark, scratch):
     store.capture(t, 2025, 3)
     assert sorted(r.id for r in store.read().collect()) == [1, 2]
     assert store.month(2025, 3).where("load_date IS NOT NULL").count() == 2
+
+
+def test_clustered_write_orders_row_groups(spark, scratch):
+    from ratelens.sources.snapshots import clustered_write
+
+    df = spark.range(0, 2000).select(((F.col("id") * 7919) % 2000).alias("rate"), F.col("id"))
+    clustered_write(df, f"{scratch}/clustered", ["rate"], num_files=4)
+    back = spark.read.parquet(f"{scratch}/clustered")
+    assert back.count() == 2000
+    # each file holds one contiguous range of the clustering column
+    ranges = back.groupBy(F.input_file_name()).agg(F.min("rate").alias("lo"), F.max("rate").alias("hi")).orderBy("lo").collect()
+    assert all(a.hi < b.lo for a, b in zip(ranges, ranges[1:]))
+
+
+def test_critical_view_and_save_table(spark):
+    from ratelens.plans.monitor import critical_view
+    from ratelens.sources.tables import read_source, save_table
+
+    df = spark.createDataFrame([(1, 2.0, "a")], "id int, rate double, code string").withColumn("ts", F.current_timestamp())
+    v = critical_view(df, ["rate"], "ts", name="critical_v")
+    assert v.columns == ["rate", "ts"] and spark.table("critical_v").columns == ["rate", "ts"]
+    save_table(v.select("rate"), "saved_rates")
+    assert read_source(spark, "saved_rates").first().rate == 2.0
