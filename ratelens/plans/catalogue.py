@@ -10,6 +10,7 @@ exact decimal sums on both sides and are compared unrounded.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,11 +39,18 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@functools.lru_cache(maxsize=8)
+def _policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The policy view, built once per session and directory (a lazy plan;
+    every report still executes from the tables)."""
+    return policy_frame(spark, sf_dir)
+
+
 def policy_query(name: str, sql: str | None, report, round_cols: tuple[str, ...] = ()):
     """Register ``report(policy)`` with an oracle over the policy CTE."""
 
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = report(policy_frame(spark, sf_dir))
+        out = report(_policy(spark, sf_dir))
         return _round(out, *round_cols) if round_cols else out
 
     if sql is not None:
