@@ -303,3 +303,34 @@ def ntile_summary(
         F.max(value).alias("max_value"),
         s.alias("sum_value"),
     )
+
+
+def distribution_stats(
+    df: DataFrame, value: str, probs: Sequence[float], sum_scale: int | None = None, name: str = "quantiles"
+) -> DataFrame:
+    """One row: ``min, max, mean, stddev`` and exact quantiles of ``value``.
+
+    Everything is derived from one materialized (value, count) frame, so the
+    input is computed once: min/max directly, the mean as an exact sum
+    (``decimal(18, sum_scale)`` for amounts, long for integers), the sample
+    stddev in a second pass around the mean, the quantiles as in
+    :func:`exact_quantiles`.
+    """
+    vc = materialize(value_counts(df, [], value))
+    v, n = F.col(value), F.col("n")
+    if sum_scale is not None:
+        total = F.sum(v.cast(T.DecimalType(18, sum_scale)) * n.cast(T.DecimalType(20, 0))).cast("double")
+    else:
+        total = F.sum(v * n)
+    stats = vc.agg(
+        F.min(v).alias("min"), F.max(v).alias("max"), F.try_divide(total, F.sum(n)).alias("mean"), F.sum(n).alias("_N")
+    )
+    mean = stats.select("mean").scalar()
+    sd = vc.agg(F.sqrt(F.try_divide(F.sum(n * (v - mean) * (v - mean)), F.sum(n) - 1)).alias("stddev"))
+    buckets = plan_buckets(vc, [])
+    if buckets <= 1:
+        qs = vc.agg(F.percentile(v, F.array(*[F.lit(float(p)) for p in probs]), n).alias(name))
+    else:
+        pre = ordered_prefix(vc, [], value, ["n"], buckets)
+        qs = quantiles_from_prefix(pre, [], value, "n", "cum_n", probs, name)
+    return stats.select("min", "max", "mean", sd.select("stddev").scalar().alias("stddev"), qs.select(name).scalar().alias(name))

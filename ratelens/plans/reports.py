@@ -29,7 +29,7 @@ from ratelens.functions.expr import (
     safe_ratio,
 )
 from ratelens.operators.pivot import pivot_count, pivot_sum
-from ratelens.operators.ranking import exact_quantiles, ntile_summary
+from ratelens.operators.ranking import distribution_stats, exact_quantiles, ntile_summary
 from ratelens.operators.segment import policy_triple, segment_summary
 
 # Column names, thresholds and labels of the reports.
@@ -162,12 +162,13 @@ def policies_by_year_month(df: DataFrame) -> DataFrame:
 def policy_duration_stats(df: DataFrame) -> DataFrame:
     """min / max / avg / exact median of the policy term in days."""
     d = df.select(F.datediff("pol_expir_dt", "pol_eff_dt").alias("policy_duration_days"))
-    med = exact_quantiles(d, "policy_duration_days", [0.5], name="q")
-    return d.agg(
-        F.min("policy_duration_days").alias("min_days"),
-        F.max("policy_duration_days").alias("max_days"),
-        F.avg("policy_duration_days").alias("avg_days"),
-    ).select("*", med.select(F.col("q")[0]).scalar().alias("median_days"))
+    s = distribution_stats(d, "policy_duration_days", [0.5], name="q")
+    return s.select(
+        F.col("min").alias("min_days"),
+        F.col("max").alias("max_days"),
+        F.col("mean").alias("avg_days"),
+        F.col("q")[0].alias("median_days"),
+    )
 
 
 def quarterly_trends(df: DataFrame, scale: int | None = 4) -> DataFrame:
@@ -199,21 +200,15 @@ def premium_by_form(df: DataFrame, scale: int | None = 4) -> DataFrame:
 
 def premium_distribution_stats(df: DataFrame, scale: int | None = 4) -> DataFrame:
     """min / quartiles / max / avg / stddev of the written premium (exact quartiles)."""
-    q = exact_quantiles(df, "tot_wprm_amt", [0.25, 0.5, 0.75], name="q")
-    qs = q.select(F.col("q").alias("q")).scalar()
-    return df.agg(
-        F.min("tot_wprm_amt").alias("min_premium"),
-        F.max("tot_wprm_amt").alias("max_premium"),
-        money_avg("tot_wprm_amt", scale).alias("avg_premium"),
-        F.stddev("tot_wprm_amt").alias("stddev_premium"),
-    ).select(
-        "min_premium",
-        qs[0].alias("25th_percentile"),
-        qs[1].alias("median_premium"),
-        qs[2].alias("75th_percentile"),
-        "max_premium",
-        "avg_premium",
-        "stddev_premium",
+    s = distribution_stats(df, "tot_wprm_amt", [0.25, 0.5, 0.75], sum_scale=scale, name="q")
+    return s.select(
+        F.col("min").alias("min_premium"),
+        F.col("q")[0].alias("25th_percentile"),
+        F.col("q")[1].alias("median_premium"),
+        F.col("q")[2].alias("75th_percentile"),
+        F.col("max").alias("max_premium"),
+        F.col("mean").alias("avg_premium"),
+        F.col("stddev").alias("stddev_premium"),
     )
 
 
