@@ -51,8 +51,9 @@ class Layout:
         return ((day * (1 << self.SLICE_BITS) + F.col("slice_id")) * (1 << self.COL_BITS) + F.col("col_id")).alias("_g")
 
     def decode(self, g: str = "_g") -> dict[str, Column]:
-        col_id = (F.col(g) % (1 << self.COL_BITS)).cast("int")
-        slice_id = (F.floor(F.col(g) / (1 << self.COL_BITS)) % (1 << self.SLICE_BITS)).cast("int")
+        # pmod, not %: windows before 1970 give negative keys
+        col_id = F.pmod(F.col(g), F.lit(1 << self.COL_BITS)).cast("int")
+        slice_id = F.pmod(F.floor(F.col(g) / (1 << self.COL_BITS)), F.lit(1 << self.SLICE_BITS)).cast("int")
         day = F.floor(F.col(g) / (1 << (self.COL_BITS + self.SLICE_BITS))).cast("int")
         return {
             "window_start": F.date_from_unix_date(day),

@@ -139,3 +139,13 @@ def test_group_cols_equal_slices(spark):
     a = sorted(tuple(r)[4:] for r in by_group.where("l_returnflag = 'R'").collect())
     b = sorted(tuple(r)[3:] for r in by_slice.where("slice = \"l_returnflag = 'R'\"").collect())
     assert a == b and len(a) == 4
+
+
+def test_windows_before_1970(spark):
+    rows = [(dt.datetime(1969, 11, 5), 1.0, "a"), (dt.datetime(1969, 12, 5), 2.0, "b"), (dt.datetime(1970, 1, 5), 2.0, "b")]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, x double, c string")
+    d = M.drift_time_series(df, "ts", ["x", "c"], slices=["c = 'b'"])
+    got = {(r.window_start, r.slice, r.column_name) for r in d.collect()}
+    assert (dt.date(1969, 12, 1), "c = 'b'", "x") in got and (dt.date(1969, 11, 1), "all", "c") in got
+    r = d.where((F.col("window_start") == dt.date(1969, 12, 1)) & (F.col("slice") == "all") & (F.col("column_name") == "x")).first()
+    assert (r.ks_stat, r.wasserstein_distance) == (1.0, 1.0)
