@@ -14,6 +14,7 @@ metrics per ``(window_start, baseline_start, slice, column_name)``.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -144,6 +145,7 @@ def drift_time_series(
     buckets: int | None = None,
     mean_scale: int | None = None,
     group_cols: Sequence[str] = (),
+    columns_per_pass: int | None = None,
 ) -> DataFrame:
     """Every window against the previous calendar window, one plan for all columns.
 
@@ -152,9 +154,20 @@ def drift_time_series(
     at most that many decimals (None: double sums).  ``group_cols``: a
     granularity level; metrics per value of these columns (each group
     compared with the same group in the previous window).
+    ``columns_per_pass``: monitor the columns in groups of this size, one
+    scan each; the long frame of a pass is rows x group size instead of
+    rows x all columns, which bounds the shuffle of very wide tables.
     """
     unit = window_unit(window)
-    layout = Layout(*split_columns(df, columns, [ts_col, *group_cols]), slices)
+    num, cat = split_columns(df, columns, [ts_col, *group_cols])
+    if columns_per_pass and len(num) + len(cat) > columns_per_pass:
+        cols = [*num, *cat]
+        parts = [
+            drift_time_series(df, ts_col, cols[i : i + columns_per_pass], slices, window, buckets, mean_scale, group_cols)
+            for i in range(0, len(cols), columns_per_pass)
+        ]
+        return functools.reduce(DataFrame.unionByName, parts)
+    layout = Layout(num, cat, slices)
     groups = {"ws": window_start(ts_col, unit), **{c: F.col(c) for c in group_cols}}
     vc = long_value_counts(df, groups, layout)
     out = _drift_from_window_counts(vc, layout, unit, buckets, mean_scale, group_cols)

@@ -149,3 +149,11 @@ def test_windows_before_1970(spark):
     assert (dt.date(1969, 12, 1), "c = 'b'", "x") in got and (dt.date(1969, 11, 1), "all", "c") in got
     r = d.where((F.col("window_start") == dt.date(1969, 12, 1)) & (F.col("slice") == "all") & (F.col("column_name") == "x")).first()
     assert (r.ks_stat, r.wasserstein_distance) == (1.0, 1.0)
+
+
+def test_columns_per_pass_equals_one_pass(spark):
+    li = _months(load_table(spark, SF01, "lineitem"), "l_shipdate")
+    cols = ["l_extendedprice", "l_quantity", "l_returnflag"]
+    one = M.drift_time_series(li, "l_shipdate", cols, mean_scale=4)
+    two = M.drift_time_series(li, "l_shipdate", cols, mean_scale=4, columns_per_pass=2)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
