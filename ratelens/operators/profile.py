@@ -73,29 +73,39 @@ def long_value_counts(
     Numeric columns carry their value in ``num`` (NaN counted as null),
     categorical ones in ``cat`` (as string).  Slice ids come from the layout's
     predicates over ``df``, or from an array column ``slices_col`` built
-    earlier with :func:`slice_column`.
+    earlier with :func:`slice_column`.  Numeric and categorical columns are
+    counted in two aggregations, so the numeric one (nearly all the rows of a
+    ratemaking table) hashes fixed-width keys only.
     """
-    items = [
-        F.struct(
-            F.lit(i).alias("col_id"),
-            F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("num"),
-            F.lit(None).cast("string").alias("cat"),
-        )
-        for i, c in enumerate(layout.numeric)
-    ] + [
-        F.struct(
-            F.lit(len(layout.numeric) + i).alias("col_id"),
-            F.lit(None).cast("double").alias("num"),
-            F.col(c).cast("string").alias("cat"),
-        )
-        for i, c in enumerate(layout.categorical)
-    ]
-    if not items:
+    if not layout.columns:
         raise ValueError("no column to monitor")
     labels = F.col(slices_col) if slices_col else slice_column(layout.slices[1:])
     base = df.select(*[c.alias(n) for n, c in group_cols.items()], F.explode(labels).alias("slice_id"), *layout.columns)
-    long = base.select(*group_cols, "slice_id", F.inline(F.array(*items)))
-    return long.groupBy(*group_cols, "slice_id", "col_id", "num", "cat").agg(F.count(F.lit(1)).alias("n"))
+    keys = [*group_cols, "slice_id", "col_id"]
+    count = F.count(F.lit(1)).alias("n")
+    parts = []
+    if layout.numeric:
+        items = [
+            F.struct(F.lit(i).alias("col_id"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("num"))
+            for i, c in enumerate(layout.numeric)
+        ]
+        parts.append(
+            base.select(*group_cols, "slice_id", F.inline(F.array(*items)))
+            .groupBy(*keys, "num")
+            .agg(count)
+            .withColumn("cat", F.lit(None).cast("string"))
+        )
+    if layout.categorical:
+        off = len(layout.numeric)
+        items = [F.struct(F.lit(off + i).alias("col_id"), F.col(c).cast("string").alias("cat")) for i, c in enumerate(layout.categorical)]
+        parts.append(
+            base.select(*group_cols, "slice_id", F.inline(F.array(*items)))
+            .groupBy(*keys, "cat")
+            .agg(count)
+            .withColumn("num", F.lit(None).cast("double"))
+        )
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return out.select(*keys, "num", "cat", "n")
 
 
 def weighted_mean(value: Column, weight: Column, scale: int | None = None) -> Column:
