@@ -67,6 +67,7 @@ def long_value_counts(
     group_cols: Mapping[str, Column],
     layout: Layout,
     slices_col: str | None = None,
+    single_scan: bool = False,
 ) -> DataFrame:
     """``(group..., slice_id, col_id, num, cat, n)``: rows per distinct value.
 
@@ -75,7 +76,9 @@ def long_value_counts(
     predicates over ``df``, or from an array column ``slices_col`` built
     earlier with :func:`slice_column`.  Numeric and categorical columns are
     counted in two aggregations, so the numeric one (nearly all the rows of a
-    ratemaking table) hashes fixed-width keys only.
+    ratemaking table) hashes fixed-width keys only.  That reads ``df`` twice;
+    ``single_scan=True`` (for expensive inputs such as a union of monthly
+    tables) counts both kinds in one aggregation over one read.
     """
     if not layout.columns:
         raise ValueError("no column to monitor")
@@ -83,6 +86,17 @@ def long_value_counts(
     base = df.select(*[c.alias(n) for n, c in group_cols.items()], F.explode(labels).alias("slice_id"), *layout.columns)
     keys = [*group_cols, "slice_id", "col_id"]
     count = F.count(F.lit(1)).alias("n")
+    if single_scan and layout.numeric and layout.categorical:
+        none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
+        items = [
+            F.struct(F.lit(i).alias("col_id"), F.nanvl(F.col(c).cast("double"), none_d).alias("num"), none_s.alias("cat"))
+            for i, c in enumerate(layout.numeric)
+        ] + [
+            F.struct(F.lit(len(layout.numeric) + i).alias("col_id"), none_d.alias("num"), F.col(c).cast("string").alias("cat"))
+            for i, c in enumerate(layout.categorical)
+        ]
+        long = base.select(*group_cols, "slice_id", F.inline(F.array(*items)))
+        return long.groupBy(*keys, "num", "cat").agg(count).select(*keys, "num", "cat", "n")
     parts = []
     if layout.numeric:
         items = [

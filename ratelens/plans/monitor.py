@@ -198,7 +198,7 @@ def drift_snapshot(
     tagged = current.select(F.lit(0).alias("_b"), sl, *layout.columns).unionByName(
         baseline.select(F.lit(1).alias("_b"), sl, *layout.columns)
     )
-    vc = long_value_counts(tagged, {"_b": F.col("_b")}, layout, slices_col="_slices")
+    vc = long_value_counts(tagged, {"_b": F.col("_b")}, layout, slices_col="_slices", single_scan=True)
     paired = vc.groupBy("slice_id", "col_id", "num", "cat").agg(
         F.sum(F.when(F.col("_b") == 1, F.col("n")).otherwise(0)).alias("n_b"),
         F.sum(F.when(F.col("_b") == 0, F.col("n")).otherwise(0)).alias("n_c"),
@@ -233,7 +233,7 @@ def drift_separate(
     for y, m in needed:
         t = resolve(y, m).select(F.make_date(F.lit(y), F.lit(m), F.lit(1)).alias("_ws"), sl, *layout.columns)
         tagged = t if tagged is None else tagged.unionByName(t)
-    vc = long_value_counts(tagged, {"ws": F.col("_ws")}, layout, slices_col="_slices")
+    vc = long_value_counts(tagged, {"ws": F.col("_ws")}, layout, slices_col="_slices", single_scan=True)
     listed = [F.make_date(F.lit(y), F.lit(m), F.lit(1)) for y, m in sorted(set(months))]
     return _drift_from_window_counts(vc, layout, "month", buckets, mean_scale).where(F.col("window_start").isin(*listed))
 
