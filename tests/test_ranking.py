@@ -93,3 +93,26 @@ def test_result_independent_of_shuffle_partitions(spark):
 def test_value_counts_drop_nan_and_null(spark):
     df = spark.createDataFrame([(float("nan"),), (None,), (1.0,), (1.0,)], "x double")
     assert [tuple(r) for r in value_counts(df, [], "x").collect()] == [(1.0, 2)]
+
+
+@pytest.mark.parametrize("case", ["distinct", "heavy_ties", "constant", "tiny", "nulls"])
+def test_distribution_stats_match_aggregates(spark, case):
+    from ratelens.operators.ranking import distribution_stats
+
+    df = spark.createDataFrame(CASES[case], "x double")
+    ours = distribution_stats(df, "x", [0.25, 0.5]).first()
+    ref = df.selectExpr("min(x)", "max(x)", "avg(x)", "stddev(x)", "percentile(x, array(0.25, 0.5))").first()
+    assert (ours["min"], ours["max"]) == (ref[0], ref[1])
+    assert ours["mean"] == pytest.approx(ref[2], rel=1e-12)
+    if ref[3] is None:
+        assert ours["stddev"] is None
+    else:
+        assert ours["stddev"] == pytest.approx(ref[3], rel=1e-9, abs=1e-12)
+    assert ours["quantiles"] == pytest.approx(ref[4], rel=1e-12)
+
+
+def test_distribution_stats_empty(spark):
+    from ratelens.operators.ranking import distribution_stats
+
+    r = distribution_stats(spark.createDataFrame([], "x double"), "x", [0.5]).first()
+    assert (r["min"], r["max"], r["mean"], r["stddev"]) == (None, None, None, None)
