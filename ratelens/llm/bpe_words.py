@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratelens.llm.blocks import blocks
-from ratelens.llm.pack_bestfit import chunks
+from ratelens.llm.pack_bestfit import chunk_keys, chunk_of
 from ratelens.llm.shared import Numbering, pack_ints, partitions_for, ragged, read_file, ship, unpack_ints, with_text
 
 _kept: dict = {}
@@ -63,14 +63,17 @@ class Splitter:
 
     def block(self, texts: list[bytes]) -> tuple[list[str], list[np.ndarray]]:
         """(distinct pre-tokens, each text's pre-token numbers)."""
-        chunk = Numbering()
-        used = [chunk.of(chunks(t.decode("utf-8", "replace"))) for t in texts]
-        word = Numbering()
-        found = [word.of(self.find(c)) for c in chunk.order]
-        lens = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.concatenate([np.zeros(0, np.int64), *found])
+        chunk, word = Numbering(), Numbering()
+        used = [chunk.of(chunk_keys(t.decode("utf-8", "replace"))).astype(np.int32) for t in texts]
+        flat: list[int] = []
+        lens = np.zeros(len(chunk.order), np.int64)
+        for k, key in enumerate(chunk.order):
+            found = self.find(chunk_of(key))
+            lens[k] = len(found)
+            flat.extend(map(word.__getitem__, found))
+        numbers = np.array(flat, np.int32)
         starts = np.cumsum(lens) - lens
-        return word.order, [ragged(flat, starts, lens, u) for u in used]
+        return word.order, [ragged(numbers, starts, lens, u) for u in used]
 
 
 def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
@@ -102,7 +105,7 @@ def positions(docs: DataFrame, pattern: str) -> DataFrame:
         for block, ids, texts in blocks(batches):
             words, used = split.block(texts)
             counts = np.fromiter(map(len, used), np.uint32, len(used))
-            order = np.concatenate([np.zeros(0, np.int64), *used])
+            order = np.concatenate([np.zeros(0, np.int32), *used])
             row = [
                 pa.array([block]),
                 pa.array([ids], pa.list_(pa.int64())),

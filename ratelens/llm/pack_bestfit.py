@@ -2,7 +2,7 @@
 
 Pieces of at most ``capacity`` tokens are packed into few sequences:
 
-1. Large pieces (over ``capacity / large_share``) are sorted by length and cut
+1. Large pieces (over ``capacity / share``) are sorted by length and cut
    into groups of equal cardinality; each length is rounded up to its group's
    largest.  Few sizes remain.
 2. Configurations over these few sizes are built one after another: a knapsack
@@ -12,6 +12,8 @@ Pieces of at most ``capacity`` tokens are packed into few sequences:
    becomes room again.
 4. Small pieces go, longest first, to the fullest sequence that has room.
 
+A few layouts (share and number of groups) are planned and the best is taken.
+
 The plan needs the pieces' lengths alone: a histogram of at most ``capacity``
 counts goes to the driver, and the plan comes back as runs of ranks (pieces
 ``from <= rank < to`` of one length go to consecutive sequences).  Its size
@@ -27,8 +29,10 @@ other than doc_id and text are not carried.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +43,9 @@ from pyspark.sql import functions as F
 from ratelens.llm.shared import Numbering, ragged, read_file, ship, with_text, written
 
 CAPACITY = 2048
-#: Pieces over capacity / LARGE_SHARE are grouped; smaller ones fill the rest.
-LARGE_SHARE = 6
-GROUPS = 48
+#: Layouts tried, the one with fewest sequences wins: pieces over capacity / share
+#: are large, and are cut into so many groups.
+LAYOUTS = ((2, 50), (3, 200), (3, 1000), (4, 1000))
 #: Distinct text chunks whose ids a Python worker keeps.
 KEPT_CHUNKS = 600_000
 
@@ -54,7 +58,8 @@ class ChunkEncoder:
     A chunk runs from a space that a non-space character follows to the next
     such space.  The byte-level pattern always starts a match at such a space,
     and what precedes it splits as it would at the text's end, so a text's ids
-    are its chunks' ids in order.
+    are its chunks' ids in order.  Chunks used again are kept from block to
+    block, up to half of KEPT_CHUNKS.
     """
 
     def __init__(self, vocabulary: bytes) -> None:
@@ -62,48 +67,68 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_buffer(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.reset()
-
-    def reset(self) -> None:
         self.numbers = Numbering()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.lens = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
+        self.lens, self.starts, self.uses = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _shrink(self) -> None:
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > KEPT_CHUNKS // 2:
+            keep = np.sort(np.argsort(-self.uses, kind="stable")[: KEPT_CHUNKS // 2])
+        flat = ragged(self.flat, self.starts, self.lens, keep)
+        order = self.numbers.order
+        self.numbers = Numbering()
+        self.numbers.of([order[k] for k in keep.tolist()])
+        self.lens, self.uses = self.lens[keep], self.uses[keep] // 2
+        self.starts, self.flat, self.used = np.cumsum(self.lens) - self.lens, flat, len(flat)
 
-    def _add(self, chunks: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    def _add(self, new: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         lens = np.fromiter(map(len, found), np.int64, len(found))
         total = int(lens.sum())
         if self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(total, self.used) + total, np.uint32)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(lens) - lens])
         self.lens = np.concatenate([self.lens, lens])
         self.used += total
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.numbers.order) > KEPT_CHUNKS:
-            self.reset()
-        numbered = [self.numbers.of(chunks(t)) for t in texts]
+            self._shrink()
+        numbered = [self.numbers.of(chunk_keys(t)) for t in texts]
         new = self.numbers.order[len(self.lens) :]
         if new:
-            self._add(new)
+            self._add([chunk_of(k) for k in new])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        self.uses += np.bincount(np.concatenate([np.zeros(0, np.int64), *numbered]), minlength=len(self.uses))
         return [ragged(self.flat, self.starts, self.lens, n) for n in numbered]
 
 
-def chunks(text: str) -> list[str]:
-    """``text`` cut before each space that a non-space character follows."""
+#: A space that doesn't start a chunk, or what the short form of keys can't hold.
+UNUSUAL = re.compile(r" (?=\s|\Z)|\0")
+
+
+def chunk_keys(text: str) -> list[str]:
+    """Keys of the text's chunks: NUL and the chunk, or a chunk without its leading space."""
     parts = text.split(" ")
-    if len(parts) == 1:
-        return parts if text else []
+    if not UNUSUAL.search(text):
+        if parts[0]:
+            parts[0] = "\0" + parts[0]
+            return parts
+        return parts[1:]
     out = [parts[0]] if parts[0] else []
     for p in parts[1:]:
         if out and (not p or p[0].isspace()):
             out[-1] += " " + p  # this space belongs to a run of white space
-        elif p and not p[0].isspace() or not out:
+        else:
             out.append(" " + p)
-    return out
+    return ["\0" + p for p in out]
+
+
+def chunk_of(key: str) -> str:
+    return key[1:] if key[:1] == "\0" else " " + key
 
 
 def encoder(vocabulary: bytes) -> ChunkEncoder:
@@ -148,21 +173,29 @@ def pieces(docs: DataFrame, vocabulary: bytes, capacity: int, end_id: int, ids:
     return with_text(docs).mapInArrow(run, PIECES_IDS if ids else PIECES)
 
 
-def plan(counts: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
-    """Runs (length, from, to, first sequence, per sequence, offset) for ``counts[length]`` pieces.
+Run = tuple[int, int, int, int, int, int]
+
+
+def best_plan(counts: np.ndarray) -> list[Run]:
+    """The plan with fewest sequences among LAYOUTS."""
+    return min((plan(counts, *layout) for layout in LAYOUTS), key=lambda p: p[0])[1]
+
+
+def plan(counts: np.ndarray, share: int, n_groups: int) -> tuple[int, list[Run]]:
+    """The number of sequences, and runs (length, from, to, first sequence, per sequence, offset) for ``counts[length]`` pieces.
 
     The k-th piece of a run goes to sequence ``first + k // per`` at
     ``offset + k % per * length``.
     """
     capacity = len(counts) - 1
-    runs: list[tuple[int, int, int, int, int, int]] = []
+    runs: list[Run] = []
     room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by room left: (first sequence, count)
     sequences = 0
 
     # 1. equal-cardinality groups of the large lengths, each a descending list of (length, from, to)
-    large = [n for n in range(capacity, capacity // LARGE_SHARE, -1) if counts[n]]
+    large = [n for n in range(capacity, capacity // share, -1) if counts[n]]
     total = int(sum(counts[n] for n in large))
-    each = max(1, -(-total // GROUPS))
+    each = max(1, -(-total // n_groups))
     groups: list[list[tuple[int, int, int]]] = []
     left = 0
     for n in large:
@@ -215,7 +248,7 @@ def plan(counts: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
         sequences += times
 
     # 4. small pieces, best fit
-    for length in range(capacity // LARGE_SHARE, 0, -1):
+    for length in range(capacity // share, 0, -1):
         at, need, r = 0, int(counts[length]), length
         while need:
             while r <= capacity and not room[r]:
@@ -240,7 +273,7 @@ def plan(counts: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
                 room[r].append((first + k, bins - k))
             at, need = at + n, need - n
             r = length
-    return runs
+    return sequences, runs
 
 
 def fullest(sizes: list[int], remaining: list[int], capacity: int) -> dict[int, int]:
@@ -262,7 +295,7 @@ def fullest(sizes: list[int], remaining: list[int], capacity: int) -> dict[int,
     return uses
 
 
-def placed(ranked: DataFrame, runs: list[tuple[int, int, int, int, int, int]], capacity: int) -> DataFrame:
+def placed(ranked: DataFrame, runs: list[Run], capacity: int) -> DataFrame:
     """Rows with ``length`` and ``_rank`` get ``sequence_id`` and ``offset`` from the plan's runs."""
     table = np.array(sorted(runs), np.int64).reshape(-1, 6)
     # length and rank as one ascending key: ranks of a length start at its base
@@ -305,4 +338,4 @@ def pack_documents(
     ranked = ranked.select(
         "doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else []), F.col("_rank").cast("long").alias("_rank")
     )
-    return placed(ranked, plan(counts), capacity)
+    return placed(ranked, best_plan(counts), capacity)
