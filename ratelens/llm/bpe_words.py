@@ -31,9 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratelens.llm.blocks import blocks
-from ratelens.llm.pack_bestfit import chunk_keys, chunk_of
+from ratelens.llm.chunks import chunk_numbers, chunk_of, strings
 from ratelens.llm.shared import Numbering, pack_ints, partitions_for, ragged, read_file, ship, unpack_ints, with_text
 
+#: Text bytes of a block: larger blocks send a word less often and take more memory.
+BLOCK_BYTES = 16 << 20
+
 _kept: dict = {}
 
 
@@ -63,17 +66,29 @@ class Splitter:
 
     def block(self, texts: list[bytes]) -> tuple[list[str], list[np.ndarray]]:
         """(distinct pre-tokens, each text's pre-token numbers)."""
-        chunk, word = Numbering(), Numbering()
-        used = [chunk.of(chunk_keys(t.decode("utf-8", "replace"))).astype(np.int32) for t in texts]
-        flat: list[int] = []
-        lens = np.zeros(len(chunk.order), np.int64)
-        for k, key in enumerate(chunk.order):
-            found = self.find(chunk_of(key))
-            lens[k] = len(found)
-            flat.extend(map(word.__getitem__, found))
-        numbers = np.array(flat, np.int32)
-        starts = np.cumsum(lens) - lens
-        return word.order, [ragged(numbers, starts, lens, u) for u in used]
+        keys, idx, ends = chunk_numbers(strings(pa.array(texts, pa.binary())))
+        distinct = list(map(chunk_of, keys))
+        # chunks that start at a space can be matched in one go: each starts a match
+        joint = np.array([c[:1] == " " and c[1:2] != "" and not c[1:2].isspace() for c in distinct], bool)
+        word = Numbering()
+        found = self.find("".join([c for c, j in zip(distinct, joint, strict=True) if j]))
+        numbers = word.of(found)
+        own = np.cumsum(np.fromiter(map(len, distinct), np.int64, len(distinct)) * joint)
+        lens = np.zeros(len(distinct), np.int64)
+        at = np.searchsorted(np.cumsum(np.fromiter(map(len, found), np.int64, len(found))), own[joint], side="right")
+        lens[joint] = np.diff(at, prepend=0)
+        starts = np.zeros(len(distinct), np.int64)
+        starts[joint] = at - lens[joint]
+        more = []
+        for k in np.flatnonzero(~joint).tolist():
+            alone = word.of(self.find(distinct[k]))
+            lens[k] = len(alone)
+            more.append(alone)
+        sizes = np.fromiter(map(len, more), np.int64, len(more))
+        starts[~joint] = len(numbers) + np.cumsum(sizes) - sizes
+        numbers = np.concatenate([numbers, *more]).astype(np.int32)
+        tokens = np.concatenate([[0], np.cumsum(lens[idx])])
+        return word.order, np.split(ragged(numbers, starts, lens, idx), tokens[ends[:-1]])
 
 
 def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
@@ -81,7 +96,7 @@ def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(pattern)
-        for block, _, texts in blocks(batches):
+        for block, _, texts in blocks(batches, BLOCK_BYTES):
             words, _ = split.block(texts)
             for at in range(0, len(words), 50_000):
                 part = words[at : at + 50_000]
@@ -102,7 +117,7 @@ def positions(docs: DataFrame, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(pattern)
-        for block, ids, texts in blocks(batches):
+        for block, ids, texts in blocks(batches, BLOCK_BYTES):
             words, used = split.block(texts)
             counts = np.fromiter(map(len, used), np.uint32, len(used))
             order = np.concatenate([np.zeros(0, np.int32), *used])
@@ -155,10 +170,27 @@ def encoded_words(words: DataFrame, vocabulary: bytes, pattern: str) -> DataFram
     return hashed.mapInArrow(run, "block long, nos binary, lens binary, ids binary")
 
 
-def encode(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit integers)."""
+class Decoder:
+    """The token-byte table."""
+
+    def __init__(self, vocabulary: bytes) -> None:
+        self.get = {r: w for w, r in ranks_of(vocabulary).items()}.__getitem__
+
+    def all(self, ids: list[bytes]) -> pa.Array:
+        return pa.array([b"".join(map(self.get, np.frombuffer(x, "<u4").tolist())) for x in ids], pa.binary())
+
+
+def decoder(vocabulary: bytes) -> Decoder:
+    if "decoder" not in _kept:
+        _kept["decoder"] = Decoder(vocabulary)
+    return _kept["decoder"]
+
+
+def encode(docs: DataFrame, vocabulary_path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit integers); ``decoded`` adds the bytes that these ids decode to."""
     ship(docs.sparkSession)
-    answers = encoded_words(distinct_words(docs, pattern), read_file(vocabulary_path), pattern)
+    vocabulary = read_file(vocabulary_path)
+    answers = encoded_words(distinct_words(docs, pattern), vocabulary, pattern)
 
     def together(order: pa.Table, found: pa.Table) -> pa.Table:
         if not order.num_rows:
@@ -176,10 +208,13 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
         for k in unpack_ints(row["counts"]).tolist():
             out.append(ragged(flat, starts, counts, used[at : at + k].astype(np.int64)).astype("<u4").tobytes())
             at += k
-        return pa.table([pa.array(row["doc_ids"], pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+        cols = [pa.array(row["doc_ids"], pa.int64()), pa.array(out, pa.binary())]
+        cols += [decoder(vocabulary).all(out)] if decoded else []
+        return pa.table(cols, names=["doc_id", "ids", "bytes"][: len(cols)])
 
     left, right = positions(docs, pattern), answers
-    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(together, "doc_id long, ids binary")
+    schema = "doc_id long, ids binary" + ", bytes binary" * decoded
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(together, schema)
 
 
 def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -188,15 +223,12 @@ def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
     ship(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "bytes" not in _kept:
-            _kept["bytes"] = {r: w for w, r in ranks_of(vocabulary).items()}
-        table = _kept["bytes"].__getitem__
         for batch in batches:
             at = batch.schema.get_field_index("ids")
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                out = [b"".join(map(table, np.frombuffer(x, "<u4").tolist())) for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "bytes"])
+                out = decoder(vocabulary).all(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, out], [*part.schema.names, "bytes"])
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{kept}, bytes binary")
@@ -204,8 +236,7 @@ def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
 
 def digests(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of a full round trip."""
-    both = decode(encode(docs, vocabulary_path, pattern), vocabulary_path)
-    return both.select(
+    return encode(docs, vocabulary_path, pattern, decoded=True).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -29,7 +29,6 @@ other than doc_id and text are not carried.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -40,6 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratelens.llm.chunks import chunk_numbers, chunk_of, strings
 from ratelens.llm.shared import Numbering, ragged, read_file, ship, with_text, written
 
 CAPACITY = 2048
@@ -47,7 +47,7 @@ CAPACITY = 2048
 #: are large, and are cut into so many groups.
 LAYOUTS = ((2, 50), (3, 200), (3, 1000), (4, 1000))
 #: Distinct text chunks whose ids a Python worker keeps.
-KEPT_CHUNKS = 600_000
+KEPT_CHUNKS = 900_000
 
 _kept: dict = {}
 
@@ -55,10 +55,7 @@ _kept: dict = {}
 class ChunkEncoder:
     """Token ids of texts, encoding each distinct chunk once.
 
-    A chunk runs from a space that a non-space character follows to the next
-    such space.  The byte-level pattern always starts a match at such a space,
-    and what precedes it splits as it would at the text's end, so a text's ids
-    are its chunks' ids in order.  Chunks used again are kept from block to
+    A text's ids are its chunks' ids in order (see ``chunks``).  Chunks used again are kept from block to
     block, up to half of KEPT_CHUNKS.
     """
 
@@ -94,41 +91,19 @@ class ChunkEncoder:
         self.lens = np.concatenate([self.lens, lens])
         self.used += total
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
         if len(self.numbers.order) > KEPT_CHUNKS:
             self._shrink()
-        numbered = [self.numbers.of(chunk_keys(t)) for t in texts]
+        keys, idx, ends = chunk_numbers(texts)
+        known = self.numbers.of(keys)
         new = self.numbers.order[len(self.lens) :]
         if new:
             self._add([chunk_of(k) for k in new])
         self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
-        self.uses += np.bincount(np.concatenate([np.zeros(0, np.int64), *numbered]), minlength=len(self.uses))
-        return [ragged(self.flat, self.starts, self.lens, n) for n in numbered]
-
-
-#: A space that doesn't start a chunk, or what the short form of keys can't hold.
-UNUSUAL = re.compile(r" (?=\s|\Z)|\0")
-
-
-def chunk_keys(text: str) -> list[str]:
-    """Keys of the text's chunks: NUL and the chunk, or a chunk without its leading space."""
-    parts = text.split(" ")
-    if not UNUSUAL.search(text):
-        if parts[0]:
-            parts[0] = "\0" + parts[0]
-            return parts
-        return parts[1:]
-    out = [parts[0]] if parts[0] else []
-    for p in parts[1:]:
-        if out and (not p or p[0].isspace()):
-            out[-1] += " " + p  # this space belongs to a run of white space
-        else:
-            out.append(" " + p)
-    return ["\0" + p for p in out]
-
-
-def chunk_of(key: str) -> str:
-    return key[1:] if key[:1] == "\0" else " " + key
+        self.uses[known] += np.bincount(idx, minlength=len(keys))
+        used = known[idx]
+        tokens = np.concatenate([[0], np.cumsum(self.lens[used])])
+        return np.split(ragged(self.flat, self.starts, self.lens, used), tokens[ends[:-1]])
 
 
 def encoder(vocabulary: bytes) -> ChunkEncoder:
@@ -154,11 +129,10 @@ def pieces(docs: DataFrame, vocabulary: bytes, capacity: int, end_id: int, ids:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task, seen = encoder(vocabulary), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [(t or b"").decode("utf-8", "replace") for t in part.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
                 out: list[tuple] = []
-                for doc, found in zip(part.column(0).to_pylist(), enc.encode(texts), strict=True):
+                for doc, found in zip(part.column(0).to_pylist(), enc.encode(strings(part.column(1))), strict=True):
                     data = np.append(found, np.uint32(end_id)).astype("<u4")
                     for k, (s, n) in enumerate(cut(len(data), capacity)):
                         raw = data[s : s + n].tobytes()
