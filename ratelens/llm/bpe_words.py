@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratelens.llm.blocks import blocks
-from ratelens.llm.chunks import chunk_numbers, chunk_of, strings
+from ratelens.llm.chunks import chunk_numbers, chunk_of, starts_match, strings
 from ratelens.llm.shared import Numbering, pack_ints, partitions_for, ragged, read_file, ship, unpack_ints, with_text
 
 #: Text bytes of a block: larger blocks send a word less often and take more memory.
@@ -69,7 +69,7 @@ class Splitter:
         keys, idx, ends = chunk_numbers(strings(pa.array(texts, pa.binary())))
         distinct = list(map(chunk_of, keys))
         # chunks that start at a space can be matched in one go: each starts a match
-        joint = np.array([c[:1] == " " and c[1:2] != "" and not c[1:2].isspace() for c in distinct], bool)
+        joint = np.fromiter(map(starts_match, distinct), bool, len(distinct))
         word = Numbering()
         found = self.find("".join([c for c, j in zip(distinct, joint, strict=True) if j]))
         numbers = word.of(found)

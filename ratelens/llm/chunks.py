@@ -45,6 +45,11 @@ def chunk_of(key: str) -> str:
     return key[1:] if key[:1] == "\0" else " " + key
 
 
+def starts_match(chunk: str) -> bool:
+    """Whether the chunk starts with a match's space, so that any chunk may stand before it."""
+    return chunk[:1] == " " and chunk[1:2] != "" and not chunk[1].isspace()
+
+
 def chunk_numbers(texts: pa.StringArray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(distinct keys, the key number of every chunk, each text's end among the chunks)."""
     odd = pc.match_substring_regex(texts, UNUSUAL)

@@ -29,6 +29,7 @@ other than doc_id and text are not carried.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -39,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratelens.llm.chunks import chunk_numbers, chunk_of, strings
+from ratelens.llm.chunks import chunk_numbers, chunk_of, starts_match, strings
 from ratelens.llm.shared import Numbering, ragged, read_file, ship, with_text, written
 
 CAPACITY = 2048
@@ -47,7 +48,9 @@ CAPACITY = 2048
 #: are large, and are cut into so many groups.
 LAYOUTS = ((2, 50), (3, 200), (3, 1000), (4, 1000))
 #: Distinct text chunks whose ids a Python worker keeps.
-KEPT_CHUNKS = 900_000
+KEPT_CHUNKS = 600_000
+#: Chunks encoded as one string.
+JOINED = 64
 
 _kept: dict = {}
 
@@ -62,8 +65,13 @@ class ChunkEncoder:
     def __init__(self, vocabulary: bytes) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_buffer(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        words = self.tokenizer.get_vocab()
+        self.token_bytes = np.zeros(max(words.values()) + 1, np.int64)
+        for word, k in words.items():
+            self.token_bytes[k] = len(word)  # one character stands for one byte
         self.numbers = Numbering()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
@@ -80,14 +88,29 @@ class ChunkEncoder:
         self.lens, self.uses = self.lens[keep], self.uses[keep] // 2
         self.starts, self.flat, self.used = np.cumsum(self.lens) - self.lens, flat, len(flat)
 
-    def _add(self, new: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids in a row, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lens = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(lens.sum())
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lens.sum())), lens
+
+    def _add(self, new: list[str]) -> None:
+        """Encode new chunks: those that start at a space in strings of JOINED, cut again by their bytes."""
+        joint = np.fromiter(map(starts_match, new), bool, len(new))
+        run = [c for c, j in zip(new, joint.tolist(), strict=True) if j]
+        flat, _ = self._ids(["".join(run[k : k + JOINED]) for k in range(0, len(run), JOINED)])
+        ends = np.cumsum(np.fromiter((len(c.encode()) for c in run), np.int64, len(run)))
+        lens = np.zeros(len(new), np.int64)
+        lens[joint] = np.diff(np.searchsorted(np.cumsum(self.token_bytes[flat]), ends) + 1, prepend=0)
+        rest, lens[~joint] = self._ids([c for c, j in zip(new, joint.tolist(), strict=True) if not j])
+        starts = np.zeros(len(new), np.int64)
+        for part, base in ((joint, 0), (~joint, len(flat))):
+            starts[part] = base + np.cumsum(lens[part]) - lens[part]
+        total = len(flat) + len(rest)
         if self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(total, self.used) + total, np.uint32)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lens) - lens])
+        self.flat[self.used : self.used + total] = np.concatenate([flat, rest])
+        self.starts = np.concatenate([self.starts, self.used + starts])
         self.lens = np.concatenate([self.lens, lens])
         self.used += total
 
