@@ -293,10 +293,11 @@ def with_spans(docs: DataFrame, model: SpanModel, to: str) -> DataFrame:
 
 def joined(spans: Column, kinds: tuple[str, ...]) -> Column:
     """kind:start:end of all spans, comma-joined."""
-    named = [
-        F.transform(spans[k], lambda m, k=k: F.concat_ws(":", F.lit(k), m["start"].cast("string"), m["end"].cast("string"))) for k in kinds
-    ]
-    return F.array_join(F.concat(*named), ",")
+
+    def named(kind: str) -> Column:
+        return F.transform(spans[kind], lambda m: F.concat_ws(":", F.lit(kind), m["start"].cast("string"), m["end"].cast("string")))
+
+    return F.array_join(F.concat(*map(named, kinds)), ",")
 
 
 def find(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:

@@ -101,8 +101,8 @@ ORACLE: dict[str, str] = {
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
     ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
@@ -115,21 +115,21 @@ SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_i
 FROM embeddings e JOIN least ON least.a = e.vec_id LEFT JOIN degree ON degree.a = e.vec_id""",
     "op1_lm_scoring": r"""
 WITH words AS (
-  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos
   FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)),
-pairs AS (SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY at) AS before FROM words),
+pairs AS (SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS prior FROM words),
 total AS (SELECT count(*) AS n FROM words),
 size AS (SELECT doc_id, count(*) AS n_words FROM words GROUP BY doc_id),
 uni AS (SELECT word, count(*) AS n FROM words GROUP BY word),
 uni_own AS (SELECT doc_id, word, count(*) AS n FROM words GROUP BY ALL),
-bi AS (SELECT before, word, count(*) AS n FROM pairs WHERE before IS NOT NULL GROUP BY ALL),
-bi_own AS (SELECT doc_id, before, word, count(*) AS n FROM pairs WHERE before IS NOT NULL GROUP BY ALL),
+bi AS (SELECT prior, word, count(*) AS n FROM pairs WHERE prior IS NOT NULL GROUP BY ALL),
+bi_own AS (SELECT doc_id, prior, word, count(*) AS n FROM pairs WHERE prior IS NOT NULL GROUP BY ALL),
 counted AS (
   SELECT p.doc_id, u.n - uo.n AS c1, h.n - ho.n AS c0, coalesce(b.n - bo.n, 0) AS c2, total.n - size.n_words AS others
   FROM pairs p JOIN uni u ON u.word = p.word JOIN uni_own uo ON uo.doc_id = p.doc_id AND uo.word = p.word
-  LEFT JOIN uni h ON h.word = p.before LEFT JOIN uni_own ho ON ho.doc_id = p.doc_id AND ho.word = p.before
-  LEFT JOIN bi b ON b.before = p.before AND b.word = p.word
-  LEFT JOIN bi_own bo ON bo.doc_id = p.doc_id AND bo.before = p.before AND bo.word = p.word
+  LEFT JOIN uni h ON h.word = p.prior LEFT JOIN uni_own ho ON ho.doc_id = p.doc_id AND ho.word = p.prior
+  LEFT JOIN bi b ON b.prior = p.prior AND b.word = p.word
+  LEFT JOIN bi_own bo ON bo.doc_id = p.doc_id AND bo.prior = p.prior AND bo.word = p.word
   JOIN size ON size.doc_id = p.doc_id CROSS JOIN total),
 scored AS (
   SELECT doc_id, c0, c2, CASE WHEN c1 > 0 THEN c1 / others ELSE 1.0 / (others + 1) END AS s1 FROM counted),
