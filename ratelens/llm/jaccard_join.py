@@ -19,12 +19,16 @@ least ``least / 100``.
    stay ``k + 1`` for two sets that both have it empty.
 4. **Exact verification** of candidate pairs on their whole shingle sets.
 
-Equal sets are one node from the start.  Sets that share a signature are
-compared with the least of them first.  Groups whose members are still in
-different components are compared on: the first 16 members with all others,
-then 256, and so on until every pair of a group is in one component or compared.
-So components are exact and large groups of near copies cost one comparison a
-member and signature at first.
+Equal sets are one node from the start.  In each group of sets that share a
+signature, all are compared with the most central one first (whose signatures
+are shared most), then those left in other components with the most central of
+them.  That is one comparison a member and round, however large a group of near
+copies is.  What is still in different components then is compared pairwise on
+parity sketches: a sketch bit is the parity of the shingles that hash to it, so
+sketches of two sets differ in no more bits than the sets in shingles, and a
+pair whose sketches differ too much can't link.  Pairs stay in the task that
+compares them, large groups as blocks that meet in tasks of their own; only
+those that pass go on to exact verification.  So no link is lost.
 
 Shingles are compared by 64-bit hashes.  Defined results: a document with fewer
 words than the shingle size has one shingle, the whole sequence; one without
@@ -55,8 +59,10 @@ PAIR_COST = 4.0
 AGREE = 0.25
 BYTES_PER_WORD = 6.0
 KEPT_WORDS = 400_000
-#: Members of a group compared with all others in round r: FIRST ** r.
-FIRST = 16
+#: Rounds in which a group's members are compared with one of them.
+STAR_ROUNDS = 2
+#: Members of a block when groups are compared pairwise.
+BLOCK = 1024
 
 _kept: dict = {}
 
@@ -90,6 +96,21 @@ def node_of(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) >> 1
 
 
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """Parities of the shingles by hash; at least as many bits as shingles, a power of two."""
+    bits = 64
+    while bits < len(shingles):
+        bits *= 2
+    parity = np.bincount((mix64(shingles) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """The sketches at the shortest one's length: halves add up as parities."""
+    size = min(map(len, sketches)) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, "<u8").reshape(-1, size), axis=0) for x in sketches])
+
+
 class Bands:
     """Size bands, the bound on differences in each, and the ranges with their budgets."""
 
@@ -174,14 +195,14 @@ def bands_for(docs: DataFrame, least: int) -> Bands:
 
 
 def features(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
-    """doc_id, n_shingles, node and signatures; a task gives a set's signatures once."""
+    """doc_id, n_shingles, node, signatures and sketch; a task gives a set's signatures and sketch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                count, nodes, sigs = [], [], []
+                count, nodes, sigs, sketches = [], [], [], []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     s = shingle_set(text, size)
                     node = node_of(s) if len(s) else None
@@ -191,16 +212,17 @@ def features(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
                     count.append(len(s))
                     nodes.append(node)
                     sigs.append(signatures(s, bands).astype(np.int64) if new else None)
+                    sketches.append(sketch_of(s) if new else None)
                 lens = np.fromiter((0 if x is None else len(x) for x in sigs), np.int32, len(sigs))
                 flat = np.concatenate([np.zeros(0, np.int64), *(x for x in sigs if x is not None)])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(count, pa.int64()), pa.array(nodes, pa.int64()), lists],
-                    ["doc_id", "n_shingles", "node", "sigs"],
+                    [part.column(0), pa.array(count, pa.int64()), pa.array(nodes, pa.int64()), lists, pa.array(sketches, pa.binary())],
+                    ["doc_id", "n_shingles", "node", "sigs", "sketch"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_text(docs).mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, sigs array<long>")
+    return with_text(docs).mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, sigs array<long>, sketch binary")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -241,55 +263,91 @@ def sizes_agree(least: int) -> F.Column:
     return F.least("n", "m") * 100 >= F.greatest("n", "m") * least
 
 
+def labelled(groups: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, component) by the links, and the members of groups that are in more than one component."""
+    comp = written(components(links))
+    members = groups.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    unresolved = members.groupBy("sig").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("sig")
+    return comp, written(members.join(unresolved, "sig"))
+
+
+def star_pairs(members: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of each group's most central member and those in other components."""
+    lead = members.groupBy("sig").agg(F.max(F.struct("central", "node", "n", "component")).alias("lead"))
+    pairs = members.join(lead, "sig").where("component <> lead.component")
+    pairs = pairs.withColumn("m", F.col("lead.n")).where(sizes_agree(least))
+    return pairs.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def without_center(members: DataFrame) -> DataFrame:
+    """The groups without the component of their most central member."""
+    lead = members.groupBy("sig").agg(F.max(F.struct("central", "node", "component")).alias("lead"))
+    return members.join(lead, "sig").where("component <> lead.component").drop("lead")
+
+
+def close_pairs(block: pa.Table, least: int) -> pa.Table:
+    """Pairs of a block pair in different components whose sizes and sketches allow a link."""
+    node, n, comp, side = (block.column(c).to_numpy() for c in ("node", "n", "component", "side"))
+    within = block.column("x")[0].as_py() == block.column("y")[0].as_py()
+    sketch = folded(block.column("sketch").to_pylist())
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if within else 1))
+    out = [np.zeros((0, 2), np.int64)]
+    for k, i in enumerate(left):
+        j = right[k + 1 :] if within else right
+        j = j[comp[j] != comp[i]]
+        j = j[100 * np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j])]
+        differ = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+        j = j[differ <= (100 - least) * (n[i] + n[j]) // (100 + least)]
+        out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
+    a, b = np.concatenate(out).T
+    return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def remaining_pairs(members: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) that the sketches leave, from all pairs of a group in different components."""
+    sizes = members.groupBy("sig").count().withColumn("of", F.ceil(F.col("count") / F.lit(BLOCK)).cast("int"))
+    placed = members.join(sizes, "sig").withColumn("own", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
+    # a block meets every block, itself included; the lower of two is the left side
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select(
+        "sig",
+        "node",
+        "n",
+        "component",
+        F.least("own", "other").alias("x"),
+        F.greatest("own", "other").alias("y"),
+        F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
+    )
+    pairs = spread.join(sketches, "node").groupBy("sig", "x", "y").applyInArrow(lambda b: close_pairs(b, least), "a long, b long")
+    return pairs.distinct()
+
+
 def linked_nodes(docs: DataFrame, feats: DataFrame, size: int, least: int) -> DataFrame:
     """(node, component) for the sets that link with another."""
     spark = docs.sparkSession
     sig = feats.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), "node", F.col("n_shingles").alias("n"))
-    order = Window.partitionBy("sig").orderBy("node")
-    first = F.first(F.struct("node", "n")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    groups = written(
-        sig.withColumn("lead", first)
-        .where("lead.node <> node")
-        .select("sig", F.col("lead.node").alias("lead"), F.col("lead.n").alias("m"), "node", "n")
-        .distinct()
-    )
-    if groups.isEmpty():
+    # members of groups of two or more; tasks may have given a set's signatures twice
+    every = Window.partitionBy("sig")
+    shared = sig.withColumn("least", F.min("node").over(every)).withColumn("most", F.max("node").over(every)).where("least <> most")
+    shared = written(shared.select("sig", "node", "n").distinct())
+    if shared.isEmpty():
         return spark.createDataFrame([], "node long, component long")
-    members = groups.select("node").union(groups.select("lead")).distinct()
-    wanted = (
-        feats.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(members, "node", "left_semi")
-    )
-    sets = written(sets_of(docs, wanted, size))
-    done = written(groups.where(sizes_agree(least)).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
-    links = written(verified(done, sets, least))
-    compared = 1
-    while True:
-        comp = written(components(links))
-        everyone = groups.select("sig", "node", "n").union(groups.select("sig", "lead", "m")).distinct()
-        labelled = everyone.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_sigs = labelled.groupBy("sig").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("size"))
-        # a group of two has been compared by its lead
-        open_sigs = open_sigs.where(f"c <> d and size > {compared + 1}").select("sig")
-        rest = written(
-            labelled.join(open_sigs, "sig").withColumn("pos", F.row_number().over(Window.partitionBy("sig").orderBy("node")))
-        )
-        if rest.isEmpty():
+    sizes = shared.groupBy("sig").agg(F.count("*").alias("size"))
+    central = shared.join(sizes, "sig").groupBy("node").agg(F.sum("size").alias("central"))
+    groups = written(shared.join(central, "node"))
+    named = feats.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    sets = written(sets_of(docs, named.join(central, "node", "left_semi"), size))
+    members, links, comp = groups.withColumn("component", F.col("node")), None, None
+    for k in range(STAR_ROUNDS):
+        pairs = written(star_pairs(members if k == 0 else without_center(members), least))
+        found = written(verified(pairs, sets, least))
+        links = found if links is None else links.unionByName(found)
+        comp, members = labelled(groups, links)
+        if members.isEmpty():
             return comp
-        upto = max(FIRST, compared * FIRST)
-        lead = rest.where(F.col("pos").between(compared + 1, upto))
-        lead = lead.select("sig", F.col("node").alias("a"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("pos").alias("at"))
-        pairs = (
-            rest.join(lead, "sig")
-            .where("pos > at and component <> c")
-            .where(sizes_agree(least))
-            .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-            .distinct()
-            .join(done, ["a", "b"], "left_anti")
-        )
-        pairs = written(pairs)
-        done = done.unionByName(pairs)
-        links = links.unionByName(written(verified(pairs, sets, least)))
-        compared = upto
+    sketches = feats.where("sketch is not null").groupBy("node").agg(F.first("sketch").alias("sketch"))
+    pairs = written(remaining_pairs(members, sketches, least))
+    found = written(verified(pairs, sets, least))
+    return comp if found.isEmpty() else components(links.unionByName(found))
 
 
 def join_classes(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFrame:

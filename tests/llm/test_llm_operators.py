@@ -404,6 +404,23 @@ def test_jaccard(docs, none, size, least):
     assert jaccard_join.join_classes(none, size, least).collect() == []
 
 
+def test_jaccard_in_blocks(docs, monkeypatch):
+    """Groups compared pairwise, in blocks, after a single star."""
+    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join_classes(docs, 2, 85).collect()}
+    assert got == jaccard_classes(ROWS, 2, 85)
+
+
+def test_sketches_bound_differences():
+    rng = np.random.default_rng(6)
+    for n, k in ((5, 1), (60, 9), (70, 3), (1000, 200)):
+        a = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        b = np.unique(np.concatenate([a[k:], rng.integers(0, 1 << 64, k + 20, np.uint64)]))
+        x, y = jaccard_join.folded([jaccard_join.sketch_of(a), jaccard_join.sketch_of(b)])
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_signatures_lose_no_link():
     """Random sets at the threshold, of all sizes, share a signature."""
     rng = np.random.default_rng(5)
