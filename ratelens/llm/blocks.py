@@ -16,10 +16,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark import TaskContext
 
-from ratelens.llm.shared import BLOCK_BYTES
 
-
-def blocks(batches: Iterator[pa.RecordBatch], block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, list, list[bytes]]]:
+def blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[int, list, list[bytes]]]:
     """(block number, doc_ids, texts) of a task; a block closes after ``block_bytes`` of text."""
     number = TaskContext.get().partitionId() << 32
     ids: list = []

@@ -41,6 +41,8 @@ from ratelens.llm.shared import Numbering, mix64, pack_ints, partitions_for, shi
 
 ORDER = 2
 BACKOFF = 0.4
+#: Text bytes of a block: larger blocks ask for an n-gram less often and take more memory.
+BLOCK_BYTES = 14 << 20
 
 
 class Grams:
@@ -86,7 +88,7 @@ def asked(docs: DataFrame, order: int, buckets: int) -> DataFrame:
     """bucket, block, order, hashes, counts: each block's distinct n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, texts in blocks(batches):
+        for block, _, texts in blocks(batches, BLOCK_BYTES):
             grams = Grams(texts, order)
             for n in range(order):
                 h = grams.hash[n]
@@ -125,7 +127,7 @@ def used_words(docs: DataFrame) -> DataFrame:
     """block, doc_ids, counts, order, names: the words of the block's documents in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, texts in blocks(batches):
+        for block, ids, texts in blocks(batches, BLOCK_BYTES):
             grams = Grams(texts, 1)
             row = [
                 pa.array([block]),

@@ -19,9 +19,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes after which a task closes a block of documents.
-BLOCK_BYTES = 32 << 20
-
 _shipped: set[str] = set()
 
 
