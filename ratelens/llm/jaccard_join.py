@@ -194,35 +194,52 @@ def bands_for(docs: DataFrame, least: int) -> Bands:
     return bands
 
 
-def features(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
-    """doc_id, n_shingles, node, signatures and sketch; a task gives a set's signatures and sketch once."""
+def features(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n_shingles, node and sketch; a task gives a set's sketch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                count, nodes, sigs, sketches = [], [], [], []
+                count, nodes, sketches = [], [], []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     s = shingle_set(text, size)
                     node = node_of(s) if len(s) else None
                     new = node is not None and doc is not None and node not in seen
+                    sketches.append(sketch_of(s) if new else None)
                     if new:
                         seen.add(node)
                     count.append(len(s))
                     nodes.append(node)
-                    sigs.append(signatures(s, bands).astype(np.int64) if new else None)
-                    sketches.append(sketch_of(s) if new else None)
-                lens = np.fromiter((0 if x is None else len(x) for x in sigs), np.int32, len(sigs))
-                flat = np.concatenate([np.zeros(0, np.int64), *(x for x in sigs if x is not None)])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(count, pa.int64()), pa.array(nodes, pa.int64()), lists, pa.array(sketches, pa.binary())],
-                    ["doc_id", "n_shingles", "node", "sigs", "sketch"],
-                )
+                cols = [part.column(0), pa.array(count, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "node", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_text(docs).mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, sigs array<long>, sketch binary")
+    return with_text(docs).mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, sketch binary")
+
+
+def signed(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
+    """sig, node, n: the signatures of all sets; a task gives a set's signatures once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                nodes, sizes, sigs = [], [], [np.zeros(0, np.uint64)]
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    s = shingle_set(text, size) if doc is not None else ()
+                    if len(s) and (node := node_of(s)) not in seen:
+                        seen.add(node)
+                        nodes.append(node)
+                        sizes.append(len(s))
+                        sigs.append(signatures(s, bands))
+                each = [len(x) for x in sigs[1:]]
+                cols = [np.concatenate(sigs).astype(np.int64), np.repeat(np.array(nodes, np.int64), each), np.repeat(np.array(sizes, np.int64), each)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["sig", "node", "n"])
+
+    return with_text(docs).mapInArrow(run, "sig long, node long, n long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -259,10 +276,6 @@ def verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def sizes_agree(least: int) -> F.Column:
-    return F.least("n", "m") * 100 >= F.greatest("n", "m") * least
-
-
 def labelled(groups: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, component) by the links, and the members of groups that are in more than one component."""
     comp = written(components(links))
@@ -271,12 +284,11 @@ def labelled(groups: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]
     return comp, written(members.join(unresolved, "sig"))
 
 
-def star_pairs(members: DataFrame, least: int) -> DataFrame:
+def star_pairs(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of each group's most central member and those in other components."""
-    lead = members.groupBy("sig").agg(F.max(F.struct("central", "node", "n", "component")).alias("lead"))
+    lead = members.groupBy("sig").agg(F.max(F.struct("central", "node", "component")).alias("lead"))
     pairs = members.join(lead, "sig").where("component <> lead.component")
-    pairs = pairs.withColumn("m", F.col("lead.n")).where(sizes_agree(least))
-    return pairs.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
+    return pairs.select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")).distinct()
 
 
 def without_center(members: DataFrame) -> DataFrame:
@@ -285,6 +297,27 @@ def without_center(members: DataFrame) -> DataFrame:
     return members.join(lead, "sig").where("component <> lead.component").drop("lead")
 
 
+def may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray, least: int) -> np.ndarray:
+    """Whether sizes, and bits that differ between sketches, allow a link."""
+    return (100 * np.minimum(n, m) >= least * np.maximum(n, m)) & (differ <= (100 - least) * (n + m) // (100 + least))
+
+
+def sketched(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow to link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "m"))
+            both = zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)
+            differ = np.fromiter((np.bitwise_count(np.bitwise_xor(*folded([x, y]))).sum() for x, y in both), np.int64, batch.num_rows)
+            ok = pa.array(may_link(n, m, differ, least), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(ok)
+
+    a = sketches.select(F.col("node").alias("a"), "n", F.col("sketch").alias("sa"))
+    b = sketches.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("sb"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "n", "m", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def close_pairs(block: pa.Table, least: int) -> pa.Table:
     """Pairs of a block pair in different components whose sizes and sketches allow a link."""
     node, n, comp, side = (block.column(c).to_numpy() for c in ("node", "n", "component", "side"))
@@ -295,9 +328,7 @@ def close_pairs(block: pa.Table, least: int) -> pa.Table:
     for k, i in enumerate(left):
         j = right[k + 1 :] if within else right
         j = j[comp[j] != comp[i]]
-        j = j[100 * np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j])]
-        differ = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-        j = j[differ <= (100 - least) * (n[i] + n[j]) // (100 + least)]
+        j = j[may_link(n[i], n[j], np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64), least)]
         out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
     a, b = np.concatenate(out).T
     return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -305,13 +336,13 @@ def close_pairs(block: pa.Table, least: int) -> pa.Table:
 
 def remaining_pairs(members: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) that the sketches leave, from all pairs of a group in different components."""
-    sizes = members.groupBy("sig").count().withColumn("of", F.ceil(F.col("count") / F.lit(BLOCK)).cast("int"))
+    # the star has compared both members of a group of two
+    sizes = members.groupBy("sig").count().where("count > 2").withColumn("of", F.ceil(F.col("count") / F.lit(BLOCK)).cast("int"))
     placed = members.join(sizes, "sig").withColumn("own", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
     # a block meets every block, itself included; the lower of two is the left side
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select(
         "sig",
         "node",
-        "n",
         "component",
         F.least("own", "other").alias("x"),
         F.greatest("own", "other").alias("y"),
@@ -321,39 +352,59 @@ def remaining_pairs(members: DataFrame, sketches: DataFrame, least: int) -> Data
     return pairs.distinct()
 
 
-def linked_nodes(docs: DataFrame, feats: DataFrame, size: int, least: int) -> DataFrame:
-    """(node, component) for the sets that link with another."""
-    spark = docs.sparkSession
-    sig = feats.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), "node", F.col("n_shingles").alias("n"))
-    # members of groups of two or more; tasks may have given a set's signatures twice
+def shared_groups(sig: DataFrame) -> DataFrame:
+    """sig, node, n, central: the members of groups of two or more, each set of members once.
+
+    Sets that share a passage share all its signatures; one of such equal groups is enough.
+    """
     every = Window.partitionBy("sig")
-    shared = sig.withColumn("least", F.min("node").over(every)).withColumn("most", F.max("node").over(every)).where("least <> most")
-    shared = written(shared.select("sig", "node", "n").distinct())
-    if shared.isEmpty():
-        return spark.createDataFrame([], "node long, component long")
-    sizes = shared.groupBy("sig").agg(F.count("*").alias("size"))
+    ends = (F.min("node").over(every).alias("least"), F.max("node").over(every).alias("most"))
+    # tasks may have given a set's signatures twice
+    shared = written(sig.select("*", *ends).where("least <> most").select("sig", "node", "n").distinct())
+    sizes = shared.groupBy("sig").agg(
+        F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
+    )
+    one = sizes.groupBy("size", "x", "y").agg(F.min("sig").alias("sig"))
     central = shared.join(sizes, "sig").groupBy("node").agg(F.sum("size").alias("central"))
-    groups = written(shared.join(central, "node"))
-    named = feats.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = written(sets_of(docs, named.join(central, "node", "left_semi"), size))
+    return written(shared.join(one.select("sig"), "sig").join(central, "node"))
+
+
+def linked_nodes(docs: DataFrame, feats: DataFrame, size: int, least: int) -> DataFrame:
+    """(node, component) for the sets that link with another."""
+    groups = shared_groups(signed(docs, size, bands_for(docs, least)))
+    if groups.isEmpty():
+        return docs.sparkSession.createDataFrame([], "node long, component long")
+    nodes = feats.where("sketch is not null and doc_id is not null").groupBy("node")
+    nodes = nodes.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = written(nodes.join(groups.select("node").distinct(), "node", "left_semi"))
+    sketches = nodes.select("node", "n", "sketch")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        """The pairs that link; whole texts are read again for sets in pairs that may."""
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets = written(sets_of(docs, nodes.select("node", "doc_id").join(wanted, "node", "left_semi"), size))
+        return written(verified(pairs, sets, least))
+
     members, links, comp = groups.withColumn("component", F.col("node")), None, None
     for k in range(STAR_ROUNDS):
-        pairs = written(star_pairs(members if k == 0 else without_center(members), least))
-        found = written(verified(pairs, sets, least))
+        pairs = written(sketched(star_pairs(members if k == 0 else without_center(members)), sketches, least))
+        if pairs.isEmpty() and links is not None:
+            break
+        found = links_of(pairs)
         links = found if links is None else links.unionByName(found)
         comp, members = labelled(groups, links)
         if members.isEmpty():
             return comp
-    sketches = feats.where("sketch is not null").groupBy("node").agg(F.first("sketch").alias("sketch"))
-    pairs = written(remaining_pairs(members, sketches, least))
-    found = written(verified(pairs, sets, least))
-    return comp if found.isEmpty() else components(links.unionByName(found))
+    pairs = written(remaining_pairs(members.drop("n"), sketches, least))
+    if pairs.isEmpty():
+        return comp
+    return components(links.unionByName(links_of(pairs)))
 
 
 def join_classes(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach, itself included."""
     ship(docs.sparkSession)
-    feats = written(features(docs, size, bands_for(docs, least)))
+    feats = written(features(docs, size))
     comp = linked_nodes(docs, feats, size, least)
     nodes = feats.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"))
     label = nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
