@@ -21,14 +21,14 @@ least ``least / 100``.
 
 Equal sets are one node from the start.  In each group of sets that share a
 signature, all are compared with the most central one first (whose signatures
-are shared most), then those left in other components with the most central of
-them.  That is one comparison a member and round, however large a group of near
-copies is.  What is still in different components then is compared pairwise on
-parity sketches: a sketch bit is the parity of the shingles that hash to it, so
-sketches of two sets differ in no more bits than the sets in shingles, and a
-pair whose sketches differ too much can't link.  Pairs stay in the task that
-compares them, large groups as blocks that meet in tasks of their own; only
-those that pass go on to exact verification.  So no link is lost.
+are shared most): one comparison a member, however large a group of near copies
+is.  What is then in different components is compared pairwise.  Both are done
+on parity sketches first: a sketch bit is the parity of the shingles that hash
+to it, so sketches of two sets differ in no more bits than the sets in shingles,
+and a pair whose sketches differ too much can't link.  Pairs stay in the task
+that compares them, large groups as blocks that meet in tasks of their own; only
+those that pass are verified exactly.  If a pair of a star fails there, what it
+kept apart from comparison is compared after all.  So no link is lost.
 
 Shingles are compared by 64-bit hashes.  Defined results: a document with fewer
 words than the shingle size has one shingle, the whole sequence; one without
@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelens.llm.graph import components
-from ratelens.llm.shared import gram_hashes, mix64, ship, with_text, written
+from ratelens.llm.shared import gram_hashes, mix64, ship, with_text, worker_cache, written
 
 SHINGLE = 5
 LEAST = 80
@@ -59,13 +59,9 @@ PAIR_COST = 4.0
 AGREE = 0.05
 BYTES_PER_WORD = 6.0
 KEPT_WORDS = 400_000
-#: Rounds in which a group's members are compared with one of them.
-STAR_ROUNDS = 2
 #: Members of a block when groups are compared pairwise.
 BLOCK = 1024
 
-_kept: dict = {}
-
 
 class WordHashes(dict):
     """64-bit hash of each word, computed once per Python worker."""
@@ -84,7 +80,7 @@ def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     words = text.lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    get = _kept.setdefault("words", WordHashes())
+    get = worker_cache("word hashes", WordHashes)
     h = np.fromiter(map(get.__getitem__, words), np.uint64, len(words))
     return np.unique(gram_hashes(h, min(size, len(h))))
 
@@ -255,7 +251,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 raw = [s.tobytes() for s, k in zip(sets, same, strict=True) if k]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(raw, pa.binary())], ["node", "shingles"])
 
-    texts = with_text(docs).join(wanted.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"))
+    # the wanted sets grow with the documents: a merge join at every size
+    texts = with_text(docs).join(wanted.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id") == F.col("_id"))
     return texts.select("node", "text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
@@ -291,12 +288,6 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")).distinct()
 
 
-def without_center(members: DataFrame) -> DataFrame:
-    """The groups without the component of their most central member."""
-    lead = members.groupBy("sig").agg(F.max(F.struct("central", "node", "component")).alias("lead"))
-    return members.join(lead, "sig").where("component <> lead.component").drop("lead")
-
-
 def may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray, least: int) -> np.ndarray:
     """Whether sizes, and bits that differ between sketches, allow a link."""
     return (100 * np.minimum(n, m) >= least * np.maximum(n, m)) & (differ <= (100 - least) * (n + m) // (100 + least))
@@ -385,20 +376,17 @@ def linked_nodes(docs: DataFrame, feats: DataFrame, size: int, least: int) -> Da
         sets = written(sets_of(docs, nodes.select("node", "doc_id").join(wanted, "node", "left_semi"), size))
         return written(verified(pairs, sets, least))
 
-    members, links, comp = groups.withColumn("component", F.col("node")), None, None
-    for k in range(STAR_ROUNDS):
-        pairs = written(sketched(star_pairs(members if k == 0 else without_center(members)), sketches, least))
-        if pairs.isEmpty() and links is not None:
-            break
-        found = links_of(pairs)
-        links = found if links is None else links.unionByName(found)
-        comp, members = labelled(groups, links)
-        if members.isEmpty():
-            return comp
-    pairs = written(remaining_pairs(members.drop("n"), sketches, least))
-    if pairs.isEmpty():
+    star = written(sketched(star_pairs(groups.withColumn("component", F.col("node"))), sketches, least))
+    # as if these all linked, to spare the pairs within their components
+    _, rest = labelled(groups, star)
+    pairs = star.unionByName(written(remaining_pairs(rest.drop("n"), sketches, least)))
+    links = links_of(pairs)
+    comp, rest = labelled(groups, links)
+    if rest.isEmpty():
         return comp
-    return components(links.unionByName(links_of(pairs)))
+    # pairs that were spared for a star that doesn't hold
+    again = written(remaining_pairs(rest.drop("n"), sketches, least).join(pairs, ["a", "b"], "left_anti"))
+    return comp if again.isEmpty() else components(links.unionByName(links_of(again)))
 
 
 def join_classes(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFrame:

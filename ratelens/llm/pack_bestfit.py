@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelens.llm.chunks import chunk_numbers, chunk_of, starts_match, strings
-from ratelens.llm.shared import Numbering, ragged, read_file, ship, with_text, written
+from ratelens.llm.shared import Numbering, ragged, read_file, ship, with_text, worker_cache, written
 
 CAPACITY = 2048
 #: Layouts tried, the one with fewest sequences wins: pieces over capacity / share
@@ -52,8 +52,6 @@ KEPT_CHUNKS = 600_000
 #: Chunks encoded as one string.
 JOINED = 64
 
-_kept: dict = {}
-
 
 class ChunkEncoder:
     """Token ids of texts, encoding each distinct chunk once.
@@ -130,10 +128,7 @@ class ChunkEncoder:
 
 
 def encoder(vocabulary: bytes) -> ChunkEncoder:
-    key = zlib.crc32(vocabulary)
-    if key not in _kept:
-        _kept[key] = ChunkEncoder(vocabulary)
-    return _kept[key]
+    return worker_cache(f"chunks {zlib.crc32(vocabulary)}", lambda: ChunkEncoder(vocabulary))
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _task int, _rank long"

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ratelens.llm.shared import Numbering, ragged, read_file, ship, with_text
+from ratelens.llm.shared import Numbering, ragged, read_file, ship, worker_cache
 
 #: Least and most of each measure, by script; None: no bound.
 #: Entropy is compared for texts of at least 100 tokens.
@@ -58,7 +58,7 @@ SCRIPT_OF = {k: re.compile(f"[{v}]") for k, v in SCRIPTS.items()}
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 ENTROPY_TOKENS = 100
-KEPT_WORDS = 600_000
+KEPT_WORDS = 400_000
 
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -67,8 +67,6 @@ MEASURES = (
 )
 TYPES = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 
-_kept: dict = {}
-
 
 class WordMeasures:
     """Per distinct word: code points, byte-BPE ids, tokens and byte-fallback tokens, letters by script."""
@@ -184,9 +182,7 @@ def _measured(docs, bpe_path, fallback_path, bands, min_words, schema) -> DataFr
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "words" not in _kept:
-            _kept["words"] = WordMeasures(bpe, fallback)
-        m = _kept["words"]
+        m = worker_cache("word measures", lambda: WordMeasures(bpe, fallback))
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)

@@ -14,6 +14,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+_worker: dict = {}
+
+
+def worker_cache(key: str, make: Callable):
+    """What a Python worker keeps from task to task: one object, of the operator that runs."""
+    if key not in _worker:
+        _worker.clear()
+        _worker[key] = make()
+    return _worker[key]
+
+
 def read_file(path: str) -> bytes:
     """A vocabulary file, read on the driver and sent with the task's closure."""
     with open(path, "rb") as f:

@@ -405,8 +405,7 @@ def test_jaccard(docs, none, size, least):
 
 
 def test_jaccard_in_blocks(docs, monkeypatch):
-    """Groups compared pairwise, in blocks, after a single star."""
-    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", 1)
+    """Groups compared pairwise, in blocks of three."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join_classes(docs, 2, 85).collect()}
     assert got == jaccard_classes(ROWS, 2, 85)
