@@ -8,7 +8,6 @@ the driver.  Sub-packages:
 * ``operators``  segment summaries, distributed ranking/quantiles, pivots,
                  key-range co-partitioning, drift metrics, profiles, alerts
 * ``plans``      the report catalogue and the drift monitors built from operators
-* ``streaming``  (no streaming operator exists in the source material)
 """
 
 __version__ = "0.1.0"

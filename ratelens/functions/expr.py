@@ -66,8 +66,8 @@ def label_ladder(branches: Sequence[tuple[Column, str]], otherwise: str | None =
 def null_inclusive_distinct(c: str | Column) -> Column:
     """Number of distinct values counting null as one value.
 
-    Same number as ``df.select(c).distinct().count()``, but as one aggregate
+    Same number as ``df.select(c).distinct().count()`` (0 for no rows), but as one aggregate
     expression (so several can share one scan).
     """
     col = _c(c)
-    return F.count_distinct(col) + F.max(F.when(col.isNull(), 1).otherwise(0))
+    return F.count_distinct(col) + F.coalesce(F.max(F.when(col.isNull(), 1).otherwise(0)), F.lit(0))

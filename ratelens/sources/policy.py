@@ -41,7 +41,7 @@ def policy_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = (
         li.join(orders, li.l_orderkey == orders.o_orderkey)
         .join(cust, orders.o_custkey == cust.c_custkey)
-        .join(F.broadcast(nation), cust.c_nationkey == nation.n_nationkey)
+        .join(nation, cust.c_nationkey == nation.n_nationkey)
         .join(part, li.l_partkey == part.p_partkey)
     )
     ln = F.col("l_linenumber")

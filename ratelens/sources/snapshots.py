@@ -75,12 +75,14 @@ class SnapshotStore:
         return self.read().where((F.col("year") == year) & (F.col("month") == month))
 
     def as_of(self, date: dt.date | str) -> DataFrame:
-        """The latest snapshot whose month ended on or before ``date``."""
+        """The latest snapshot whose month ended on or before ``date``; ValueError if there is none."""
         d = F.lit(date).cast("date")
         ym = F.col("year") * 100 + F.col("month")
         month_end = F.last_day(F.make_date(F.col("year"), F.col("month"), F.lit(1)))
         all_ = self.read()
-        latest = all_.where(month_end <= d).select(F.max(ym)).scalar()
+        latest = all_.where(month_end <= d).agg(F.max(ym)).first()[0]
+        if latest is None:
+            raise ValueError(f"no snapshot ended on or before {date}")
         return all_.where(ym == latest)
 
     def list_snapshots(self, keep_days: int = 30, today: dt.date | str | None = None) -> DataFrame:
