@@ -56,7 +56,7 @@ LEAST = 80
 #: Cost of comparing a pair, in signatures, and the chance that an element of a
 #: subset agrees between two sets that don't link.
 PAIR_COST = 4.0
-AGREE = 0.05
+AGREE = 0.02
 BYTES_PER_WORD = 6.0
 KEPT_WORDS = 400_000
 #: Members of a block when groups are compared pairwise.
