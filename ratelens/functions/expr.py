@@ -19,20 +19,21 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def money_sum(c: str | Column, scale: int | None = 4) -> Column:
-    """Order-independent sum of an amount column.
-
-    Floating-point sums depend on the order rows meet in the aggregation
-    buffers (i.e. on partitioning).  Amounts carry at most ``scale`` decimals,
-    so summing them as ``decimal(18, scale)`` is exact and the result is the
-    same on every cluster layout.  ``scale=None`` gives the plain double sum.
+def money_sum(c: str | Column, scale: int | None = None) -> Column:
+    """Sum of an amount column: the plain sum unless a ``scale`` is asked for.
+
+    Floating-point sums depend in their last digits on the order rows meet in
+    the aggregation buffers (i.e. on partitioning).  For columns known to carry
+    at most ``scale`` decimals, and amounts below ``10**(18 - scale)``, a
+    sum as ``decimal(18, scale)`` is exact and the same on every cluster
+    layout.  Values with more decimals are rounded to ``scale`` then.
     """
     if scale is None:
         return F.sum(_c(c))
     return F.sum(_c(c).cast(T.DecimalType(18, scale))).cast("double")
 
 
-def money_avg(c: str | Column, scale: int | None = 4) -> Column:
+def money_avg(c: str | Column, scale: int | None = None) -> Column:
     """Mean as ``money_sum / count`` (null when there is no non-null value)."""
     if scale is None:
         return F.avg(_c(c))

@@ -38,6 +38,8 @@ class Layout:
     """
 
     SLICE_BITS, COL_BITS = 10, 16
+    #: Day of rows without a window (null timestamp); past every date Spark can write.
+    NO_WINDOW = 1 << 22
 
     def __init__(self, numeric: Sequence[str], categorical: Sequence[str], slices: Sequence[str] | None):
         self.numeric, self.categorical = list(numeric), list(categorical)
@@ -47,7 +49,7 @@ class Layout:
             raise ValueError("too many slices or columns for one monitor pass")
 
     def group_key(self, window: Column) -> Column:
-        day = F.coalesce(F.unix_date(window), F.lit(0)).cast("long")
+        day = F.coalesce(F.unix_date(window), F.lit(self.NO_WINDOW)).cast("long")
         return ((day * (1 << self.SLICE_BITS) + F.col("slice_id")) * (1 << self.COL_BITS) + F.col("col_id")).alias("_g")
 
     def decode(self, g: str = "_g") -> dict[str, Column]:
@@ -56,7 +58,7 @@ class Layout:
         slice_id = F.pmod(F.floor(F.col(g) / (1 << self.COL_BITS)), F.lit(1 << self.SLICE_BITS)).cast("int")
         day = F.floor(F.col(g) / (1 << (self.COL_BITS + self.SLICE_BITS))).cast("int")
         return {
-            "window_start": F.date_from_unix_date(day),
+            "window_start": F.when(day != self.NO_WINDOW, F.date_from_unix_date(day)),
             "slice": F.element_at(F.array(*[F.lit(s) for s in self.slices]), slice_id + 1),
             "column_name": F.element_at(F.array(*[F.lit(c) for c in self.columns]), col_id + 1),
         }
@@ -137,6 +139,15 @@ def weighted_mean(value: Column, weight: Column, scale: int | None = None) -> Co
     return F.try_divide(total, F.sum(w))
 
 
+def group_keys(groups: Sequence[str]) -> tuple[list[str], list[Column]]:
+    """Key columns of a monitor, and the select list for its group columns.
+
+    Groups are packed in one struct: a struct with a null field equals its
+    like in joins, so a null group meets itself.
+    """
+    return (["_g", "_groups"], [F.struct(*groups).alias("_groups")]) if groups else (["_g"], [])
+
+
 def profile_from_counts(
     vc: DataFrame,
     layout: Layout,
@@ -147,8 +158,8 @@ def profile_from_counts(
 ) -> DataFrame:
     """Profile metrics per ``(window, slice, [groups], column)`` from long value counts."""
     groups = list(group_cols)
-    vc = vc.select(layout.group_key(F.col(window)), *groups, "col_id", "num", "cat", "n")
-    keys = ["_g", *groups]
+    keys, packed = group_keys(groups)
+    vc = vc.select(layout.group_key(F.col(window)), *packed, "col_id", "num", "cat", "n")
     is_num = F.col("col_id") < len(layout.numeric)
     num = vc.where(is_num).select(*keys, F.col("num").alias("value"), "n")
     cat = vc.where(~is_num).select(*keys, F.col("cat").alias("value"), "n")
@@ -206,7 +217,7 @@ def profile_from_counts(
     return out.select(
         names["window_start"].alias(window),
         names["slice"].alias("slice"),
-        *groups,
+        *[F.col("_groups").getField(c).alias(c) for c in groups],
         names["column_name"].alias("column_name"),
         *[c for c in out.columns if c not in keys],
         (F.col("null_count") / F.col("row_count")).alias("null_rate"),

@@ -240,7 +240,7 @@ def ntile_summary(
     tiles: int = 10,
     keys: Sequence[str] = (),
     tile_name: str = "tile",
-    sum_scale: int | None = 4,
+    sum_scale: int | None = None,
     buckets: int | None = None,
 ) -> DataFrame:
     """Per-tile ``count, min, max, sum`` of ``ntile(tiles) OVER (ORDER BY value)``.
@@ -253,8 +253,8 @@ def ntile_summary(
     tile are what the per-row window would give).
 
     Returns ``keys + [tile_name, n_rows, min_value, max_value, sum_value]``;
-    ``sum_value`` is exact (``decimal(18, sum_scale)`` arithmetic, cast to
-    double) unless ``sum_scale`` is None.
+    ``sum_value`` is a double sum, or exact (``decimal`` arithmetic, cast to
+    double) for values of at most ``sum_scale`` decimals when that is given.
     """
     keys = list(keys)
     vc = value_counts(df, keys, value)

@@ -21,7 +21,7 @@ def policy_triple(
     amount: str = "tot_wprm_amt",
     count_col: str = "rec_id",
     names: tuple[str, str, str] = ("policy_count", "total_premium", "avg_premium"),
-    scale: int | None = 4,
+    scale: int | None = None,
 ) -> list[Column]:
     """The standard count / total / average triple of most reports."""
     n, total, avg = names

@@ -11,6 +11,7 @@ exact decimal sums on both sides and are compared unrounded.
 from __future__ import annotations
 
 import functools
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 DIGITS = 6
+AMOUNT_SCALE = 4
 
 
 def _round(df: DataFrame, *cols: str) -> DataFrame:
@@ -47,7 +49,12 @@ def _policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def policy_query(name: str, sql: str | None, report, round_cols: tuple[str, ...] = ()):
-    """Register ``report(policy)`` with an oracle over the policy CTE."""
+    """Register ``report(policy)`` with an oracle over the policy CTE.
+
+    Amounts and rates of the policy view carry at most ``AMOUNT_SCALE`` decimals, so sums at that scale are exact.
+    """
+    if "scale" in inspect.signature(report).parameters:
+        report = functools.partial(report, scale=AMOUNT_SCALE)
 
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = report(_policy(spark, sf_dir))
@@ -61,7 +68,7 @@ def policy_query(name: str, sql: str | None, report, round_cols: tuple[str, ...]
 
 
 def MSUM(c: str) -> str:
-    return f"CAST(sum(CAST({c} AS DECIMAL(18,4))) AS DOUBLE)"
+    return f"round(fsum({c}), {AMOUNT_SCALE})"
 
 
 def MAVG(c: str) -> str:
@@ -232,7 +239,7 @@ policy_query("a24_location_risk", _LOC, R.location_risk)
 policy_query(
     "a24_location_risk_top10",
     _LOC + " ORDER BY total_premium DESC NULLS LAST, loc_nbr ASC NULLS FIRST LIMIT 10",
-    lambda df: R.location_risk(df, top=10),
+    functools.partial(R.location_risk, top=10),
 )
 policy_query(
     "a25_coverage_pivot",

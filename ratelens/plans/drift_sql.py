@@ -65,8 +65,8 @@ nstats AS (
   SELECT {K},
     sum(CASE WHEN value IS NOT NULL THEN n_b ELSE 0 END) AS Nb, sum(CASE WHEN value IS NOT NULL THEN n_c ELSE 0 END) AS Nc,
     sum(n_b) AS Tb, sum(n_c) AS Tc,
-    CAST(sum(CASE WHEN value IS NOT NULL THEN CAST(value AS DECIMAL(18,4)) * n_b END) AS DOUBLE) / nullif(sum(CASE WHEN value IS NOT NULL THEN n_b END), 0) AS mean_b,
-    CAST(sum(CASE WHEN value IS NOT NULL THEN CAST(value AS DECIMAL(18,4)) * n_c END) AS DOUBLE) / nullif(sum(CASE WHEN value IS NOT NULL THEN n_c END), 0) AS mean_c,
+    round(fsum(value * n_b), 4) / nullif(sum(CASE WHEN value IS NOT NULL THEN n_b END), 0) AS mean_b,
+    round(fsum(value * n_c), 4) / nullif(sum(CASE WHEN value IS NOT NULL THEN n_c END), 0) AS mean_c,
     min(CASE WHEN value IS NOT NULL AND n_b > 0 THEN value END) AS min_b,
     max(CASE WHEN value IS NOT NULL AND n_b > 0 THEN value END) AS max_b
   FROM nump GROUP BY ALL),
@@ -132,7 +132,7 @@ SELECT window_start, CAST(window_start - INTERVAL 1 MONTH AS DATE) AS baseline_s
   n_baseline, n_current, null_rate_delta, mean_drift, ks_stat, {R('ks_p_value')} AS ks_p_value,
   {R('wasserstein_distance')} AS wasserstein_distance, {R('wasserstein_norm')} AS wasserstein_norm,
   {R('js_divergence')} AS js_divergence, status
-FROM drift WHERE status <> 'NO_CURRENT'
+FROM drift WHERE window_start <= (SELECT max(ws) FROM vc)
 """
 
 
@@ -152,7 +152,7 @@ WITH long AS ({_long(table, ts, numeric, categorical, slices, groups)}),
 nums AS (
   SELECT ws AS window_start, slice, {G}column_name, 'numeric' AS data_type, count(*) AS row_count,
     count(*) - count(num) AS null_count, count(DISTINCT num) AS distinct_count,
-    min(num) AS min_value, max(num) AS max_value, CAST(sum(CAST(num AS DECIMAL(18,4))) AS DOUBLE) / nullif(count(num), 0) AS mean, {R('stddev_samp(num)')} AS stddev,
+    min(num) AS min_value, max(num) AS max_value, round(fsum(num), 4) / nullif(count(num), 0) AS mean, {R('stddev_samp(num)')} AS stddev,
     {R('quantile_cont(num, 0.25)')} AS p25, {R('quantile_cont(num, 0.5)')} AS p50, {R('quantile_cont(num, 0.75)')} AS p75
   FROM long WHERE kind = 'n' GROUP BY ALL),
 cats AS (

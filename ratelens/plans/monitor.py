@@ -24,7 +24,7 @@ from ratelens.functions.columns import categorical_columns, numeric_columns
 from ratelens.functions.lineage import materialize
 from ratelens.operators.alerts import DEFAULT_RULES, Rule, alerts
 from ratelens.operators.drift_metrics import DRIFT_COLUMNS, categorical_drift, numeric_drift
-from ratelens.operators.profile import Layout, long_value_counts, profile_from_counts, slice_column
+from ratelens.operators.profile import Layout, group_keys, long_value_counts, profile_from_counts, slice_column
 
 DRIFT_KEYS = ["window_start", "baseline_start", "slice", "column_name"]
 _UNITS = {"day", "week", "month", "quarter", "year"}
@@ -54,15 +54,23 @@ def shift_window(d: Column, unit: str, k: int = 1) -> Column:
 
 
 def split_columns(df: DataFrame, columns: Sequence[str] | None, exclude: Sequence[str] = ()) -> tuple[list[str], list[str]]:
-    """Numeric and categorical monitored columns (all of them when ``columns`` is None)."""
-    skip = set(exclude) | _RESERVED
-    num = numeric_columns(df, skip)
-    cat = categorical_columns(df, skip)
+    """Numeric and categorical monitored columns.
+
+    When ``columns`` is None: all numeric, string and boolean ones but the load
+    columns ``year``, ``month`` and ``load_date``.  Asked columns are monitored
+    whatever their name; one of another type raises a ValueError (cast a date
+    or timestamp to a number first).
+    """
     if columns is None:
-        return num, cat
+        skip = set(exclude) | _RESERVED
+        return numeric_columns(df, skip), categorical_columns(df, skip)
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"monitored column(s) {missing} not in table")
+    num, cat = numeric_columns(df), categorical_columns(df)
+    other = [c for c in columns if c not in num and c not in cat]
+    if other:
+        raise ValueError(f"monitored column(s) {other} are neither numeric nor string nor boolean")
     return [c for c in columns if c in num], [c for c in columns if c in cat]
 
 
@@ -93,8 +101,8 @@ def _metrics(
 ) -> DataFrame:
     """Drift metrics for a paired count frame ``(window_start, [groups], slice_id, col_id, num, cat, n_b, n_c)``."""
     groups = list(group_cols)
-    keys = ["_g", *groups]
-    g = paired.select(layout.group_key(F.col("window_start")), *groups, "col_id", "num", "cat", "n_b", "n_c")
+    keys, packed = group_keys(groups)
+    g = paired.select(layout.group_key(F.col("window_start")), *packed, "col_id", "num", "cat", "n_b", "n_c")
     is_num = F.col("col_id") < len(layout.numeric)
     num = g.where(is_num).select(*keys, F.col("num").alias("value"), "n_b", "n_c")
     cat = g.where(~is_num).select(*keys, F.col("cat").alias("value"), "n_b", "n_c")
@@ -105,7 +113,7 @@ def _metrics(
         ws.alias("window_start"),
         (baseline_start if isinstance(baseline_start, Column) else baseline_start(ws)).alias("baseline_start"),
         names["slice"].alias("slice"),
-        *groups,
+        *[F.col("_groups").getField(c).alias(c) for c in groups],
         names["column_name"].alias("column_name"),
         *DRIFT_COLUMNS,
     )
@@ -118,21 +126,31 @@ def _drift_from_window_counts(
     buckets: int | None,
     mean_scale: int | None = None,
     group_cols: Sequence[str] = (),
+    listed: Sequence[Column] | None = None,
 ) -> DataFrame:
     """Pair every window's counts with the previous window's (one union + aggregate).
 
     The paired count frame (one row per window, slice, column and distinct
     value) is materialized once; the metric aggregates read it from there.
+    Metrics come for the ``listed`` windows, else for all up to the last one
+    with rows and for rows without a window, which have no baseline.
     """
     cols = [*group_cols, "slice_id", "col_id", "num", "cat"]
     cur = vc.select(F.col("ws").alias("window_start"), *cols, F.lit(0).cast("long").alias("n_b"), F.col("n").alias("n_c"))
-    base = vc.select(
+    base = vc.where(F.col("ws").isNotNull()).select(
         shift_window(F.col("ws"), unit).alias("window_start"), *cols, F.col("n").alias("n_b"), F.lit(0).cast("long").alias("n_c")
     )
     paired = (
         cur.unionByName(base).groupBy("window_start", *cols).agg(F.sum("n_b").alias("n_b"), F.sum("n_c").alias("n_c"))
     )
     paired = materialize(paired)
+    at = F.col("window_start")
+    if listed is None:
+        # baselines shifted past the last window are no windows
+        last = paired.where("n_c > 0").agg(F.max(at)).first()[0]
+        paired = paired.where(at.isNull() | (at <= F.lit(last).cast("date")))
+    else:
+        paired = paired.where(at.isin(*listed))
     return _metrics(paired, layout, lambda ws: shift_window(ws, unit, -1), buckets, mean_scale, group_cols)
 
 
@@ -150,7 +168,10 @@ def drift_time_series(
     """Every window against the previous calendar window, one plan for all columns.
 
     A window whose predecessor has no rows gets ``status = 'NO_BASELINE'``
-    and null metrics.  ``mean_scale``: exact decimal means for columns with
+    and null metrics; a window, group, slice or column value set that is gone
+    while its predecessor had rows gets ``status = 'NO_CURRENT'``.  Rows with a
+    null timestamp are reported as a null window without a baseline, rows with
+    a null group as a group of their own.  ``mean_scale``: exact decimal means for columns with
     at most that many decimals (None: double sums).  ``group_cols``: a
     granularity level; metrics per value of these columns (each group
     compared with the same group in the previous window).
@@ -170,9 +191,7 @@ def drift_time_series(
     layout = Layout(num, cat, slices)
     groups = {"ws": window_start(ts_col, unit), **{c: F.col(c) for c in group_cols}}
     vc = long_value_counts(df, groups, layout)
-    out = _drift_from_window_counts(vc, layout, unit, buckets, mean_scale, group_cols)
-    # windows after the last one exist only as shifted baselines
-    return out.where(F.col("status") != "NO_CURRENT")
+    return _drift_from_window_counts(vc, layout, unit, buckets, mean_scale, group_cols)
 
 
 def drift_snapshot(
@@ -235,7 +254,7 @@ def drift_separate(
         tagged = t if tagged is None else tagged.unionByName(t)
     vc = long_value_counts(tagged, {"ws": F.col("_ws")}, layout, slices_col="_slices", single_scan=True)
     listed = [F.make_date(F.lit(y), F.lit(m), F.lit(1)) for y, m in sorted(set(months))]
-    return _drift_from_window_counts(vc, layout, "month", buckets, mean_scale).where(F.col("window_start").isin(*listed))
+    return _drift_from_window_counts(vc, layout, "month", buckets, mean_scale, listed=listed)
 
 
 def profile(

@@ -6,8 +6,8 @@ no function runs a Spark job while building its plan (the only exception is
 distinct job to learn the pivot columns).  Reports whose optional columns are
 missing return ``None``; ``run_all`` lists them under ``skipped``.
 
-Amount totals and averages use ``money_sum`` / ``money_avg`` (exact decimal
-arithmetic); pass ``scale=None`` to get plain double sums.
+Amount totals and averages are plain sums by default; pass ``scale=`` for exact
+decimal arithmetic on amounts of at most that many decimals.
 """
 
 from __future__ import annotations
@@ -171,7 +171,7 @@ def policy_duration_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def quarterly_trends(df: DataFrame, scale: int | None = 4) -> DataFrame:
+def quarterly_trends(df: DataFrame, scale: int | None = None) -> DataFrame:
     return segment_summary(
         df.select(
             F.year("pol_eff_dt").alias("eff_year"), F.quarter("pol_eff_dt").alias("eff_quarter"), "tot_wprm_amt", "rec_id"
@@ -189,7 +189,7 @@ def quarterly_trends(df: DataFrame, scale: int | None = 4) -> DataFrame:
 # ---------------------------------------------------------------- premium
 
 
-def premium_by_form(df: DataFrame, scale: int | None = 4) -> DataFrame:
+def premium_by_form(df: DataFrame, scale: int | None = None) -> DataFrame:
     return segment_summary(
         df,
         ["pol_fm_cd"],
@@ -198,7 +198,7 @@ def premium_by_form(df: DataFrame, scale: int | None = 4) -> DataFrame:
     ).select("pol_fm_cd", "policy_count", "avg_written_premium", "total_written_premium")
 
 
-def premium_distribution_stats(df: DataFrame, scale: int | None = 4) -> DataFrame:
+def premium_distribution_stats(df: DataFrame, scale: int | None = None) -> DataFrame:
     """min / quartiles / max / avg / stddev of the written premium (exact quartiles)."""
     s = distribution_stats(df, "tot_wprm_amt", [0.25, 0.5, 0.75], sum_scale=scale, name="q")
     return s.select(
@@ -212,7 +212,7 @@ def premium_distribution_stats(df: DataFrame, scale: int | None = 4) -> DataFram
     )
 
 
-def premium_deciles(df: DataFrame, scale: int | None = 4) -> DataFrame:
+def premium_deciles(df: DataFrame, scale: int | None = None) -> DataFrame:
     """min / max / avg / count of the written premium per decile (``ntile(10)`` order).
 
     ``policy_count`` counts the rows of each decile (equal to ``count(rec_id)``
@@ -231,7 +231,7 @@ def premium_deciles(df: DataFrame, scale: int | None = 4) -> DataFrame:
 # ---------------------------------------------------------------- geography
 
 
-def state_earned_premium(df: DataFrame, scale: int | None = 4) -> DataFrame:
+def state_earned_premium(df: DataFrame, scale: int | None = None) -> DataFrame:
     return segment_summary(
         df,
         ["acct_st_cd"],
@@ -240,7 +240,7 @@ def state_earned_premium(df: DataFrame, scale: int | None = 4) -> DataFrame:
     )
 
 
-def top_cities(df: DataFrame, top: int = 15, scale: int | None = 4) -> DataFrame | None:
+def top_cities(df: DataFrame, top: int = 15, scale: int | None = None) -> DataFrame | None:
     if "cty_nm" not in df.columns:
         return None
     return segment_summary(
@@ -271,7 +271,7 @@ def state_exposure_ratio(df: DataFrame) -> DataFrame:
     )
 
 
-def form_exposure(df: DataFrame, scale: int | None = 4) -> DataFrame:
+def form_exposure(df: DataFrame, scale: int | None = None) -> DataFrame:
     return segment_summary(
         _with_exposure_ratio(df),
         ["pol_fm_cd"],
@@ -287,7 +287,7 @@ def form_exposure(df: DataFrame, scale: int | None = 4) -> DataFrame:
 # ---------------------------------------------------------------- industry
 
 
-def industry_by_name(df: DataFrame, scale: int | None = 4) -> DataFrame:
+def industry_by_name(df: DataFrame, scale: int | None = None) -> DataFrame:
     return segment_summary(
         df,
         ["indus_grp_nm"],
@@ -296,14 +296,14 @@ def industry_by_name(df: DataFrame, scale: int | None = 4) -> DataFrame:
     )
 
 
-def industry_by_code(df: DataFrame, scale: int | None = 4) -> DataFrame:
+def industry_by_code(df: DataFrame, scale: int | None = None) -> DataFrame:
     return segment_summary(df, ["indus_grp_cd"], policy_triple(scale=scale), order=["-total_premium"])
 
 
 # ---------------------------------------------------------------- commission
 
 
-def state_commission(df: DataFrame, scale: int | None = 4) -> DataFrame:
+def state_commission(df: DataFrame, scale: int | None = None) -> DataFrame:
     """Commission by state.  ``comm_amt / tot_wprm_amt`` is unguarded in the
     source; ``try_divide`` gives null on a zero premium instead of failing
     under ANSI mode."""
@@ -322,7 +322,7 @@ def state_commission(df: DataFrame, scale: int | None = 4) -> DataFrame:
     )
 
 
-def form_commission(df: DataFrame, scale: int | None = 4) -> DataFrame:
+def form_commission(df: DataFrame, scale: int | None = None) -> DataFrame:
     return segment_summary(
         df,
         ["pol_fm_cd"],
@@ -335,7 +335,7 @@ def form_commission(df: DataFrame, scale: int | None = 4) -> DataFrame:
     )
 
 
-def waived_commission_by_state(df: DataFrame, scale: int | None = 4) -> DataFrame | None:
+def waived_commission_by_state(df: DataFrame, scale: int | None = None) -> DataFrame | None:
     if "waiv_comm_amt" not in df.columns:
         return None
     return segment_summary(
@@ -378,7 +378,7 @@ def growth_buckets(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- location / coverage
 
 
-def location_risk(df: DataFrame, top: int | None = None, scale: int | None = 4) -> DataFrame:
+def location_risk(df: DataFrame, top: int | None = None, scale: int | None = None) -> DataFrame:
     require_columns(df, ["loc_nbr", "rec_id", "bas_rt", "tot_wprm_amt"], "location_risk")
     return segment_summary(
         df,
@@ -471,21 +471,21 @@ def vehicle_policies(df: DataFrame) -> DataFrame | None:
     return out
 
 
-def premium_by_vehicle_make(df: DataFrame, top: int = 15, scale: int | None = 4) -> DataFrame | None:
+def premium_by_vehicle_make(df: DataFrame, top: int = 15, scale: int | None = None) -> DataFrame | None:
     v = vehicle_policies(df)
     if v is None or "vehicle_make" not in v.columns:
         return None
     return segment_summary(v, ["vehicle_make"], policy_triple(scale=scale), order=["-policy_count"], top=top)
 
 
-def premium_by_vehicle_class(df: DataFrame, top: int = 10, scale: int | None = 4) -> DataFrame | None:
+def premium_by_vehicle_class(df: DataFrame, top: int = 10, scale: int | None = None) -> DataFrame | None:
     v = vehicle_policies(df)
     if v is None or "veh_cls_hgh_lvl_desc" not in v.columns:
         return None
     return segment_summary(v, ["veh_cls_hgh_lvl_desc"], policy_triple(scale=scale), order=["-total_premium"], top=top)
 
 
-def premium_by_vehicle_group(df: DataFrame, top: int = 10, scale: int | None = 4) -> DataFrame | None:
+def premium_by_vehicle_group(df: DataFrame, top: int = 10, scale: int | None = None) -> DataFrame | None:
     v = vehicle_policies(df)
     if v is None or "veh_grp_typ_cd" not in v.columns:
         return None
@@ -495,7 +495,7 @@ def premium_by_vehicle_group(df: DataFrame, top: int = 10, scale: int | None = 4
 # ---------------------------------------------------------------- risk factors
 
 
-def premium_by_hazard(df: DataFrame, top: int = 10, scale: int | None = 4) -> DataFrame | None:
+def premium_by_hazard(df: DataFrame, top: int = 10, scale: int | None = None) -> DataFrame | None:
     if "haz_cd_leg" not in df.columns:
         return None
     require_columns(df, ["bas_rt"], "premium_by_hazard")
@@ -509,7 +509,7 @@ def premium_by_hazard(df: DataFrame, top: int = 10, scale: int | None = 4) -> Da
     )
 
 
-def rate_bands(df: DataFrame, scale: int | None = 4) -> DataFrame | None:
+def rate_bands(df: DataFrame, scale: int | None = None) -> DataFrame | None:
     """Base-rate quintile bands (exact p20/p40/p60/p80, upper edge inclusive).
 
     The thresholds stay in the plan as one scalar subquery (a one-row
@@ -536,13 +536,13 @@ def rate_bands(df: DataFrame, scale: int | None = 4) -> DataFrame | None:
     )
 
 
-def premium_by_product(df: DataFrame, top: int = 10, scale: int | None = 4) -> DataFrame | None:
+def premium_by_product(df: DataFrame, top: int = 10, scale: int | None = None) -> DataFrame | None:
     if "rtmk_prdct_cd_leg" not in df.columns:
         return None
     return segment_summary(df, ["rtmk_prdct_cd_leg"], policy_triple(scale=scale), order=["-policy_count"], top=top)
 
 
-def premium_by_premium_type(df: DataFrame, scale: int | None = 4) -> DataFrame | None:
+def premium_by_premium_type(df: DataFrame, scale: int | None = None) -> DataFrame | None:
     if "prem_typ_cd" not in df.columns:
         return None
     return segment_summary(df, ["prem_typ_cd"], policy_triple(scale=scale), order=["-policy_count"])
@@ -558,7 +558,7 @@ def risk_columns(df: DataFrame) -> DataFrame | None:
 # ---------------------------------------------------------------- renewals
 
 
-def premium_by_renewal_status(df: DataFrame, scale: int | None = 4) -> DataFrame | None:
+def premium_by_renewal_status(df: DataFrame, scale: int | None = None) -> DataFrame | None:
     if "new_ren_cd" not in df.columns:
         return None
     return segment_summary(df, ["new_ren_cd"], policy_triple(scale=scale), order=["-policy_count"])
@@ -587,7 +587,7 @@ def top_renewal_states(df: DataFrame, top: int = 10, values: Sequence[str] | Non
     return wide.orderBy(F.col("renewal_rate").desc_nulls_last(), F.col("acct_st_cd").asc_nulls_first()).limit(top)
 
 
-def premium_by_status_and_form(df: DataFrame, top: int = 15, scale: int | None = 4) -> DataFrame | None:
+def premium_by_status_and_form(df: DataFrame, top: int = 15, scale: int | None = None) -> DataFrame | None:
     if "new_ren_cd" not in df.columns:
         return None
     return segment_summary(
@@ -633,11 +633,11 @@ def _earned_by(df: DataFrame, key: str, top: int, scale: int | None) -> DataFram
     )
 
 
-def earned_ratio_by_state(df: DataFrame, top: int = 10, scale: int | None = 4) -> DataFrame | None:
+def earned_ratio_by_state(df: DataFrame, top: int = 10, scale: int | None = None) -> DataFrame | None:
     return _earned_by(df, "acct_st_cd", top, scale)
 
 
-def earned_ratio_by_form(df: DataFrame, top: int = 10, scale: int | None = 4) -> DataFrame | None:
+def earned_ratio_by_form(df: DataFrame, top: int = 10, scale: int | None = None) -> DataFrame | None:
     return _earned_by(df, "pol_fm_cd", top, scale)
 
 

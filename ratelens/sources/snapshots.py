@@ -1,8 +1,8 @@
 """Monthly snapshot tables: load stamping, baseline capture, as-of reads, retention.
 
-A store is one Parquet table partitioned by ``(year, month)``.  Captures
-write with *dynamic* partition overwrite, so writing April leaves March in
-place, and re-capturing a month replaces only that month.  Everything is
+A store is one Parquet table partitioned by ``(year, month)``.  A capture
+overwrites its month's directory, so writing April leaves March in place, and
+re-capturing a month replaces only that month, also when no rows are left.  Everything is
 lazy DataFrame work; which partition an as-of read takes is decided by a
 scalar subquery inside the plan, not by driver code.
 """
@@ -53,19 +53,11 @@ class SnapshotStore:
 
         A table that already carries ``year``/``month`` columns is filtered
         to that month (baseline of one partition); otherwise the whole table
-        is stamped with the month (baseline before a truncate-and-overwrite).
+        is stored under the month (baseline before a truncate-and-overwrite).
         """
         if "year" in df.columns and "month" in df.columns:
-            out = df.where((F.col("year") == year) & (F.col("month") == month))
-        else:
-            out = df.withColumns({"year": F.lit(year), "month": F.lit(month)})
-        (
-            out.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("year", "month")
-            .format(self.fmt)
-            .save(self.path)
-        )
+            df = df.where((F.col("year") == year) & (F.col("month") == month)).drop("year", "month")
+        df.write.mode("overwrite").format(self.fmt).save(f"{self.path}/year={year}/month={month}")
 
     def read(self) -> DataFrame:
         return self.spark.read.format(self.fmt).load(self.path)

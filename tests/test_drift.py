@@ -157,3 +157,35 @@ def test_columns_per_pass_equals_one_pass(spark):
     one = M.drift_time_series(li, "l_shipdate", cols, mean_scale=4)
     two = M.drift_time_series(li, "l_shipdate", cols, mean_scale=4, columns_per_pass=2)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
+def test_null_groups_null_times_and_gone_groups(spark):
+    rows = [
+        *[("2025-03-05", None, float(v), "u") for v in range(4)],
+        *[("2025-04-05", None, float(v + 1), "u") for v in range(4)],
+        ("2025-03-06", "b", 1.0, "u"),
+        ("2025-06-06", "c", 2.0, "w"),
+        (None, "c", 9.0, "w"),
+    ]
+    df = spark.createDataFrame(rows, "d string, g string, x double, s string").withColumn("ts", F.col("d").cast("timestamp"))
+    got = M.drift_time_series(df, "ts", ["x", "s"], group_cols=["g"]).collect()
+    by = {(str(r.window_start), r.g, r.column_name): r for r in got}
+    april = by["2025-04-01", None, "x"]
+    assert (april.n_baseline, april.n_current, april.status, april.ks_stat) == (4, 4, "OK", 0.25)
+    assert april.wasserstein_distance == pytest.approx(1.0) and april.js_divergence is not None
+    assert by["2025-04-01", None, "s"].js_divergence == 0.0
+    assert by["2025-04-01", "b", "x"].status == "NO_CURRENT" and by["2025-05-01", None, "s"].status == "NO_CURRENT"
+    assert by["None", "c", "x"].status == "NO_BASELINE" and by["None", "c", "x"].baseline_start is None
+    assert max(str(r.window_start) for r in got if r.window_start) == "2025-06-01"
+    assert len(got) == 2 * 7
+    gone = alerts(M.drift_time_series(df, "ts", ["x"], group_cols=["g"]), [Rule("gone", "n_current", "status = 'NO_CURRENT'")])
+    assert gone.count() == 2
+    p = {(str(r.window_start), r.g): r for r in M.profile(df, "ts", ["x"], group_cols=["g"]).collect()}
+    assert p["2025-03-01", None].p50 == 1.5 and p["None", "c"].row_count == 1
+
+
+def test_asked_columns_are_monitored_or_refused(spark):
+    df = spark.createDataFrame([(1.0, dt.date(2025, 3, 1), 2025)], "x double, dd date, year int")
+    assert M.split_columns(df, ["x", "year"]) == (["x", "year"], [])
+    with pytest.raises(ValueError):
+        M.split_columns(df, ["x", "dd"])

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from ratelens.functions.expr import any_true, first_word, money_avg, money_sum, null_inclusive_distinct, safe_ratio
@@ -40,7 +41,13 @@ def test_safe_ratio_under_ansi(spark):
 def test_money_sum_is_partitioning_independent(spark):
     rows = [(x * 0.01 + 0.07,) for x in range(5000)]
     df = spark.createDataFrame(rows, "x double")
-    a = df.repartition(1).agg(money_sum("x"), money_avg("x")).first()
-    b = df.repartition(13).agg(money_sum("x"), money_avg("x")).first()
+    a = df.repartition(1).agg(money_sum("x", 4), money_avg("x", 4)).first()
+    b = df.repartition(13).agg(money_sum("x", 4), money_avg("x", 4)).first()
     assert tuple(a) == tuple(b)
     assert abs(a[0] - sum(round(r[0], 4) for r in rows)) < 1e-6
+
+
+def test_sums_keep_small_rates_and_large_amounts(spark):
+    df = spark.createDataFrame([(0.000004, 1e15), (0.000006, 3e15)], "r double, a double")
+    got = df.agg(money_avg("r"), money_sum("a"), money_sum("r")).first()
+    assert tuple(got) == (pytest.approx(5e-06, rel=1e-12), 4e15, pytest.approx(1e-05, rel=1e-12))

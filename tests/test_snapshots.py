@@ -49,3 +49,12 @@ def test_critical_view_and_save_table(spark):
     assert v.columns == ["rate", "ts"] and spark.table("critical_v").columns == ["rate", "ts"]
     save_table(v.select("rate"), "saved_rates")
     assert read_source(spark, "saved_rates").first().rate == 2.0
+
+
+def test_capture_of_an_emptied_month_leaves_no_row(spark, scratch):
+    store = SnapshotStore(spark, f"{scratch}/emptied")
+    t = stamp_load_date(spark.createDataFrame([(1,)], "id int"), dt.datetime(2025, 3, 5))
+    store.capture(t, 2025, 3)
+    store.capture(t.withColumns({"month": F.lit(4)}), 2025, 4)
+    store.capture(t.where("id > 1"), 2025, 3)
+    assert store.month(2025, 3).count() == 0 and store.month(2025, 4).count() == 1
