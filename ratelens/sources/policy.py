@@ -47,7 +47,7 @@ def policy_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     ln = F.col("l_linenumber")
     price = F.col("l_extendedprice")
     cols = {
-        "rec_id": F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]),
+        "rec_id": F.concat("l_orderkey", F.lit("-"), "l_partkey", F.lit("-"), "l_suppkey", F.lit("-"), "l_linenumber"),
         "acct_nm": F.col("c_name"),
         "pol_nbr": F.col("o_orderkey"),
         "acct_st_cd": F.col("n_name"),
@@ -91,7 +91,7 @@ def policy_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 # pre-registered star-schema views).  Fixed fixture definition.
 POLICY_SQL = """
 SELECT
-  concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS rec_id,
+  l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS rec_id,
   c_name AS acct_nm, o_orderkey AS pol_nbr, n_name AS acct_st_cd,
   concat(n_name,'/',c_mktsegment) AS cty_nm,
   o_orderdate AS pol_eff_dt,
