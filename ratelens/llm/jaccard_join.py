@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelens.llm.graph import components
-from ratelens.llm.shared import gram_hashes, mix64, ship, with_text, worker_cache, written
+from ratelens.llm.shared import mix64, ragged, ship, with_text, written
 
 SHINGLE = 5
 LEAST = 80
@@ -58,31 +58,63 @@ LEAST = 80
 PAIR_COST = 4.0
 AGREE = 0.02
 BYTES_PER_WORD = 6.0
-KEPT_WORDS = 400_000
 #: Members of a block when groups are compared pairwise.
 BLOCK = 1024
+#: Bytes of a text that are hashed at a time.
+PIECE = 1 << 18
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, computed once per Python worker."""
+def places(at: np.ndarray) -> np.ndarray:
+    """The odd factor of each place in a word or shingle."""
+    return mix64(at.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+def byte_values() -> np.ndarray:
+    """A 64-bit value for each byte: A-Z as a-z, 0 for the white space that ends words."""
+    values = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x2545F4914F6CDD1D))
+    values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
+    values[[0x20, *range(0x09, 0x0E)]] = 0
+    return values
+
+
+BYTE = byte_values()
+PLACE = places(np.arange(4096))
+
+
+def factors(at: np.ndarray) -> np.ndarray:
+    return PLACE[at] if at.max() < len(PLACE) else places(at)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hash of each word ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased: the sum of its bytes' values times their places'."""
+    raw = np.frombuffer(text, np.uint8)
+    inside = np.concatenate([[False], BYTE[raw] != 0])
+    starts = np.flatnonzero(inside[1:] & ~inside[:-1])
+    sums = np.zeros(len(starts), np.uint64)
+    # in pieces, also inside a word, so that a text of any length takes little more than its own bytes
+    for at in range(starts[0] if len(starts) else len(raw), len(raw), PIECE):
+        end = min(at + PIECE, len(raw))
+        first, last = np.searchsorted(starts, [at, end - 1], side="right") - 1
+        own = starts[first : last + 1]
+        bounds = np.concatenate([np.maximum(own, at) - at, [end - at]])
+        place = np.arange(at, end) - np.repeat(own, bounds[1:] - bounds[:-1])
+        sums[first : last + 1] += np.add.reduceat(BYTE[raw[at:end]] * factors(place), bounds[:-1])
+    return sums
 
 
 def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    get = worker_cache("word hashes", WordHashes)
-    h = np.fromiter(map(get.__getitem__, words), np.uint64, len(words))
-    return np.unique(gram_hashes(h, min(size, len(h))))
+    words = word_hashes(text) if text else np.zeros(0, np.uint64)
+    if not len(words):
+        return words
+    size = min(size, len(words))
+    n = len(words) - size + 1
+    h = np.full(n, size, np.uint64)
+    for k, times in enumerate(factors(np.arange(size))):
+        h += words[k : k + n] * times
+    h = mix64(h)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -117,7 +149,7 @@ class Bands:
             # a band's largest set still links with its smallest
             self.lows.append(max(self.lows[-1] + 1, self.lows[-1] * 100 // least + 1))
         self.sets = sets or {}
-        self._plan: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._plan: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def of(self, n: int) -> int:
         return int(np.searchsorted(self.lows, n, side="right")) - 1
@@ -129,8 +161,8 @@ class Bands:
         # |A ^ B| <= (1 - t) / (1 + t) * (|A| + |B|)
         return (100 - self.least) * (small + large) // (100 + self.least)
 
-    def plan(self, band: int) -> tuple[np.ndarray, np.ndarray]:
-        """Inner bounds of the ranges in hash space, and their budgets."""
+    def plan(self, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inner bounds of the ranges in hash space, their budgets and their names."""
         if band not in self._plan:
             k = self.differences(band)
             size, others = self.lows[band], self.sets.get(band, 1)
@@ -139,7 +171,8 @@ class Bands:
             cost_pairs = size + pairs + PAIR_COST * others * pairs * AGREE ** (size / max(1, pairs) - 1)
             budgets = [1] * ones if cost_ones <= cost_pairs else [2] * pairs + [1] * (ones % 2)
             ends = np.cumsum(budgets)[:-1].astype(object) * (1 << 64) // sum(budgets)
-            self._plan[band] = np.array([int(e) for e in ends], np.uint64), np.array(budgets)
+            names = mix64(np.arange(len(budgets), dtype=np.uint64) + np.uint64(band << 32))
+            self._plan[band] = np.array([int(e) for e in ends], np.uint64), np.array(budgets), names
         return self._plan[band]
 
     def homes(self, n: int) -> list[int]:
@@ -153,29 +186,32 @@ class Bands:
 
 
 def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    """The set's signatures, distinct."""
-    found = []
-    mixed = mix64(shingles + np.uint64(0x5851F42D4C957F2D))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
-    for band in bands.homes(len(shingles)):
-        bounds, budgets = bands.plan(band)
+    """The set's signatures."""
+    found = [np.zeros(0, np.uint64)]
+    # a subset is named by its sum: shingles are hashes already, and what is found is verified exactly
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(shingles, dtype=np.uint64)])
+    for band in bands.homes(len(shingles)) if len(shingles) else ():
+        bounds, budgets, names = bands.plan(band)
         m = len(budgets)
         cut = np.concatenate([[0], np.searchsorted(shingles, bounds), [len(shingles)]])
         subset = sums[cut[1:]] - sums[cut[:-1]]
-        names = mix64(np.arange(m, dtype=np.uint64) + np.uint64(band << 32))
-        near = [(s, names[s : s + 1]) for s in np.flatnonzero(budgets == 2)]
+        lens = cut[1:] - cut[:-1]
+        near, spaces = np.flatnonzero(budgets == 2), names[budgets == 2]
         # with neighbourhoods in the plan ranges are wide and an empty one is a subset like others
-        full = cut[1:] > cut[:-1] if not near and m > 1 else np.ones(m, bool)
-        found.append(mix64(subset[full] ^ names[full]))
-        for e in np.flatnonzero(~full):
-            s = (e + 1) % m
-            space = mix64(names[e : e + 1] + names[s : s + 1])
-            near.append((s, space))
-            found.append(mix64(subset[s : s + 1] ^ space))
-        for s, space in near:
+        if len(near) or m == 1 or lens.all():
+            found.append(subset ^ names)
+        else:
+            found.append((subset ^ names)[lens > 0])
+            # the next range of an empty one, in a name space of its own
+            empty = np.flatnonzero(lens == 0)
+            near = (empty + 1) % m
+            spaces = mix64(names[empty] + names[near])
+            found.append(subset[near] ^ spaces)
+        if len(near):
             # the subset without each one of its elements
-            found.append(mix64((subset[s] - mixed[cut[s] : cut[s + 1]]) ^ space))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+            without = np.repeat(subset[near], lens[near]) - ragged(shingles, cut[:-1], lens, near)
+            found.append(without ^ np.repeat(spaces, lens[near]))
+    return np.concatenate(found)
 
 
 def bands_for(docs: DataFrame, least: int) -> Bands:
@@ -216,26 +252,25 @@ def features(docs: DataFrame, size: int) -> DataFrame:
 
 
 def signed(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
-    """sig, node, n: the signatures of all sets; a task gives a set's signatures once."""
+    """sig, node: the signatures of all sets; a task gives a set's signatures once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                nodes, sizes, sigs = [], [], [np.zeros(0, np.uint64)]
+                nodes, sigs = [], [np.zeros(0, np.uint64)]
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     s = shingle_set(text, size) if doc is not None else ()
                     if len(s) and (node := node_of(s)) not in seen:
                         seen.add(node)
                         nodes.append(node)
-                        sizes.append(len(s))
                         sigs.append(signatures(s, bands))
                 each = [len(x) for x in sigs[1:]]
-                cols = [np.concatenate(sigs).astype(np.int64), np.repeat(np.array(nodes, np.int64), each), np.repeat(np.array(sizes, np.int64), each)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["sig", "node", "n"])
+                cols = [np.concatenate(sigs).view(np.int64), np.repeat(np.array(nodes, np.int64), each)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["sig", "node"])
 
-    return with_text(docs).mapInArrow(run, "sig long, node long, n long")
+    return with_text(docs).mapInArrow(run, "sig long, node long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -344,14 +379,14 @@ def remaining_pairs(members: DataFrame, sketches: DataFrame, least: int) -> Data
 
 
 def shared_groups(sig: DataFrame) -> DataFrame:
-    """sig, node, n, central: the members of groups of two or more, each set of members once.
+    """sig, node, central: the members of groups of two or more, each set of members once.
 
     Sets that share a passage share all its signatures; one of such equal groups is enough.
     """
     every = Window.partitionBy("sig")
     ends = (F.min("node").over(every).alias("least"), F.max("node").over(every).alias("most"))
     # tasks may have given a set's signatures twice
-    shared = written(sig.select("*", *ends).where("least <> most").select("sig", "node", "n").distinct())
+    shared = written(sig.select("*", *ends).where("least <> most").select("sig", "node").distinct())
     sizes = shared.groupBy("sig").agg(
         F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
     )
@@ -379,13 +414,13 @@ def linked_nodes(docs: DataFrame, feats: DataFrame, size: int, least: int) -> Da
     star = written(sketched(star_pairs(groups.withColumn("component", F.col("node"))), sketches, least))
     # as if these all linked, to spare the pairs within their components
     _, rest = labelled(groups, star)
-    pairs = star.unionByName(written(remaining_pairs(rest.drop("n"), sketches, least)))
+    pairs = star.unionByName(written(remaining_pairs(rest, sketches, least)))
     links = links_of(pairs)
     comp, rest = labelled(groups, links)
     if rest.isEmpty():
         return comp
     # pairs that were spared for a star that doesn't hold
-    again = written(remaining_pairs(rest.drop("n"), sketches, least).join(pairs, ["a", "b"], "left_anti"))
+    again = written(remaining_pairs(rest, sketches, least).join(pairs, ["a", "b"], "left_anti"))
     return comp if again.isEmpty() else components(links.unionByName(links_of(again)))
 
 

@@ -121,10 +121,11 @@ class Numbering(dict):
 def mix64(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer, a bijection of 64-bit values."""
     h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> np.uint64(27))
-    h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def gram_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
