@@ -1,11 +1,20 @@
-"""Substring dedup by hashing lines and the sentences inside them.
+"""Substring dedup by hashing lines, the sentences inside them, and runs of words.
 
-Units are runs of sentences inside a line: a unit ends with the line, or with a
-sentence end (``.``, ``!`` or ``?`` and white space) once the unit's last
+Units are of two kinds.  Sentences inside a line: a unit ends with the line, or
+with a sentence end (``.``, ``!`` or ``?`` and white space) once the unit's last
 sentence has ``SENTENCE_WORDS`` words, so that short sentences are part of a
-longer unit.  A unit's words are normalised (lower case, only letters and
-digits, one space between words) and hashed to 128 bits; units with fewer than
-``min_words`` normalised words are left alone.
+longer unit.  And ``RUN_WORDS`` words from each word that the words alone choose
+(winnowing: of ``WINDOW`` successive places the one whose three words hash
+least, all of them on ties), wherever sentences and lines begin.  A unit's words are normalised
+(lower case, only letters and digits, one space between words) and hashed to
+128 bits; units with fewer than ``min_words`` normalised words are left alone.
+
+Texts that share a run of words choose the same places inside it, at most
+``WINDOW`` apart.  So of a run of ``RUN_WORDS + WINDOW - 1`` words or more (49)
+a later copy keeps fewer than ``WINDOW`` words at each end.  Units overlap; a
+word is cut if one unit that holds it occurred before, so each cut word has an
+earlier copy that stays.  Of a passage that repeats itself within ``RUN_WORDS``
+words the first unit stays whole.
 
 Of each digest the earliest occurrence by (doc_id, start) stays.  Every other
 occurrence is removed, and its offsets in the original text are kept:
@@ -33,24 +42,104 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.llm.shared import free_name, ship, with_text, written
+from ratelens.llm.shared import free_name, gram_hashes, mix64, ship, with_text
 
 SENTENCE_WORDS = 4
 MIN_WORDS = 6
+RUN_WORDS = 30
+WINDOW = 20
 #: A run of text up to a sentence end, a line end or the text's end.
 SENTENCE = re.compile(r"[^\n.!?]*+(?:[.!?]++(?!\s|\Z)[^\n.!?]*+)*+(?:[.!?]++[^\S\n]*+|\n++|\Z)")
 WORDS = re.compile(r"[^\W_]+")
 
 
+MULTIPLIER = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, np.uint64)] * 2
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """64-bit hashes of words: their letters' polynomial, from the running sum over all words."""
+    codes = np.frombuffer(" ".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lens + 1) - 1
+    if len(_powers[0]) <= len(codes):
+        for k, base in enumerate((MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64))):
+            _powers[k] = np.cumprod(np.full(2 * len(codes), base, np.uint64))
+    power, inverse = _powers
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * power[: len(codes)])])
+    return mix64((total[ends] - total[ends - lens]) * inverse[ends - lens])
+
+
+_letters: list[np.ndarray] = []
+
+
+def word_spans(text: str) -> np.ndarray:
+    """(start, end) of the matches of ``WORDS``."""
+    if not _letters:
+        _letters.append(np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000))
+    inside = np.zeros(len(text) + 2, bool)
+    inside[1:-1] = _letters[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+    return np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2)
+
+
+def sliding(best: np.ufunc, a: np.ndarray) -> np.ndarray:
+    """``best`` of each ``WINDOW`` successive values."""
+    n = 1
+    while 2 * n <= WINDOW:
+        a, n = best(a[:-n], a[n:]), 2 * n
+    return best(a[: len(a) - (WINDOW - n)], a[WINDOW - n :])
+
+
+def chosen(words: list[str]) -> list[int]:
+    """Places that start a run: those with the least hash of ``WINDOW`` successive three-word windows."""
+    h = gram_hashes(word_hashes(words), 3)
+    most = sliding(np.maximum, np.pad(sliding(np.minimum, h), WINDOW - 1))
+    return np.flatnonzero(h[: len(words) - RUN_WORDS + 1] == most[: len(words) - RUN_WORDS + 1]).tolist()
+
+
 def units(text: str, min_words: int) -> list[tuple[int, int, str]]:
     """(start, end, normalised words) of the units with enough words."""
-    found = []
     lowered = text.lower()
     same = len(lowered) == len(text)
+    found, words = sentences(text, lowered, same, min_words)
+    if len(words) < RUN_WORDS + WINDOW - 1 or min_words > RUN_WORDS:
+        return found
+    spans = word_spans(text)
+    if len(spans) != len(words):  # letters that are several in lower case
+        same, words = False, [text[a:b].lower() for a, b in spans.tolist()]
+        if len(words) < RUN_WORDS + WINDOW - 1:
+            return found
+
+    def unit(k: int, n: int) -> tuple[int, int, str]:
+        a, b = int(spans[k, 0]), int(spans[k + n - 1, 1])
+        return a, b, " ".join(words[k : k + n] if same else WORDS.findall(text[a:b].lower()))
+
+    every = [(*u, -1) for u in found] + [(*unit(k, RUN_WORDS), k) for k in chosen(words)]
+    out, first = [], {}
+    for a, b, name, k in sorted(every, key=lambda u: u[0]):
+        end, before = first.get(name, (a, -1))
+        if a >= end:
+            first.setdefault(name, (b, k))
+            out.append((a, b, name))
+        elif k >= 0 and before >= 0:
+            # the first unit of a passage that repeats itself: also with what is left of its last period
+            first[name] = end, -1
+            period = k - before
+            whole = unit(before, -(-RUN_WORDS // period) * period)
+            if whole[2] not in first:
+                first[whole[2]] = whole[1], -1
+                out.append(whole)
+    return out
+
+
+def sentences(text: str, lowered: str, same: bool, min_words: int) -> tuple[list[tuple[int, int, str]], list[str]]:
+    """The units that end with a sentence or line, and all words."""
+    found, every = [], []
     start, words = 0, []
     for m in SENTENCE.finditer(text):
         a, b = m.span()
@@ -58,13 +147,14 @@ def units(text: str, min_words: int) -> list[tuple[int, int, str]]:
             continue
         new = WORDS.findall(lowered, a, b) if same else WORDS.findall(text[a:b].lower())
         words += new
+        every += new
         if len(new) >= SENTENCE_WORDS or text[b - 1] == "\n":
             if len(words) >= min_words:
                 found.append((start, b, " ".join(words)))
             start, words = b, []
     if len(words) >= min_words:
         found.append((start, len(text), " ".join(words)))
-    return found
+    return found, every
 
 
 def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
@@ -103,8 +193,8 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = occurrences(docs, min_words)
     # null ids rank last
     rank = F.struct(F.col("doc_id").isNull().alias("anon"), F.col("doc_id"), F.col("start"))
-    first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last")
-    both = found.join(first.drop("last"), ["h1", "h2"])
+    first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
+    both = found.join(first.drop("n"), ["h1", "h2"])
     other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")))
     return (
         both.where(other)
@@ -153,9 +243,14 @@ def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document with removed text: doc_id, n_removed, removed_chars, spans (start:end, comma-joined)."""
     found = removals(docs, min_words)
     span = F.concat_ws(":", F.col("start").cast("string"), F.col("end").cast("string"))
-    listed = F.sort_array(F.collect_list(F.struct("start", span.alias("span"))))
+    listed = F.sort_array(F.collect_list(F.struct("start", "end", span.alias("span"))))
+    # spans may overlap
+    none = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("n"))
+    add = lambda s, x: F.struct(
+        F.greatest(s["at"], x["end"]).alias("at"), (s["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(s["at"], x["start"]))).alias("n")
+    )
     return found.groupBy("doc_id").agg(
         F.count("*").alias("n_removed"),
-        F.sum(F.col("end") - F.col("start")).cast("long").alias("removed_chars"),
+        F.aggregate(listed, none, add, lambda s: s["n"]).alias("removed_chars"),
         F.concat_ws(",", F.transform(listed, lambda x: x["span"])).alias("spans"),
     )

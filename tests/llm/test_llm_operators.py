@@ -507,6 +507,47 @@ def test_null_ids_rank_last(spark):
     assert sorted((str(r["doc_id"]), r["first_doc"]) for r in got) == [("7", 3), ("None", 3)]
 
 
+def longest_shared(texts, least):
+    """The longest run of ``least`` words or more that two of the texts have (0: none)."""
+    lists = [substring_lines.WORDS.findall((t or "").lower()) for t in texts]
+    n = least
+    while True:
+        home, shared = {}, False
+        for k, w in enumerate(lists):
+            for i in range(len(w) - n + 1):
+                shared |= home.setdefault(tuple(w[i : i + n]), k) != k
+        if not shared:
+            return 0 if n == least else n - 1
+        n += 1
+
+
+def test_runs_inside_sentences(spark):
+    """Passages that start and end inside long sentences, cross short lines or repeat themselves leave no run of over 50 words."""
+    import random
+
+    rnd = random.Random(8)
+    fresh = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    shared = [fresh(51), fresh(60), fresh(90), fresh(300), fresh(29) * 8, fresh(23) * 9, fresh(4) * 40, fresh(1) * 120]
+    texts = []
+    for passage in shared:
+        for k in range(3):
+            gap = "\n" if k == 1 else " "
+            texts.append(" ".join(fresh(13 + k)) + " " + gap.join(passage) + " " + " ".join(fresh(17 - k)))
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], SCHEMA)
+    assert longest_shared(texts, 51) >= 300
+    got = {r["doc_id"]: r["text"] for r in substring_lines.dedup(docs).collect()}
+    assert longest_shared(got.values(), 51) == 0
+    for k, passage in enumerate(shared):
+        own = texts[3 * k].split()
+        left = got[3 * k].split()
+        # the first copy stays, of a passage that repeats itself its first 30 words at least
+        assert left == own if k < 4 else left[: 13 + 30] == own[: 13 + 30]
+    for k, t in enumerate(texts):  # what only one document has stays
+        assert set(t.split()[:13]) | set(t.split()[-15:]) <= set(got[k].split())
+    chars = {r["doc_id"]: r["removed_chars"] for r in substring_lines.report(docs).collect()}
+    assert all(chars.get(k, 0) == len(t) - len(got[k]) for k, t in enumerate(texts))
+
+
 # 10 -- personal data
 
 
