@@ -16,11 +16,12 @@ word is cut if one unit that holds it occurred before, so each cut word has an
 earlier copy that stays.  Of a passage that repeats itself within ``RUN_WORDS``
 words the first unit stays whole.
 
-Of each digest the earliest occurrence by (doc_id, start) stays.  Every other
+A document is a doc_id and a text (t1, t2: its 128-bit digest).  Of each unit's
+digest the earliest occurrence by (doc_id, t1, t2, start) stays.  Every other
 occurrence is removed, and its offsets in the original text are kept:
 
 * ``removals``: doc_id, start, end (code points of the original text), the
-  digest and where it is kept (first_doc, first_start),
+  digest, where it is kept (first_doc, first_start), and t1, t2,
 * ``dedup``:    the documents with these spans cut out.
 
 One aggregation over all units, combined before its shuffle, finds each
@@ -30,9 +31,10 @@ skewed partitions AQE splits, so one line in a third of all rows is no single
 task.
 
 Defined results: null and empty texts have no unit and stay as they are; rows
-with a null doc_id rank after all others; repeated rows (same doc_id) are one
-document, so their units don't remove each other, and each gets the same spans
-removed; ties can't occur within a document as starts differ; an empty table
+with a null doc_id rank after all others; repeated rows (same doc_id or none, and
+same text) are one document, so their units don't remove each other, and each
+gets the same spans removed; rows that share a doc_id, or have none, but differ
+in text are documents of their own; ties can't occur within a document as starts differ; an empty table
 gives an empty result.  ``dedup`` keeps the input's columns and no other, and
 sets ``n_chars``, where there is one, to the text's new length.
 """
@@ -41,10 +43,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratelens.llm.shared import free_name, gram_hashes, mix64, ship, with_text
@@ -157,8 +161,13 @@ def sentences(text: str, lowered: str, same: bool, min_words: int) -> tuple[list
     return found, every
 
 
+def text_digest() -> tuple[Column, Column]:
+    """The halves of a text's digest."""
+    return F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+
+
 def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    """Every unit: h1, h2 (the digest's halves), doc_id, start, end."""
+    """Every unit: h1, h2 (the digest's halves), doc_id, t1, t2 (the text's), start, end."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,38 +176,41 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                h1, h2, ids, starts, ends = [], [], [], [], []
-                for doc, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                h1, h2, rows, starts, ends = [], [], [], [], []
+                for row, raw in enumerate(part.column(1).to_pylist()):
                     if not raw:
                         continue
                     for a, b, words in units(raw.decode("utf-8", "replace"), min_words):
                         h = xxhash.xxh3_128_intdigest(words)
                         h1.append((h >> 64) - (1 << 63))
                         h2.append((h & (1 << 64) - 1) - (1 << 63))
-                        ids.append(doc)
+                        rows.append(row)
                         starts.append(a)
                         ends.append(b)
-                long = pa.int64()
+                long, at_rows = pa.int64(), pa.array(rows, pa.int64())
+                own = [part.column(c).take(at_rows) for c in (0, 2, 3)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1, long), pa.array(h2, long), pa.array(ids, part.column(0).type), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())],
-                    ["h1", "h2", "doc_id", "start", "end"],
+                    [pa.array(h1, long), pa.array(h2, long), *own, pa.array(starts, pa.int32()), pa.array(ends, pa.int32())],
+                    ["h1", "h2", "doc_id", "t1", "t2", "start", "end"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_text(docs).mapInArrow(run, f"h1 long, h2 long, doc_id {kind}, start int, end int")
+    t1, t2 = text_digest()
+    named = docs.select("doc_id", "text", t1.alias("t1"), t2.alias("t2"))
+    return with_text(named, "t1", "t2").mapInArrow(run, f"h1 long, h2 long, doc_id {kind}, t1 long, t2 long, start int, end int")
 
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Spans to remove: doc_id, start, end, h1, h2, first_doc, first_start."""
+    """Spans to remove: doc_id, start, end, h1, h2, first_doc, first_start, t1, t2."""
     found = occurrences(docs, min_words)
     # null ids rank last
-    rank = F.struct(F.col("doc_id").isNull().alias("anon"), F.col("doc_id"), F.col("start"))
+    rank = F.struct(F.col("doc_id").isNull().alias("anon"), "doc_id", "t1", "t2", "start")
     first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
     both = found.join(first.drop("n"), ["h1", "h2"])
-    other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")))
+    other = ~reduce(and_, (F.col(c).eqNullSafe(F.col(f"first.{c}")) for c in ("doc_id", "t1", "t2", "start")))
     return (
         both.where(other)
-        .select("doc_id", "start", "end", "h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
+        .select("doc_id", "start", "end", "h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"), "t1", "t2")
         .distinct()
     )
 
@@ -214,10 +226,14 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool = True) -> DataFrame:
     """``docs`` without later occurrences; texts left without a word go (``drop_emptied``)."""
-    spans = removals(docs, min_words).groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    found = removals(docs, min_words)
     columns, schema = docs.columns, docs.schema
-    spans = spans.withColumnRenamed("_doc", doc := free_name(columns, "_doc")).withColumnRenamed("_spans", cuts := free_name(columns, "_spans"))
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col(doc)), "left").select(*columns, cuts)
+    doc, one, two, cuts = (free_name(columns, c) for c in ("_doc", "_t1", "_t2", "_spans"))
+    spans = found.groupBy(F.col("doc_id").alias(doc), F.col("t1").alias(one), F.col("t2").alias(two))
+    spans = spans.agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts))
+    t1, t2 = text_digest()
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (t1 == F.col(one)) & (t2 == F.col(two))
+    joined = docs.join(spans, same, "left").select(*columns, cuts)
     text, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +256,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool = True
 
 
 def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per document with removed text: doc_id, n_removed, removed_chars, spans (start:end, comma-joined)."""
+    """One row per document with removed text: doc_id, t1, t2, n_removed, removed_chars, spans (start:end, comma-joined)."""
     found = removals(docs, min_words)
     span = F.concat_ws(":", F.col("start").cast("string"), F.col("end").cast("string"))
     listed = F.sort_array(F.collect_list(F.struct("start", "end", span.alias("span"))))
@@ -249,7 +265,7 @@ def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     add = lambda s, x: F.struct(
         F.greatest(s["at"], x["end"]).alias("at"), (s["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(s["at"], x["start"]))).alias("n")
     )
-    return found.groupBy("doc_id").agg(
+    return found.groupBy("doc_id", "t1", "t2").agg(
         F.count("*").alias("n_removed"),
         F.aggregate(listed, none, add, lambda s: s["n"]).alias("removed_chars"),
         F.concat_ws(",", F.transform(listed, lambda x: x["span"])).alias("spans"),

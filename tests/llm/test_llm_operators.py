@@ -548,6 +548,27 @@ def test_runs_inside_sentences(spark):
     assert all(chars.get(k, 0) == len(t) - len(got[k]) for k, t in enumerate(texts))
 
 
+def test_documents_by_id_and_text(spark):
+    """Rows without an id, or with the same one, but with other texts are not cut at each other's offsets."""
+    line = "the very same line of many words stands here"
+    other = "quite another line that only this text has here"
+    texts = {
+        (None, f"{line}\nfirst own words"): 2,
+        (None, f"{line}\nsecond own words"): 1,
+        (None, f"{other} and it goes on for a while after that"): 1,
+        (5, f"{line}\nthird own words"): 1,
+        (5, f"{other.replace('quite', 'yet')}\nfourth own words"): 2,
+    }
+    rows = [(d, t, "en", "s", len(t)) for (d, t), n in texts.items() for _ in range(n)]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in substring_lines.dedup(spark.createDataFrame(rows, SCHEMA)).collect())
+    want = [(str(d), t if d or line not in t else t.split("\n")[1]) for d, t, *_ in rows]
+    assert got == sorted(want)
+    # without any id
+    rows = [(None, t, "en", "s", len(t)) for t in (f"{line}\nfirst own words", f"{line}\nsecond own words")]
+    got = [r["text"] for r in substring_lines.dedup(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sum(line in t for t in got) == 1 and all("own words" in t for t in got)
+
+
 # 10 -- personal data
 
 
