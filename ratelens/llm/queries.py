@@ -5,19 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratelens.llm import (
     bpe_words,
     embed_lsh,
+    fill_middle,
     jaccard_join,
     lm_backoff,
+    merkle_tree,
     pack_bestfit,
     pii_weak,
     quality_fertility,
     shard_lpt,
     substring_lines,
+    toxic_mil,
     url_rules,
 )
 
@@ -82,6 +85,44 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_secret", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.restore(fill_middle.transform(table(spark, sf_dir, "documents"), seed=42, rate=50, spm=80))
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")
+    )
+
+
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    out = merkle_tree.manifest(table(spark, sf_dir, "documents"), tampered)
+
+    def text(c: str) -> Column:
+        return F.lower(F.hex(c))
+
+    return out.select(
+        "doc_id",
+        text("leaf").alias("leaf"),
+        text("subroot").alias("subroot"),
+        text("root").alias("root"),
+        F.sha2(text("siblings").cast("binary"), 256).alias("proof_sha256"),
+        text("folded").alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxic_mil.fit(docs, labels.where(~toxic_mil.held_out(F.col("doc_id"))))
+    scored = toxic_mil.score(docs, model)
+    return scored.select(
+        "doc_id",
+        toxic_mil.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        F.size("offending").alias("n_offending"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": lm_scoring,
     "op2_url_filters": url_filters,
@@ -93,8 +134,63 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": ngram_join,
     "op9_substring_dedup": substring_dedup,
     "op10_personal_data": personal_data,
+    "op11_fill_in_middle": fill_in_middle,
+    "op12_merkle_manifest": merkle_manifest,
+    "op13_toxicity": toxicity,
 }
 
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    move = "CASE WHEN b >= 0 THEN xor(c, b) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    return f"xor(list_reduce({steps}, lambda c, b: {move}, 4294967295::BIGINT), 4294967295)"
+
+
+def merkle_sql(depth: int = 5, upper: int = 3) -> str:
+    """The manifest for sources of at most 16 ** depth rows and at most 16 ** upper sources."""
+    fields = ["doc_id", "source", "lang", "n_chars"]
+
+    def leaf(text: str) -> str:
+        parts = [f"{c}::VARCHAR" for c in fields] + [text]
+        return "sha256(" + " || ".join(f"coalesce(strlen({p}) || ':' || {p}, '-')" for p in parts) + ")"
+
+    def level(k: int, of: str) -> str:
+        return f"""
+s{k} AS (
+  SELECT a.tree, a.idx, any_value(a.n) > 1 AS many, coalesce(string_agg(b.d, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+    coalesce(string_agg(b.d, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM {of} a JOIN {of} b ON a.tree = b.tree AND a.idx // 16 = b.idx // 16 GROUP BY a.tree, a.idx),
+t{k + 1} AS (
+  SELECT tree, idx // 16 AS idx, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(d, '' ORDER BY idx)) ELSE any_value(d) END AS d,
+    CASE WHEN any_value(n) > 1 THEN (any_value(n) + 15) // 16 ELSE 1 END AS n FROM {of} GROUP BY tree, idx // 16)"""
+
+    def step(k: int, tree: str, idx: str) -> str:
+        return f"""
+f{k + 1} AS (
+  SELECT f.* EXCLUDE (f, proof), f.proof || s.l || s.r AS proof, CASE WHEN many THEN sha256(s.l || f.f || s.r) ELSE f.f END AS f
+  FROM f{k} f JOIN s{k} s ON s.tree = {tree} AND s.idx = {idx})"""
+
+    rows = f"""
+WITH ranked AS (
+  SELECT doc_id, source, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n, {leaf("text")} AS d,
+    CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 5 = 0 THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS bad
+  FROM documents),
+t0 AS (SELECT tree, idx, n, d FROM ranked)"""
+    ctes = [rows, *[level(k, f"t{k}") for k in range(depth)]]
+    ctes.append(f"""
+u{depth} AS (SELECT 0 AS tree, tree AS idx, count(*) OVER () AS n, d FROM t{depth})""")
+    ctes += [level(k, f"u{depth}" if k == depth else f"t{k}") for k in range(depth, depth + upper)]
+    ctes.append("""
+f0 AS (SELECT doc_id, tree, idx, d AS leaf, coalesce(bad, d) AS f, '' AS proof FROM ranked)""")
+    ctes += [step(k, "f.tree", f"f.idx // {16**k}") for k in range(depth)]
+    ctes += [step(depth + k, "0", f"f.tree // {16**k}") for k in range(upper)]
+    return ",".join(ctes) + f"""
+SELECT doc_id, leaf, u.d AS subroot, t.d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = t.d AS verified
+FROM f{depth + upper} f JOIN u{depth} u ON u.idx = f.tree JOIN t{depth + upper} t ON true"""
+
+
 #: DuckDB twins.
 ORACLE: dict[str, str] = {
     "op5_embedding_dedup": """
@@ -140,4 +236,28 @@ summed AS (
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_matched, 0) AS n_matched, round(coalesce(s, 0), 4) AS log_score,
   round(coalesce(s / n_words, 0), 6) AS mean_log_score
 FROM documents d LEFT JOIN summed USING (doc_id)""",
+    "op11_fill_in_middle": r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tok
+  FROM documents),
+drawn AS (
+  SELECT *, len(tok) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+    ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+  FROM cut),
+placed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+segments AS (
+  SELECT *, array_to_string(tok[1:a], '') AS p, array_to_string(tok[a + 1:b], '') AS m, array_to_string(tok[b + 1:], '') AS s
+  FROM placed)
+SELECT doc_id, n::BIGINT AS n, form,
+  CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM segments""",
+    "op12_merkle_manifest": merkle_sql(),
 }
