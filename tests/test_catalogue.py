@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from scale_factors import SF001
 from oracle_check import compare, duck
 from ratelens.plans.catalogue import ORACLE, QUERIES
 

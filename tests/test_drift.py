@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from scale_factors import SF01
 from ratelens.operators.alerts import Rule, alerts
 from ratelens.plans import monitor as M
 from ratelens.sources.snapshots import SnapshotStore

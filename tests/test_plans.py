@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from scale_factors import SF01
 from ratelens.operators.ranking import exact_quantiles, ntile_summary
 from ratelens.sources.tables import load_table
 

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from scale_factors import SF001
 from ratelens.plans import reports as R
 from ratelens.sources.policy import policy_frame
 
