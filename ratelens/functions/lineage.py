@@ -12,7 +12,28 @@ recomputation.  Without a configured directory it falls back to ``persist``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``); ValueError if none is set."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not d:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{d.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, for results that several plans read.
+
+    Unlike a checkpoint the table keeps column pruning, filters and sizes, so
+    later joins are planned from its real size; a lost executor costs a re-read.
+    """
+    path = shared_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def checkpoint_dir(df: DataFrame) -> str | None:

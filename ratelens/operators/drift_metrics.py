@@ -62,14 +62,18 @@ def _xlogx_term(p: Column, m: Column) -> Column:
     return F.when(p > 0, p * F.log2(p / m)).otherwise(F.lit(0.0))
 
 
+def jsd_term(pb: Column, pc: Column) -> Column:
+    """One bin's part of the base-2 Jensen-Shannon divergence."""
+    m = (pb + pc) / 2
+    return 0.5 * _xlogx_term(pb, m) + 0.5 * _xlogx_term(pc, m)
+
+
 def jsd_from_shares(binned: DataFrame, keys: Sequence[str], nb: str = "p_b", nc: str = "p_c") -> DataFrame:
     """Jensen-Shannon divergence per key from per-bin shares ``p_b``, ``p_c``."""
-    m = (F.col(nb) + F.col(nc)) / 2
-    term = 0.5 * _xlogx_term(F.col(nb), m) + 0.5 * _xlogx_term(F.col(nc), m)
-    return binned.groupBy(*keys).agg(F.sum(term).alias("js_divergence"))
+    return binned.groupBy(*keys).agg(F.sum(jsd_term(F.col(nb), F.col(nc))).alias("js_divergence"))
 
 
-def _status(total_b: Column, total_c: Column) -> Column:
+def drift_status(total_b: Column, total_c: Column) -> Column:
     return F.when(total_b == 0, "NO_BASELINE").when(total_c == 0, "NO_CURRENT").otherwise("OK")
 
 
@@ -164,7 +168,7 @@ def numeric_drift(
         F.when(ok, F.col("wasserstein_distance")).alias("wasserstein_distance"),
         F.when(ok & (F.col("_sd_b") > 0), F.col("wasserstein_distance") / F.col("_sd_b")).alias("wasserstein_norm"),
         F.when(ok, F.col("js_divergence")).alias("js_divergence"),
-        _status(F.col("_Tb"), F.col("_Tc")).alias("status"),
+        drift_status(F.col("_Tb"), F.col("_Tc")).alias("status"),
     )
 
 
@@ -199,5 +203,5 @@ def categorical_drift(paired: DataFrame, keys: Sequence[str], value: str = "valu
         nul.alias("wasserstein_distance"),
         nul.alias("wasserstein_norm"),
         F.when(ok, F.col("js_divergence")).alias("js_divergence"),
-        _status(F.col("_Tb"), F.col("_Tc")).alias("status"),
+        drift_status(F.col("_Tb"), F.col("_Tc")).alias("status"),
     )

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ratelens.functions.columns import as_number
 from ratelens.operators.ranking import ordered_prefix, quantiles_from_prefix
 
 ALL_SLICE = "all"
@@ -73,7 +74,8 @@ def long_value_counts(
 ) -> DataFrame:
     """``(group..., slice_id, col_id, num, cat, n)``: rows per distinct value.
 
-    Numeric columns carry their value in ``num`` (NaN counted as null),
+    Numeric columns carry their value in ``num`` (NaN counted as null, dates and
+    timestamps as days since 1970),
     categorical ones in ``cat`` (as string).  Slice ids come from the layout's
     predicates over ``df``, or from an array column ``slices_col`` built
     earlier with :func:`slice_column`.  Numeric and categorical columns are
@@ -85,13 +87,18 @@ def long_value_counts(
     if not layout.columns:
         raise ValueError("no column to monitor")
     labels = F.col(slices_col) if slices_col else slice_column(layout.slices[1:])
-    base = df.select(*[c.alias(n) for n, c in group_cols.items()], F.explode(labels).alias("slice_id"), *layout.columns)
+    base = df.select(
+        *[c.alias(n) for n, c in group_cols.items()],
+        F.explode(labels).alias("slice_id"),
+        *[as_number(df, c).alias(c) for c in layout.numeric],
+        *layout.categorical,
+    )
     keys = [*group_cols, "slice_id", "col_id"]
     count = F.count(F.lit(1)).alias("n")
     if single_scan and layout.numeric and layout.categorical:
         none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
         items = [
-            F.struct(F.lit(i).alias("col_id"), F.nanvl(F.col(c).cast("double"), none_d).alias("num"), none_s.alias("cat"))
+            F.struct(F.lit(i).alias("col_id"), F.col(c).alias("num"), none_s.alias("cat"))
             for i, c in enumerate(layout.numeric)
         ] + [
             F.struct(F.lit(len(layout.numeric) + i).alias("col_id"), none_d.alias("num"), F.col(c).cast("string").alias("cat"))
@@ -102,7 +109,7 @@ def long_value_counts(
     parts = []
     if layout.numeric:
         items = [
-            F.struct(F.lit(i).alias("col_id"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("num"))
+            F.struct(F.lit(i).alias("col_id"), F.col(c).alias("num"))
             for i, c in enumerate(layout.numeric)
         ]
         parts.append(

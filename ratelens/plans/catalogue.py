@@ -625,3 +625,55 @@ FROM d LEFT JOIN f USING (window_start, column_name) WHERE d.slice = 'all' GROUP
 )
 def _d19(spark, sf_dir):
     return M.critical_vs_all(_li(spark, sf_dir), "l_shipdate", ["l_extendedprice", "l_discount"], mean_scale=4)
+
+
+# ---------------------------------------------------------------- wide and incremental monitors
+
+from ratelens.functions.lineage import shared_path  # noqa: E402
+from ratelens.plans import wide_monitor as W  # noqa: E402
+
+SKETCH_ROUND = ("null_rate_delta", "mean_drift", "ks_stat", *DRIFT_ROUND, "ks_error", "wasserstein_error")
+#: 104 columns: each number of a line item at thirteen price levels.
+WIDE_BASE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+WIDE = {f"{c[2:]}_{i:02d}": f"CAST({c} AS DOUBLE) * CAST({1 + i / 8!r} AS DOUBLE)" for c in WIDE_BASE for i in range(13)}
+WIDE_TABLE = (
+    "(SELECT l_shipdate, l_returnflag, "
+    + ", ".join(f"{e} AS {n}" for n, e in WIDE.items())
+    + " FROM lineitem) w"
+)
+FIRST_MONTH = "1995-01-01"
+
+
+def _in_month(df: DataFrame, ts: str, first: str) -> DataFrame:
+    """One month's rows by a range of the timestamp, which reaches the Parquet scan."""
+    start = F.lit(first).cast("timestamp_ntz")
+    return df.where((F.col(ts) >= start) & (F.col(ts) < F.add_months(start, 1).cast("timestamp_ntz")))
+
+
+@register(
+    "d07_wide_drift_sketched",
+    DS.sketch_drift_sql(WIDE_TABLE, "l_shipdate", list(WIDE), ["l_returnflag"], [], FIRST_MONTH, 17),
+)
+def _d07_wide(spark, sf_dir):
+    """Month-over-month drift of 104 columns by sketches over the first month's grid."""
+    wide = _li(spark, sf_dir).select("l_shipdate", "l_returnflag", *[F.expr(e).alias(n) for n, e in WIDE.items()])
+    columns = [*WIDE, "l_returnflag"]
+    grid = W.make_grid(_in_month(wide, "l_shipdate", FIRST_MONTH), columns, points=17)
+    return _round(W.drift_sketched(wide, "l_shipdate", grid), *SKETCH_ROUND)
+
+
+@register(
+    "d04_incremental_sketch_store",
+    "SELECT * FROM ("
+    + DS.sketch_drift_sql("lineitem", "l_shipdate", LI_NUM, LI_CAT, LI_SLICES, FIRST_MONTH, 32)
+    + ") WHERE window_start IN (DATE '1997-03-01', DATE '1997-04-01', DATE '1997-05-01')",
+)
+def _d04(spark, sf_dir):
+    """Months sketched one at a time into a store, each compared with its stored predecessor."""
+    li = _li(spark, sf_dir)
+    grid = W.make_grid(_in_month(li, "l_shipdate", FIRST_MONTH), LI_NUM + LI_CAT, points=32)
+    store = W.SketchStore.create(spark, shared_path(spark, "sketches"), grid, LI_SLICES)
+    for m in (2, 3, 4, 5):
+        store.append(_in_month(li, "l_shipdate", f"1997-{m:02d}-01"), 1997, m)
+    out = functools.reduce(DataFrame.unionByName, [store.drift(1997, m) for m in (3, 4, 5)])
+    return _round(out, *SKETCH_ROUND)

@@ -163,3 +163,87 @@ cats AS (
   FROM long WHERE kind = 'c' GROUP BY ALL)
 SELECT *, null_count / row_count AS null_rate FROM (SELECT * FROM nums UNION ALL SELECT * FROM cats)
 """
+
+
+def sketch_drift_sql(
+    table: str,
+    ts: str,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    slices: Sequence[str],
+    baseline: str,
+    points: int,
+    digits: int = 6,
+) -> str:
+    """The sketched monitor, its grid learned from the month ``baseline``: cells, then the metrics and both error bounds."""
+    R = lambda e: f"round({e}, {digits})"
+    K = "window_start, slice, column_name"
+    probs = "[" + ", ".join(repr(i / (points - 1)) for i in range(points)) + "]"
+    return f"""
+WITH long AS ({_long(table, ts, numeric, categorical, slices)}),
+grid AS (
+  SELECT column_name, list_distinct(quantile_disc(num, {probs})) AS e FROM long
+  WHERE kind = 'n' AND slice = 'all' AND num IS NOT NULL AND ws = DATE '{baseline}' GROUP BY column_name),
+celled AS (
+  SELECT l.*, CASE WHEN kind = 'n' THEN 2 * len(list_filter(e, lambda v: v < num)) + CASE WHEN list_contains(e, num) THEN 1 ELSE 0 END END AS cell
+  FROM long l LEFT JOIN grid USING (column_name)),
+cells AS (
+  SELECT ws, slice, column_name, kind, CASE WHEN num IS NOT NULL THEN cell END AS cell, cat, count(*) AS n, min(num) AS lo, max(num) AS hi
+  FROM celled GROUP BY ALL),
+last AS (SELECT max(ws) AS ws FROM long),
+sides AS (
+  SELECT ws AS window_start, slice, column_name, kind, cell, cat, 'c' AS side, n, lo, hi FROM cells
+  UNION ALL
+  SELECT CAST(ws + INTERVAL 1 MONTH AS DATE), slice, column_name, kind, cell, cat, 'b', n, lo, hi FROM cells
+  WHERE ws + INTERVAL 1 MONTH <= (SELECT ws FROM last)),
+paired AS (
+  SELECT {K}, kind, cell, cat, coalesce(sum(n) FILTER (side = 'b'), 0) AS n_b, coalesce(sum(n) FILTER (side = 'c'), 0) AS n_c,
+    min(lo) AS lo, max(hi) AS hi, min(lo) FILTER (side = 'b') AS lo_b, max(hi) FILTER (side = 'b') AS hi_b
+  FROM sides GROUP BY ALL),
+whole AS (
+  SELECT ws, slice, column_name, avg(num) AS mean, stddev_samp(num) AS sd FROM long GROUP BY ALL),
+stats AS (
+  SELECT {K}, any_value(kind) AS kind, sum(n_b) AS Tb, sum(n_c) AS Tc,
+    coalesce(sum(n_b) FILTER (cell IS NOT NULL OR cat IS NOT NULL), 0) AS Nb,
+    coalesce(sum(n_c) FILTER (cell IS NOT NULL OR cat IS NOT NULL), 0) AS Nc, min(lo_b) AS lo_b, max(hi_b) AS hi_b
+  FROM paired GROUP BY ALL),
+course AS (
+  SELECT {K}, p.lo, p.hi, s.lo_b AS min_b, s.hi_b AS max_b, n_b / nullif(Nb, 0) AS pb, n_c / nullif(Nc, 0) AS pc,
+    sum(n_b) OVER w / nullif(Nb, 0) - sum(n_c) OVER w / nullif(Nc, 0) AS d1,
+    (sum(n_b) OVER w - n_b) / nullif(Nb, 0) - (sum(n_c) OVER w - n_c) / nullif(Nc, 0) AS d0,
+    (sum(n_b) OVER w - n_b) / nullif(Nb, 0) AS before_b, lead(p.lo) OVER w AS next_lo
+  FROM paired p JOIN stats s USING ({K}) WHERE p.kind = 'n' AND cell IS NOT NULL
+  WINDOW w AS (PARTITION BY {K} ORDER BY cell)),
+dist AS (
+  SELECT {K}, max(abs(d1)) AS ks,
+    max(CASE WHEN hi > lo THEN greatest(abs(d1), abs(d0 + pb), abs(d0 - pc)) ELSE abs(d1) END) AS ks_high,
+    sum((hi - lo) * CASE WHEN d0 * d1 >= 0 THEN (abs(d0) + abs(d1)) / 2 ELSE (d0 * d0 + d1 * d1) / (2 * (abs(d0) + abs(d1))) END
+      + coalesce(abs(d1) * (next_lo - hi), 0)) AS w,
+    sum((hi - lo) * ((pb + pc) / 2 + abs(pb - pc) / 4)) AS w_error
+  FROM course GROUP BY ALL),
+shares AS (
+  SELECT {K}, CASE WHEN hi < min_b THEN -1 WHEN lo > max_b THEN 10 ELSE least(floor(before_b * 10), 9) END AS tenth, sum(pb) AS pb, sum(pc) AS pc
+  FROM course GROUP BY ALL
+  UNION ALL
+  SELECT {K}, row_number() OVER (), n_b / nullif(Tb, 0), n_c / nullif(Tc, 0) FROM paired p JOIN stats s USING ({K}) WHERE p.kind = 'c'),
+js AS (
+  SELECT {K}, sum(0.5 * CASE WHEN pb > 0 THEN pb * log2(pb / ((pb + pc) / 2)) ELSE 0 END
+                + 0.5 * CASE WHEN pc > 0 THEN pc * log2(pc / ((pb + pc) / 2)) ELSE 0 END) AS js
+  FROM shares GROUP BY ALL),
+out AS (
+  SELECT s.*, d.* EXCLUDE ({K}), j.js, b.mean AS mean_b, b.sd AS sd_b, c.mean AS mean_c, Nb > 0 AND Nc > 0 AND s.kind = 'n' AS ok
+  FROM stats s LEFT JOIN dist d USING ({K}) LEFT JOIN js j USING ({K})
+  LEFT JOIN whole b ON b.ws = s.window_start - INTERVAL 1 MONTH AND b.slice = s.slice AND b.column_name = s.column_name
+  LEFT JOIN whole c ON c.ws = s.window_start AND c.slice = s.slice AND c.column_name = s.column_name)
+SELECT window_start, CAST(window_start - INTERVAL 1 MONTH AS DATE) AS baseline_start, slice, column_name, Nb::BIGINT AS n_baseline, Nc::BIGINT AS n_current,
+  {R('(Tc - Nc) / nullif(Tc, 0) - (Tb - Nb) / nullif(Tb, 0)')} AS null_rate_delta,
+  {R('CASE WHEN Tb > 0 THEN abs(mean_c - mean_b) END')} AS mean_drift, {R('CASE WHEN ok THEN ks END')} AS ks_stat,
+  {R('''CASE WHEN ok THEN CASE WHEN ks * sqrt(Nb * Nc / (Nb + Nc)) < 0.2 THEN 1.0
+    ELSE least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101),
+      lambda j: pow(-1.0, j - 1) * exp(-2.0 * j * j * pow(ks * sqrt(Nb * Nc / (Nb + Nc)), 2)))))) END END''')} AS ks_p_value,
+  {R('CASE WHEN ok THEN w END')} AS wasserstein_distance, {R('CASE WHEN ok AND sd_b > 0 THEN w / sd_b END')} AS wasserstein_norm,
+  {R("CASE WHEN ok OR (kind = 'c' AND Tb > 0 AND Tc > 0) THEN js END")} AS js_divergence,
+  CASE WHEN Tb = 0 THEN 'NO_BASELINE' WHEN Tc = 0 THEN 'NO_CURRENT' ELSE 'OK' END AS status,
+  {R('CASE WHEN ok THEN ks_high - ks END')} AS ks_error, {R('CASE WHEN ok THEN w_error END')} AS wasserstein_error
+FROM out
+"""

@@ -20,7 +20,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.functions.columns import categorical_columns, numeric_columns
+from ratelens.functions.columns import categorical_columns, numeric_columns, temporal_columns
 from ratelens.functions.lineage import materialize
 from ratelens.operators.alerts import DEFAULT_RULES, Rule, alerts
 from ratelens.operators.drift_metrics import DRIFT_COLUMNS, categorical_drift, numeric_drift
@@ -54,23 +54,26 @@ def shift_window(d: Column, unit: str, k: int = 1) -> Column:
 
 
 def split_columns(df: DataFrame, columns: Sequence[str] | None, exclude: Sequence[str] = ()) -> tuple[list[str], list[str]]:
-    """Numeric and categorical monitored columns.
+    """Numeric and categorical monitored columns; dates and timestamps count as numbers (days since 1970).
 
-    When ``columns`` is None: all numeric, string and boolean ones but the load
-    columns ``year``, ``month`` and ``load_date``.  Asked columns are monitored
-    whatever their name; one of another type raises a ValueError (cast a date
-    or timestamp to a number first).
+    When ``columns`` is None: all numeric, date, timestamp, string and boolean
+    ones but the load columns ``year``, ``month`` and ``load_date``.  Asked
+    columns are monitored whatever their name; one of another type (binary,
+    nested) raises a ValueError.
     """
+    def of(skip: set) -> tuple[list[str], list[str]]:
+        kinds = {*numeric_columns(df, skip), *temporal_columns(df, skip)}
+        return [c for c in df.columns if c in kinds], categorical_columns(df, skip)
+
     if columns is None:
-        skip = set(exclude) | _RESERVED
-        return numeric_columns(df, skip), categorical_columns(df, skip)
+        return of(set(exclude) | _RESERVED)
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"monitored column(s) {missing} not in table")
-    num, cat = numeric_columns(df), categorical_columns(df)
+    num, cat = of(set())
     other = [c for c in columns if c not in num and c not in cat]
     if other:
-        raise ValueError(f"monitored column(s) {other} are neither numeric nor string nor boolean")
+        raise ValueError(f"monitored column(s) {other} are neither numbers, dates, strings nor booleans")
     return [c for c in columns if c in num], [c for c in columns if c in cat]
 
 
