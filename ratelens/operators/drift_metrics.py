@@ -32,9 +32,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.functions.lineage import materialize
+from ratelens.functions.lineage import stored
 from ratelens.operators.profile import weighted_mean
-from ratelens.operators.ranking import ordered_prefix, plan_buckets, quantiles_from_prefix
+from ratelens.operators.ranking import ordered_prefix, quantiles_from_prefix
 
 # Fixed values of the metric definitions.
 KS_TERMS = 100
@@ -86,7 +86,8 @@ def numeric_drift(
     (running and total counts per side); one aggregate over it for KS,
     Wasserstein, baseline spread and range; the baseline deciles from the
     same prefix; one join of the bin edges for the JSD.
-    ``mean_scale``: exact decimal means (see ``profile.weighted_mean``).
+    ``mean_scale``: exact decimal means (see ``profile.weighted_mean``);
+    ``buckets``: range partitions of the prefix pass.
     """
     keys = list(keys)
     v, nb, nc = F.col(value), F.col("n_b"), F.col("n_c")
@@ -97,11 +98,10 @@ def numeric_drift(
         weighted_mean(v, nb, mean_scale).alias("_mean_b"),
         weighted_mean(v, nc, mean_scale).alias("_mean_c"),
     )
-    # read three times below (distances, deciles, bins): materialize once
-    values = paired.where(nn)
-    nbk = buckets if buckets is not None else plan_buckets(values, keys)
+    # read three times below (distances, deciles, bins): stored once;
     # baseline value total rides along as a third measure (mean for the spread)
-    pre = materialize(ordered_prefix(values.withColumn("_vb", v * nb), keys, value, ["n_b", "n_c", "_vb"], nbk))
+    values = paired.where(nn).withColumn("_vb", v * nb)
+    pre = stored(ordered_prefix(values, keys, value, ["n_b", "n_c", "_vb"], buckets))
     Nb, Nc = F.col("tot_n_b"), F.col("tot_n_c")
     gap = F.abs(F.try_divide(F.col("cum_n_b"), Nb) - F.try_divide(F.col("cum_n_c"), Nc))
     # baseline mean for the spread: double sums over the values (per group)
@@ -120,11 +120,7 @@ def numeric_drift(
         )
     )
     # JSD bins from the baseline's exact deciles
-    if nbk <= 1:  # groups within the checked bound: exact percentile over (value, count) pairs
-        probs = F.array(*[F.lit(p) for p in JSD_DECILES])
-        deciles = values.groupBy(*keys).agg(F.percentile(v, probs, nb).alias("_dec")).where(F.col("_dec").isNotNull())
-    else:
-        deciles = quantiles_from_prefix(pre, keys, value, "n_b", "cum_n_b", JSD_DECILES, name="_dec")
+    deciles = quantiles_from_prefix(pre, keys, value, "n_b", "cum_n_b", JSD_DECILES, name="_dec")
     # edges min_B <= d_1 <= ... <= d_9 as columns; equal neighbours count once
     edge_cols = [F.col("_min_b")] + [F.col("_dec")[i] for i in range(len(JSD_DECILES))]
     edges = deciles.join(dist.select(*keys, "_min_b", "_max_b"), keys).select(

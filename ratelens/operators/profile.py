@@ -12,11 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratelens.functions.columns import as_number
+from ratelens.functions.lineage import stored
 from ratelens.operators.ranking import ordered_prefix, quantiles_from_prefix
 
 ALL_SLICE = "all"
@@ -187,12 +188,12 @@ def profile_from_counts(
         weighted_mean(F.col("value"), F.col("n"), mean_scale).alias("mean"),
     )
     vals = num.where(F.col("value").isNotNull())
-    pre = ordered_prefix(vals, keys, "value", ["n"], buckets)
-    # spread around the (double) mean from the same pass as the quantiles
-    spread = (
-        pre.withColumn("_m", F.try_divide(F.sum(F.col("value") * F.col("n")).over(Window.partitionBy(*keys)), F.col("tot_n")))
-        .groupBy(*keys)
-        .agg(F.sqrt(F.try_divide(F.sum(F.col("n") * (F.col("value") - F.col("_m")) ** 2), F.first("tot_n") - 1)).alias("stddev"))
+    # the value total rides along, so the spread is one aggregate around the mean
+    vals = vals.withColumn("_vn", F.col("value") * F.col("n"))
+    pre = stored(ordered_prefix(vals, keys, "value", ["n", "_vn"], buckets))
+    off = F.col("value") - F.try_divide(F.col("tot__vn"), F.col("tot_n"))
+    spread = pre.groupBy(*keys).agg(
+        F.sqrt(F.try_divide(F.sum(F.col("n") * off * off), F.first("tot_n") - 1)).alias("stddev")
     )
     qs = quantiles_from_prefix(pre, keys, "value", "n", "cum_n", PROFILE_PROBS, name="_q")
     nprof = (

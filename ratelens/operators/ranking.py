@@ -1,32 +1,27 @@
 """Distributed ordering operators: prefix sums, global rank tiles, exact quantiles.
 
 ``Window.orderBy(x)`` without a partition puts every row into one task
-(``Exchange SinglePartition``).  These operators avoid that:
-
-1. Pre-aggregate to one row per ``(keys, value)`` with its count.  Ties, and a
-   hot value holding a third of the rows, collapse to one row here, and
-   Spark's partial aggregation does most of it before the shuffle.
-2. Learn ``buckets - 1`` approximate split points per key group over the
-   *distinct* values (``percentile_approx``), so each range bucket holds about
-   the same number of distinct values.
-3. Per-bucket totals form a frame of at most ``groups x buckets`` rows.  A
-   running sum over it gives every bucket its starting offset.
-4. Inside each ``(keys, bucket)`` partition a running window sum plus the
-   offset gives the exact cumulative count of every value.
-
-Every window therefore sorts at most one bucket of distinct values, and the
-result is exact whatever the splits are.
-
-Steps 2-4 cost several shuffles, so they run only when needed: one small
-aggregate measures the largest group (distinct values per key group).  If it
-holds at most ``max_group_rows`` values, a plain window per group is used
-(each task sorts at most that many rows); beyond it, the bucketed plan with
-enough buckets to keep every window task under the same bound.
+(``Exchange SinglePartition``).  Two plans avoid that, whatever the size:
+
+* **Order statistics without ordering** (``order_statistics``), for quantiles
+  and tiles of one column.  A first aggregate gives approximate quantiles a
+  little below and above every wanted rank; a second counts the rows below and
+  between them, which proves or moves the bracket.  A bracket that still holds
+  many rows is split again by approximate quantiles of its own rows, and so on;
+  what is left of one is at most ``LEAF_ROWS`` values.  Every pass is one
+  map-side combined aggregate over one stored column; no row is shuffled, and
+  ranks come out exact.
+* **Prefix sums** (``ordered_prefix``), for cumulative distributions.  Rows are
+  first counted per ``(keys, value)``, so ties and hot values are one row.
+  Spark's range partitioning on ``(keys, value)`` (sampled borders, binary
+  search) deals these rows evenly; per-partition totals give every partition
+  its offset, and a running sum inside ``(keys, partition)`` the rest.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import operator
 from collections.abc import Sequence
 
@@ -34,114 +29,156 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratelens.functions.lineage import materialize
+from ratelens.functions.lineage import materialize, stored
 
-SPLIT_ACCURACY = 10000
-MAX_GROUP_ROWS = 2_000_000
+#: Rank accuracy of the approximate quantiles that bracket a rank (a fraction of 1 / ACCURACY).
+ACCURACY = 10_000
+#: A bracket of at most so many rows is resolved by its values themselves.
+LEAF_ROWS = 10_000
 
 
-def plan_buckets(vc: DataFrame, keys: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS) -> int:
-    """Range buckets per group so that no window task sorts more than
-    ``max_group_rows`` distinct values (1 = a plain window per group).
-
-    Runs one aggregate; the driver receives a single number.
-    """
-    if keys:
-        largest = vc.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    else:
-        largest = vc.count()
-    largest = largest or 0
-    if largest <= max_group_rows:
-        return 1
-    # approximate splits: leave headroom so buckets stay under the bound
-    return 2 * -(-largest // max_group_rows)
+def _valued(df: DataFrame, value: str) -> Column:
+    """Rows with a value: not null, not NaN."""
+    known = F.col(value).isNotNull()
+    if isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType)):
+        known = known & ~F.isnan(value)
+    return known
 
 
-def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach per-group values from a small aggregate frame.
+def order_statistics(col: DataFrame, value: str, total: int, ranks: Sequence[int], leaf_rows: int = LEAF_ROWS) -> dict[int, object]:
+    """rank -> value, for 0-based ``ranks`` of the ``total`` non-null rows of a stored column.
 
-    With group keys this is an equi-join; the small side is an aggregate, so
-    AQE sees its real size and broadcasts it only when it is under the
-    broadcast threshold (sort-merge otherwise).  Without keys the small frame
-    has exactly one row, which is attached as scalar subqueries.
+    The driver holds one bracket a rank, and in the end the values of at most
+    ``leaf_rows`` rows of each.
     """
-    if keys:
-        return df.join(small, list(keys))
-    cols = [c for c in small.columns]
-    return df.select("*", *[small.select(c).scalar().alias(c) for c in cols])
+    x, typ = F.col(value), col.schema[value].dataType
+
+    def lit(v: object) -> Column:
+        return F.lit(v).cast(typ)
+
+    ranks = sorted(set(ranks))
+    if not ranks:
+        return {}
+    found: dict[int, object] = {}
+    # rank -> (low, high, rows, below): its value lies strictly between low and high (None: no bound), as do ``rows`` rows
+    open_: dict[int, tuple] = {r: (None, None, total, 0) for r in ranks}
+
+    def inside(low: object, high: object) -> Column:
+        conds = ([x > lit(low)] if low is not None else []) + ([x < lit(high)] if high is not None else [])
+        return functools.reduce(operator.and_, conds, F.lit(True))
+
+    while open_:
+        large = {r: b for r, b in open_.items() if b[2] > leaf_rows}
+        if not large:
+            break
+        # approximate quantiles around each rank, over its bracket's rows
+        groups = sorted({b[:4] for b in large.values()}, key=str)
+        asks, wanted = [], {}
+        for k, (low, high, rows, below) in enumerate(groups):
+            mine = [r for r, b in large.items() if b[:4] == (low, high, rows, below)]
+            probs = sorted({min(1.0, max(0.0, (r - below) / rows + d)) for r in mine for d in (-2 / ACCURACY, 2 / ACCURACY)})
+            asks.append(F.percentile_approx(F.when(inside(low, high), x), probs, ACCURACY).alias(f"q{k}"))
+            for r in mine:
+                wanted[r] = (k, [probs.index(min(1.0, max(0.0, (r - below) / rows + d))) for d in (-2 / ACCURACY, 2 / ACCURACY)])
+        quant = col.agg(*asks).first()
+        cuts = sorted({quant[k][i] for k, at in wanted.values() for i in at})
+        # one pass counts all rows by the cuts: below, at and above each
+        count = col.agg(
+            *[F.sum(F.when(x < lit(c), 1).otherwise(0)).alias(f"l{i}") for i, c in enumerate(cuts)],
+            *[F.sum(F.when(x <= lit(c), 1).otherwise(0)).alias(f"u{i}") for i, c in enumerate(cuts)],
+        ).first()
+        under = {c: count[f"l{i}"] for i, c in enumerate(cuts)}
+        upto = {c: count[f"u{i}"] for i, c in enumerate(cuts)}
+        for r, (low, high, rows, below) in large.items():
+            hit = next((c for c in cuts if under[c] <= r < upto[c]), None)
+            if hit is not None:
+                found[r] = hit
+                del open_[r]
+                continue
+            # the nearest cuts around the rank; every cut is a value of the bracket, which so shrinks by at least that
+            lows = [c for c in cuts if upto[c] <= r]
+            highs = [c for c in cuts if under[c] > r]
+            lo, hi = (lows[-1] if lows else low), (highs[0] if highs else high)
+            base = upto[lo] if lo in upto else below
+            end = under[hi] if hi in under else below + rows
+            if (lo, hi) == (low, high):  # no cut came nearer
+                raise RuntimeError(f"rank {r} of {value} not found; the column changed between passes")
+            open_[r] = (lo, hi, end - base, base)
+    if open_:
+        near = functools.reduce(operator.or_, [inside(low, high) for low, high, _, _ in set(open_.values())])
+        counts = sorted((row[0], row[1]) for row in col.where(near).groupBy(value).count().collect())
+        for r, (low, high, _, below) in open_.items():
+            at = below
+            for v, n in counts:
+                if (low is None or v > low) and (high is None or v < high):
+                    at += n
+                    if r < at:
+                        found[r] = v
+                        break
+    return found
+
+
+def _column(df: DataFrame, value: str, *more: Column) -> DataFrame:
+    """The column's values, stored: every pass reads this table only."""
+    return stored(df.where(_valued(df, value)).select(value, *more))
+
+
+def _quantiles(col: DataFrame, value: str, total: int, probs: Sequence[float]) -> list[float | None]:
+    """Interpolated quantiles, defined as Spark's ``percentile``: position ``p * (N - 1)``."""
+    if not total:
+        return [None for _ in probs]
+    at = [p * (total - 1) for p in probs]
+    v = order_statistics(col, value, total, [r for q in at for r in (math.floor(q), math.ceil(q))])
+    out = []
+    for q in at:
+        lo, hi = float(v[math.floor(q)]), float(v[math.ceil(q)])
+        out.append(lo if lo == hi else (math.ceil(q) - q) * lo + (q - math.floor(q)) * hi)
+    return out
+
+
+def _doubles(values: Sequence[float | None]) -> Column:
+    return F.array(*[F.lit(v).cast("double") for v in values])
 
 
 def ordered_prefix(
-    vc: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    measures: Sequence[str],
-    buckets: int | None = None,
+    vc: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str], partitions: int | None = None
 ) -> DataFrame:
     """Inclusive running sums of ``measures`` in ``value`` order within ``keys``.
 
     ``vc`` must hold one row per ``(keys, value)`` (distinct, non-null values).
     Adds ``cum_<m>`` (running sum) and ``tot_<m>`` (group total) for each
     measure and ``next_value`` (the next larger value in the group, null for
-    the largest).  ``buckets``: None sizes the
-    plan from the data (see module doc); 1 forces the plain window; more
-    forces the bucketed plan.
+    the largest).  ``partitions``: range partitions, by default the session's
+    shuffle partitions.  No window sees more than one of them.
     """
     keys = list(keys)
-    nb = buckets if buckets is not None else plan_buckets(vc, keys)
-    if nb <= 1:
-        w = Window.partitionBy(*keys).orderBy(value)
-        running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        whole = Window.partitionBy(*keys)
-        return vc.select(
-            *vc.columns,
-            *[F.sum(m).over(running).alias(f"cum_{m}") for m in measures],
-            *[F.sum(m).over(whole).alias(f"tot_{m}") for m in measures],
-            F.lead(value).over(w).alias("next_value"),
-        )
-    probs = [i / nb for i in range(1, nb)]
-    splits = vc.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(value, probs, SPLIT_ACCURACY)).alias("_splits")
-    )
-    b = _attach(vc, splits, keys).withColumn(
-        "_b", F.size(F.filter("_splits", lambda s: s <= F.col(value)))
-    ).drop("_splits")
-
-    # per-bucket totals: at most groups x buckets rows
-    tot = b.groupBy(*keys, "_b").agg(
-        *[F.sum(m).alias(f"_t_{m}") for m in measures], F.min(value).alias("_bmin")
-    )
-    wb = Window.partitionBy(*keys).orderBy("_b")
+    parts = partitions or int(vc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # partition ids must not change between the two reads below
+    ranged = stored(vc.repartitionByRange(parts, *keys, value).withColumn("_part", F.spark_partition_id()))
+    tot = ranged.groupBy(*keys, "_part").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures], F.min(value).alias("_least"))
+    across = Window.partitionBy(*keys).orderBy("_part")
+    whole = Window.partitionBy(*keys)
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(
         *keys,
-        "_b",
-        *[
-            F.coalesce(F.sum(f"_t_{m}").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(
-                f"_o_{m}"
-            )
-            for m in measures
-        ],
-        *[F.sum(f"_t_{m}").over(Window.partitionBy(*keys)).alias(f"tot_{m}") for m in measures],
-        F.lead("_bmin").over(wb).alias("_next_bmin"),
+        "_part",
+        *[F.coalesce(F.sum(f"_t_{m}").over(earlier), F.lit(0)).alias(f"_o_{m}") for m in measures],
+        *[F.sum(f"_t_{m}").over(whole).alias(f"tot_{m}") for m in measures],
+        F.lead("_least").over(across).alias("_next_least"),
     )
-    j = b.join(offs, keys + ["_b"])
-    w = Window.partitionBy(*keys, "_b").orderBy(value)
+    w = Window.partitionBy(*keys, "_part").orderBy(value)
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return j.select(
+    return ranged.join(offs, [*keys, "_part"]).select(
         *vc.columns,
         *[(F.col(f"_o_{m}") + F.sum(m).over(running)).alias(f"cum_{m}") for m in measures],
         *[F.col(f"tot_{m}") for m in measures],
-        F.coalesce(F.lead(value).over(w), F.col("_next_bmin")).alias("next_value"),
+        F.coalesce(F.lead(value).over(w), F.col("_next_least")).alias("next_value"),
     )
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, count_name: str = "n") -> DataFrame:
     """One row per non-null ``(keys, value)`` with its row count (NaN dropped too)."""
-    v = F.col(value)
-    cond = v.isNotNull()
-    if isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType)):
-        cond = cond & ~F.isnan(v)
-    return df.where(cond).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(count_name))
+    return df.where(_valued(df, value)).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(count_name))
 
 
 def quantiles_from_prefix(
@@ -208,100 +245,97 @@ def exact_quantiles(
     probs: Sequence[float],
     keys: Sequence[str] = (),
     name: str = "quantiles",
-    buckets: int | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Exact ``percentile(value, probs)`` per key group, without one big buffer.
+    """Exact ``percentile(value, probs)``, without one big buffer.
 
     ``percentile`` keeps one count per distinct value in a single aggregation
-    buffer per group; for a global percentile over a billion amounts that is
-    one task holding every distinct value.  Here the work is spread over range
-    buckets (see module doc) and the driver sees only split points.
+    buffer; for a billion amounts that is one task holding every distinct
+    value.  Here a column's quantiles are order statistics (see module doc);
+    with ``keys`` they come from one prefix sum over all groups.
     """
     keys = list(keys)
-    vc = value_counts(df, keys, value)
-    if buckets is None:
-        vc = materialize(vc)  # measured by plan_buckets, then read again
-        buckets = plan_buckets(vc, keys)
-    if buckets <= 1:
-        # every group holds at most MAX_GROUP_ROWS distinct values: Spark's
-        # exact percentile over (value, count) pairs has a bounded buffer
-        q = F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probs]), F.col("n"))
-        if keys:
-            return vc.groupBy(*keys).agg(q.alias(name))
-        empty = F.array(*[F.lit(None).cast("double") for _ in probs])
-        return vc.agg(F.coalesce(q, empty).alias(name))
-    pre = ordered_prefix(vc, keys, value, ["n"], buckets)
-    return quantiles_from_prefix(pre, keys, value, "n", "cum_n", probs, name)
+    if keys:
+        pre = ordered_prefix(value_counts(df, keys, value), keys, value, ["n"], partitions)
+        return quantiles_from_prefix(pre, keys, value, "n", "cum_n", probs, name)
+    col = _column(df, value)
+    qs = _quantiles(col, value, col.count(), probs)
+    return df.sparkSession.range(1).select(_doubles(qs).alias(name))
+
+
+def tile_ranks(total: int, tiles: int) -> list[int]:
+    """First 0-based rank of each tile that holds rows: the first ``total mod tiles`` tiles hold one row more."""
+    base, more = divmod(total, tiles)
+    starts = [d * base + min(d, more) for d in range(tiles)]
+    return [s for s in starts if s < total][: min(tiles, total)]
 
 
 def ntile_summary(
     df: DataFrame,
     value: str,
     tiles: int = 10,
-    keys: Sequence[str] = (),
     tile_name: str = "tile",
     sum_scale: int | None = None,
-    buckets: int | None = None,
+    counted: str | None = None,
 ) -> DataFrame:
     """Per-tile ``count, min, max, sum`` of ``ntile(tiles) OVER (ORDER BY value)``.
 
-    Exactly the tiles ``ntile`` assigns: with N rows, ``base = N div tiles``
-    and ``rem = N mod tiles``, the first ``rem`` tiles hold ``base + 1`` rows
-    and the rest ``base``.  Rows are grouped by value first; a run of equal
-    values whose ranks straddle a tile boundary is split arithmetically
-    between the tiles (all its rows have the same value, so min/max/sum per
-    tile are what the per-row window would give).
+    The values at the tiles' first ranks are found as order statistics.  One
+    aggregate then sums the rows between and at these values; a run of equal
+    values that straddles a tile's border is split arithmetically between the
+    tiles (all its rows have the same value, so min/max/sum per tile are what
+    the per-row window would give).
 
-    Returns ``keys + [tile_name, n_rows, min_value, max_value, sum_value]``;
+    Returns ``[tile_name, n_rows, min_value, max_value, sum_value]``;
     ``sum_value`` is a double sum, or exact (``decimal`` arithmetic, cast to
     double) for values of at most ``sum_scale`` decimals when that is given.
+    ``counted``: also ``n_counted``, the tile's rows with a non-null value of
+    that column; of equal values, those rows are taken to come first.
     """
-    keys = list(keys)
-    vc = value_counts(df, keys, value)
-    if buckets is None:
-        vc = materialize(vc)  # measured by plan_buckets, then read again
-    x = ordered_prefix(vc, keys, value, ["n"], buckets).withColumn("_N", F.col("tot_n"))
-
-    N = F.col("_N")
-    base = F.floor(N / tiles).cast("long")
-    rem = (N - base * tiles).cast("long")
-    big = base + 1  # size of the first `rem` tiles
-
-    def tile_of(r: Column) -> Column:
-        return F.when(r < rem * big, F.floor(r / big) + 1).otherwise(
-            rem + F.floor((r - rem * big) / F.greatest(base, F.lit(1))) + 1
-        ).cast("int")
-
-    def tile_start(d: Column) -> Column:
-        return F.when(d <= rem, (d - 1) * big).otherwise(rem * big + (d - 1 - rem) * base)
-
-    def tile_size(d: Column) -> Column:
-        return F.when(d <= rem, big).otherwise(base)
-
-    start = F.col("cum_n") - F.col("n")
-    end = F.col("cum_n")
-    t = x.select(
-        *keys,
-        value,
-        start.alias("_s"),
-        end.alias("_e"),
-        F.explode(F.sequence(tile_of(start), tile_of(end - 1))).alias(tile_name),
-        "_N",
+    has = F.lit(1) if counted is None else F.when(F.col(counted).isNotNull(), 1).otherwise(0)
+    col = _column(df, value, has.alias("_has"))
+    total = col.count()
+    starts = tile_ranks(total, tiles)
+    at = order_statistics(col, value, total, starts[1:])
+    borders = sorted(set(at.values()))
+    x, typ = F.col(value), col.schema[value].dataType
+
+    # segment 2k: between borders, 2k + 1: at border k
+    segment = F.lit(0)
+    for b in borders:
+        v = F.lit(b).cast(typ)
+        segment = segment + F.when(x > v, 2).when(x == v, 1).otherwise(0)
+    amount = x if sum_scale is None else x.cast(T.DecimalType(18, sum_scale))
+    segs = col.groupBy(segment.alias("_seg")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_has").alias("_k"), F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.sum(amount).alias("_sum")
     )
-    d = F.col(tile_name)
-    # `rem`, `big`, ... reference _N, still present in t
-    overlap = F.least(F.col("_e"), tile_start(d) + tile_size(d)) - F.greatest(F.col("_s"), tile_start(d))
-    t = t.withColumn("_k", overlap)
-    v = F.col(value)
+    # at most 2 * tiles rows from here on
+    before = Window.orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    segs = segs.withColumn("_s", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    ends = [*starts[1:], total]
+    tile = F.explode(
+        F.array(*[F.struct(F.lit(d + 1).alias("t"), F.lit(s).cast("long").alias("s"), F.lit(e).cast("long").alias("e")) for d, (s, e) in enumerate(zip(starts, ends))])
+        if starts
+        else F.array().cast("array<struct<t:int,s:long,e:long>>")
+    )
+    t = segs.select("*", tile.alias("_tile"))
+    lo, hi = F.greatest("_s", "_tile.s"), F.least(F.col("_s") + F.col("_n"), F.col("_tile.e"))
+    n = hi - lo
+    t = t.withColumn("_rows", n).where("_rows > 0")
+    one_value = F.col("_seg") % 2 == 1
     if sum_scale is None:
-        s = F.sum(v * F.col("_k"))
+        part = F.when(one_value, F.col("_lo") * F.col("_rows")).otherwise(F.col("_sum"))
+        total_sum = F.sum(part)
     else:
-        s = F.sum(v.cast(T.DecimalType(18, sum_scale)) * F.col("_k").cast(T.DecimalType(18, 0))).cast("double")
-    return t.groupBy(*keys, tile_name).agg(
-        F.sum("_k").alias("n_rows"),
-        F.min(value).alias("min_value"),
-        F.max(value).alias("max_value"),
-        s.alias("sum_value"),
+        tied = F.col("_lo").cast(T.DecimalType(18, sum_scale)) * F.col("_rows").cast(T.DecimalType(18, 0))
+        total_sum = F.sum(F.when(one_value, tied).otherwise(F.col("_sum").cast(T.DecimalType(37, sum_scale)))).cast("double")
+    with_value = F.greatest(F.least(F.col("_s") + F.col("_k"), hi) - lo, F.lit(0))
+    return t.groupBy(F.col("_tile.t").alias(tile_name)).agg(
+        F.sum("_rows").alias("n_rows"),
+        F.min("_lo").alias("min_value"),
+        F.max("_hi").alias("max_value"),
+        total_sum.alias("sum_value"),
+        *([F.sum(F.when(one_value, with_value).otherwise(F.col("_k"))).alias("n_counted")] if counted else []),
     )
 
 
@@ -310,27 +344,16 @@ def distribution_stats(
 ) -> DataFrame:
     """One row: ``min, max, mean, stddev`` and exact quantiles of ``value``.
 
-    Everything is derived from one materialized (value, count) frame, so the
-    input is computed once: min/max directly, the mean as an exact sum
-    (``decimal(18, sum_scale)`` for amounts, long for integers), the sample
-    stddev in a second pass around the mean, the quantiles as in
-    :func:`exact_quantiles`.
+    One stored column, one aggregate and the order statistics' passes.  The
+    mean is an exact sum (``decimal(18, sum_scale)`` for amounts) where
+    ``sum_scale`` is given.
     """
-    vc = materialize(value_counts(df, [], value))
-    v, n = F.col(value), F.col("n")
-    if sum_scale is not None:
-        total = F.sum(v.cast(T.DecimalType(18, sum_scale)) * n.cast(T.DecimalType(20, 0))).cast("double")
-    else:
-        total = F.sum(v * n)
-    stats = vc.agg(
-        F.min(v).alias("min"), F.max(v).alias("max"), F.try_divide(total, F.sum(n)).alias("mean"), F.sum(n).alias("_N")
+    col = _column(df, value)
+    v = F.col(value)
+    total = F.sum(v) if sum_scale is None else F.sum(v.cast(T.DecimalType(18, sum_scale))).cast("double")
+    row = col.agg(
+        F.min(v).alias("min"), F.max(v).alias("max"), F.try_divide(total, F.count(v)).alias("mean"), F.stddev_samp(v).alias("stddev"), F.count(v).alias("n")
     )
-    mean = stats.select("mean").scalar()
-    sd = vc.agg(F.sqrt(F.try_divide(F.sum(n * (v - mean) * (v - mean)), F.sum(n) - 1)).alias("stddev"))
-    buckets = plan_buckets(vc, [])
-    if buckets <= 1:
-        qs = vc.agg(F.percentile(v, F.array(*[F.lit(float(p)) for p in probs]), n).alias(name))
-    else:
-        pre = ordered_prefix(vc, [], value, ["n"], buckets)
-        qs = quantiles_from_prefix(pre, [], value, "n", "cum_n", probs, name)
-    return stats.select("min", "max", "mean", sd.select("stddev").scalar().alias("stddev"), qs.select(name).scalar().alias(name))
+    row = materialize(row)
+    qs = _quantiles(col, value, row.first()["n"], probs)
+    return row.select("min", "max", "mean", "stddev", _doubles(qs).alias(name))

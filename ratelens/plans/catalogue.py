@@ -186,8 +186,8 @@ policy_query(
 policy_query(
     "a18_premium_deciles",
     f"""SELECT premium_decile, min(tot_wprm_amt) AS min_premium, max(tot_wprm_amt) AS max_premium,
-       {MAVG('tot_wprm_amt')} AS avg_premium, count(*) AS policy_count
-FROM (SELECT tot_wprm_amt, CAST(ntile(10) OVER (ORDER BY tot_wprm_amt) AS INTEGER) AS premium_decile
+       {MAVG('tot_wprm_amt')} AS avg_premium, count(rec_id) AS policy_count
+FROM (SELECT tot_wprm_amt, rec_id, CAST(ntile(10) OVER (ORDER BY tot_wprm_amt, rec_id IS NULL) AS INTEGER) AS premium_decile
       FROM policy WHERE tot_wprm_amt IS NOT NULL)
 GROUP BY premium_decile""",
     R.premium_deciles,

@@ -215,16 +215,16 @@ def premium_distribution_stats(df: DataFrame, scale: int | None = None) -> DataF
 def premium_deciles(df: DataFrame, scale: int | None = None) -> DataFrame:
     """min / max / avg / count of the written premium per decile (``ntile(10)`` order).
 
-    ``policy_count`` counts the rows of each decile (equal to ``count(rec_id)``
-    when ``rec_id`` is never null).
+    ``policy_count`` counts the records of each decile that have a ``rec_id``
+    (of equal premiums, those count as the first).
     """
-    t = ntile_summary(df, "tot_wprm_amt", 10, tile_name="premium_decile", sum_scale=scale)
+    t = ntile_summary(df, "tot_wprm_amt", 10, tile_name="premium_decile", sum_scale=scale, counted="rec_id")
     return t.select(
         "premium_decile",
         F.col("min_value").alias("min_premium"),
         F.col("max_value").alias("max_premium"),
         (F.col("sum_value") / F.col("n_rows")).alias("avg_premium"),
-        F.col("n_rows").alias("policy_count"),
+        F.col("n_counted").alias("policy_count"),
     ).orderBy("premium_decile")
 
 

@@ -185,7 +185,15 @@ def test_null_groups_null_times_and_gone_groups(spark):
 
 
 def test_asked_columns_are_monitored_or_refused(spark):
-    df = spark.createDataFrame([(1.0, dt.date(2025, 3, 1), 2025)], "x double, dd date, year int")
+    df = spark.createDataFrame([(1.0, dt.date(2025, 3, 1), 2025, b"x")], "x double, dd date, year int, raw binary")
     assert M.split_columns(df, ["x", "year"]) == (["x", "year"], [])
+    assert M.split_columns(df, None) == (["x", "dd"], [])
     with pytest.raises(ValueError):
-        M.split_columns(df, ["x", "dd"])
+        M.split_columns(df, ["x", "raw"])
+
+
+def test_dates_drift_in_days(spark):
+    rows = [(dt.date(2025, 1, 1), dt.date(2024, 1, 1 + k)) for k in range(4)] + [(dt.date(2025, 2, 1), dt.date(2024, 1, 11 + k)) for k in range(4)]
+    df = spark.createDataFrame(rows, "t date, d date").withColumn("ts", F.col("d").cast("timestamp_ntz"))
+    got = {r.column_name: r for r in M.drift_time_series(df, "t").where("status = 'OK'").collect()}
+    assert set(got) == {"d", "ts"} and all(r.wasserstein_distance == pytest.approx(10.0) for r in got.values())

@@ -3,7 +3,7 @@ import re
 from pyspark.sql import functions as F
 
 from scale_factors import SF01
-from ratelens.operators.ranking import exact_quantiles, ntile_summary
+from ratelens.operators.ranking import distribution_stats, exact_quantiles, ntile_summary, ordered_prefix, value_counts
 from ratelens.sources.tables import load_table
 
 
@@ -11,17 +11,35 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_bucketed_rank_has_no_single_partition_over_rows(spark):
+def _single_partition_children(df):
+    """What the default plan gathers into one partition."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    return [lines[at + 1 : at + 3] for at, line in enumerate(lines) if "Exchange SinglePartition" in line]
+
+
+def test_default_ranking_plans_gather_no_values(spark):
+    """One partition only above aggregates (counts, partition totals), never for values; no sort of a column in one task."""
     li = load_table(spark, SF01, "lineitem")
-    for df in (ntile_summary(li, "l_extendedprice", 10, buckets=8), exact_quantiles(li, "l_extendedprice", [0.5], buckets=8)):
+    vc = value_counts(li, [], "l_extendedprice")
+    frames = [
+        ntile_summary(li, "l_extendedprice", 10),
+        exact_quantiles(li, "l_extendedprice", [0.5]),
+        distribution_stats(li, "l_extendedprice", [0.25, 0.5]),
+        ordered_prefix(vc, [], "l_extendedprice", ["n"]),
+    ]
+    for df in frames:
         df.collect()
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        # one partition only above aggregates (split points, bucket totals), never for the values
-        lines = plan.splitlines()
-        for at, line in enumerate(lines):
-            if "Exchange SinglePartition" in line:
-                assert any("Aggregate" in x for x in lines[at + 1 : at + 3]), lines[at : at + 3]
-        assert re.search(r"\bntile\(", plan) is None
+        for below in _single_partition_children(df):
+            assert any("Aggregate" in x for x in below), below
+        assert re.search(r"\bntile\(", _plan(df)) is None
+
+
+def test_prefix_reaches_the_total_past_a_hot_value(spark):
+    li = load_table(spark, SF01, "lineitem").withColumn("v", F.when(F.col("l_linenumber") < 3, 5.0).otherwise(F.col("l_extendedprice")))
+    pre = ordered_prefix(value_counts(li, [], "v"), [], "v", ["n"], partitions=8)
+    rows = pre.orderBy("v").collect()
+    assert len(rows) == li.select("v").distinct().count() and rows[-1]["cum_n"] == rows[0]["tot_n"] == li.count()
+    assert [r["next_value"] for r in rows] == [r["v"] for r in rows[1:]] + [None]
 
 
 def test_month_filter_is_pushed_down(spark):

@@ -1,7 +1,11 @@
+import functools
+import random
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ratelens.operators import ranking
 from ratelens.operators.ranking import exact_quantiles, ntile_summary, ordered_prefix, value_counts
 
 
@@ -16,9 +20,9 @@ def _ntile_reference(df, col, n=10):
     return [tuple(r) for r in rows]
 
 
-def _ntile_ours(df, col, n=10, buckets=None):
+def _ntile_ours(df, col, n=10):
     rows = (
-        ntile_summary(df, col, n, tile_name="t", buckets=buckets)
+        ntile_summary(df, col, n, tile_name="t")
         .select("t", "n_rows", "min_value", "max_value", "sum_value")
         .orderBy("t")
         .collect()
@@ -26,6 +30,14 @@ def _ntile_ours(df, col, n=10, buckets=None):
     return [tuple(r) for r in rows]
 
 
+LEAF = ranking.LEAF_ROWS
+
+
+def _small_leaves(monkeypatch, leaf):
+    """Few rows, but as if there were too many to look at."""
+    monkeypatch.setattr(ranking, "order_statistics", functools.partial(ranking.order_statistics, leaf_rows=leaf))
+
+
 CASES = {
     "distinct": [(float(i * 7 % 1001),) for i in range(1001)],
     "heavy_ties": [(float(i % 9),) for i in range(2000)] + [(5.0,)] * 1000,
@@ -36,10 +48,38 @@ CASES = {
 
 
 @pytest.mark.parametrize("case", sorted(CASES))
-@pytest.mark.parametrize("buckets", [None, 4])
-def test_ntile_summary_matches_window_ntile(spark, case, buckets):
+@pytest.mark.parametrize("leaf", [LEAF, 1])
+def test_ntile_summary_matches_window_ntile(spark, case, leaf, monkeypatch):
+    _small_leaves(monkeypatch, leaf)
     df = spark.createDataFrame(CASES[case], "x double")
-    assert _ntile_ours(df, "x", 10, buckets) == _ntile_reference(df, "x", 10)
+    assert _ntile_ours(df, "x", 10) == _ntile_reference(df, "x", 10)
+
+
+def test_ntile_counts_a_column(spark):
+    """Of equal values, rows that have the counted column come first."""
+    df = spark.createDataFrame([(float(i % 4), None if i % 3 == 0 else str(i)) for i in range(101)], "x double, r string")
+    w = Window.orderBy("x", F.col("r").isNull())
+    want = df.withColumn("t", F.ntile(7).over(w)).groupBy("t").agg(F.count("r")).collect()
+    got = ntile_summary(df, "x", 7, tile_name="t", counted="r").select("t", "n_counted").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+@pytest.mark.parametrize("typ", ["double", "long", "decimal(12,2)"])
+def test_order_statistics_split_brackets(spark, typ):
+    """Accuracy too coarse for the ranks, no leaves: brackets split until each rank is hit."""
+    rnd = random.Random(1)
+    values = [round(rnd.lognormvariate(5, 3)) for _ in range(3000)] + [7] * 1500 + [-1, 0, 0]
+    col = spark.createDataFrame([(float(v),) for v in values], "x double").select(F.col("x").cast(typ).alias("x")).repartition(5).cache()
+    ranks = [0, 1, 2, 3, 700, 1499, 1503, 2000, 4400, 4501, 4502]
+    before = ranking.ACCURACY
+    ranking.ACCURACY = 20
+    try:
+        got = ranking.order_statistics(col, "x", len(values), ranks, leaf_rows=0)
+        leaf = ranking.order_statistics(col, "x", len(values), ranks, leaf_rows=300)
+    finally:
+        ranking.ACCURACY = before
+    want = sorted(values)
+    assert {r: float(v) for r, v in got.items()} == {r: want[r] for r in ranks} == {r: float(v) for r, v in leaf.items()}
 
 
 def test_ntile_summary_empty(spark):
@@ -48,11 +88,12 @@ def test_ntile_summary_empty(spark):
 
 
 @pytest.mark.parametrize("case", ["distinct", "heavy_ties", "tiny", "nulls"])
-@pytest.mark.parametrize("buckets", [None, 3])
-def test_exact_quantiles_match_percentile(spark, case, buckets):
+@pytest.mark.parametrize("leaf", [LEAF, 0])
+def test_exact_quantiles_match_percentile(spark, case, leaf, monkeypatch):
+    _small_leaves(monkeypatch, leaf)
     df = spark.createDataFrame(CASES[case], "x double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
-    ours = exact_quantiles(df, "x", probs, buckets=buckets).first()[0]
+    ours = exact_quantiles(df, "x", probs).first()[0]
     ref = df.selectExpr(f"percentile(x, array({', '.join(map(str, probs))}))").first()[0]
     assert ours == pytest.approx(ref, rel=1e-12, abs=1e-12)
 
@@ -66,11 +107,11 @@ def test_exact_quantiles_keyed_and_empty(spark):
     assert exact_quantiles(empty, "x", [0.5]).first()[0] == [None]
 
 
-def test_bucketed_prefix_equals_plain_window(spark):
+def test_prefix_by_ranges_equals_one_partition(spark):
     rows = [(k, float(v), v % 3 + 1) for k in ("a", "b", "c") for v in range(0, 400, 1 + "abc".index(k))]
     vc = spark.createDataFrame(rows, "k string, value double, n long")
-    plain = ordered_prefix(vc, ["k"], "value", ["n"], buckets=1)
-    bucketed = ordered_prefix(vc, ["k"], "value", ["n"], buckets=7)
+    plain = ordered_prefix(vc, ["k"], "value", ["n"], partitions=1)
+    bucketed = ordered_prefix(vc, ["k"], "value", ["n"], partitions=7)
     cols = ["k", "value", "n", "cum_n", "tot_n", "next_value"]
     a = sorted(tuple(r) for r in plain.select(cols).collect())
     b = sorted(tuple(r) for r in bucketed.select(cols).collect())
@@ -82,9 +123,9 @@ def test_result_independent_of_shuffle_partitions(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "3")
-        a = _ntile_ours(df, "x", 10, buckets=5)
+        a = _ntile_ours(df, "x", 10)
         spark.conf.set("spark.sql.shuffle.partitions", "17")
-        b = _ntile_ours(df, "x", 10, buckets=5)
+        b = _ntile_ours(df, "x", 10)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert a == b

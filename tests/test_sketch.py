@@ -53,7 +53,7 @@ def test_shuffle_does_not_grow_with_rows(spark):
     """Ten times the rows in as many tasks: as many rows shuffled."""
     shuffled = []
     for times in (1, 10):
-        df = spark.range(0, 20_000 * times, numPartitions=4).select(
+        df = spark.range(0, 80_000 * times, numPartitions=4).select(
             F.make_date(F.lit(2024), (F.col("id") % 3 + 1).cast("int"), F.lit(1)).alias("d"),
             *[(F.col("id") % 2000 * (i + 1)).cast("double").alias(f"x{i}") for i in range(100)],
             (F.col("id") % 5).cast("string").alias("s"),
