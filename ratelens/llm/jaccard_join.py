@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelens.llm.graph import components
-from ratelens.llm.shared import mix64, ragged, ship, with_text, written
+from ratelens.llm.shared import free_name, mix64, ragged, release, ship, text_digest, with_text, written
 
 SHINGLE = 5
 LEAST = 80
@@ -227,9 +227,10 @@ def bands_for(docs: DataFrame, least: int) -> Bands:
 
 
 def features(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, node and sketch; a task gives a set's sketch once."""
+    """doc_id, n_shingles, node, sketch and the text's digest; a task gives a set's sketch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -245,16 +246,18 @@ def features(docs: DataFrame, size: int) -> DataFrame:
                     count.append(len(s))
                     nodes.append(node)
                 cols = [part.column(0), pa.array(count, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays([*cols, *part.columns[2:]], ["doc_id", "n_shingles", "node", "sketch", "t1", "t2"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_text(docs).mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, sketch binary")
+    named = docs.select("doc_id", "text", *(d.alias(t) for d, t in zip(text_digest(), ("t1", "t2"), strict=True)))
+    return with_text(named, "t1", "t2").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, sketch binary, t1 long, t2 long")
 
 
 def signed(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
     """sig, node: the signatures of all sets; a task gives a set's signatures once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
@@ -424,27 +427,45 @@ def linked_nodes(docs: DataFrame, feats: DataFrame, size: int, least: int) -> Da
     return comp if again.isEmpty() else components(links.unionByName(links_of(again)))
 
 
-def join_classes(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id that links reach, itself included."""
+def labelled_rows(docs: DataFrame, size: int, least: int) -> DataFrame:
+    """The features of every row and its component's smallest doc_id (null for an empty set), least_id."""
     ship(docs.sparkSession)
     feats = written(features(docs, size))
     comp = linked_nodes(docs, feats, size, least)
     nodes = feats.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"))
     label = nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    by_component = label.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    found = label.join(by_component, "component").select(F.col("node").alias("_node"), "component_id")
-    return feats.join(found, F.col("node") == F.col("_node"), "left").select(
+    by_component = label.groupBy("component").agg(F.min("least_id").alias("least_id"))
+    found = label.drop("least_id").join(by_component, "component").select(F.col("node").alias("_node"), "component", "least_id")
+    return feats.join(found, F.col("node") == F.col("_node"), "left").drop("_node", "sketch")
+
+
+def join_classes(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id that links reach, itself included."""
+    return labelled_rows(docs, size, least).select(
         "doc_id",
         "n_shingles",
-        F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("least_id", "doc_id")).alias("component_id"),
     )
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFrame:
-    """One document of each group: the rows whose doc_id is their component's smallest, one row per doc_id."""
-    classes = join_classes(docs, size, least)
-    # rows without an id can't be told apart from others and stay
-    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    named = named.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
-    return named.unionByName(docs.where("doc_id is null"))
+    """One document of each group: of its rows, the one with the smallest (doc_id, text digest); ids that are null come last.
+
+    A document is a doc_id and a text: rows that share an id but hold texts of
+    different groups all stay, rows equal in both are one.  Rows without an id
+    join the group of rows with the same shingles only, since their texts can't
+    be found again by id for the exact comparison.  Texts without words are
+    groups of their own.
+    """
+    rows = labelled_rows(docs, size, least)
+    name = F.struct(F.col("doc_id").isNull().alias("anon"), "doc_id", "t1", "t2")
+    each = rows.groupBy("component", name.alias("doc")).agg(F.count(F.lit(1)).alias("n"))
+    first = each.where("component is not null").groupBy("component").agg(F.min(F.struct("doc", "n")).alias("f"))
+    first = first.select("f.doc", "f.n").unionByName(each.where("component is null").select("doc", "n"))
+    doc, one, two, n = (free_name(docs.columns, c) for c in ("_doc", "_t1", "_t2", "_n"))
+    first = written(first.select(F.col("doc.doc_id").alias(doc), F.col("doc.t1").alias(one), F.col("doc.t2").alias(two), F.col("n").alias(n)))
+    t1, t2 = text_digest()
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (t1 == F.col(one)) & (t2 == F.col(two))
+    kept = docs.join(first, same, "left_semi")
+    # rows equal in id and text, where there are any
+    return kept if first.where(F.col(n) > 1).isEmpty() else kept.dropDuplicates(["doc_id", "text"])

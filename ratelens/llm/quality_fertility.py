@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ratelens.llm.shared import Numbering, ragged, read_file, ship, worker_cache
+from ratelens.llm.shared import Numbering, ragged, read_file, ship, trim, worker_cache
 
 #: Least and most of each measure, by script; None: no bound.
 #: Entropy is compared for texts of at least 100 tokens.
@@ -59,6 +59,8 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 ENTROPY_TOKENS = 100
 KEPT_WORDS = 400_000
+#: More of them don't outlive a task.
+IDLE_WORDS = 50_000
 
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -192,6 +194,10 @@ def _measured(docs, bpe_path, fallback_path, bands, min_words, schema) -> DataFr
                 else:
                     cols = [pa.array(c, TYPES[t]) for c, (_, t) in zip(zip(*rows, strict=True), names, strict=True)]
                     yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["doc_id", *(n for n, _ in names)])
+        if len(m.numbers.order) > IDLE_WORDS:
+            # an idle worker keeps the vocabularies only
+            m.reset()
+            trim()
 
     return docs.mapInArrow(run, schema if schema is not None else f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {MEASURES}")
 

@@ -17,7 +17,7 @@ import zipfile
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
@@ -65,10 +65,28 @@ def written(df: DataFrame) -> DataFrame:
 _worker: dict = {}
 
 
+def release() -> None:
+    """Drop what earlier operators left in this Python worker, and give the memory back to the system."""
+    if _worker:
+        _worker.clear()
+        trim()
+
+
+def trim() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library keeps its own counsel
+        pass
+
+
 def worker_cache(key: str, make: Callable):
     """What a Python worker keeps from task to task: one object, of the operator that runs."""
     if key not in _worker:
-        _worker.clear()
+        release()
         _worker[key] = make()
     return _worker[key]
 
@@ -158,6 +176,11 @@ def partitions_for(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def text_digest() -> tuple[Column, Column]:
+    """The halves of a text's digest."""
+    return F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+
+
 def with_text(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id, the whole text as bytes and the ``keep`` columns."""
     return docs.select("doc_id", F.col("text").cast("binary").alias("text"), *keep)

@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.llm.shared import free_name, gram_hashes, mix64, ship, with_text
+from ratelens.llm.shared import free_name, gram_hashes, mix64, release, ship, text_digest, with_text
 
 SENTENCE_WORDS = 4
 MIN_WORDS = 6
@@ -161,11 +161,6 @@ def sentences(text: str, lowered: str, same: bool, min_words: int) -> tuple[list
     return found, every
 
 
-def text_digest() -> tuple[Column, Column]:
-    """The halves of a text's digest."""
-    return F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
-
-
 def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
     """Every unit: h1, h2 (the digest's halves), doc_id, t1, t2 (the text's), start, end."""
     ship(docs.sparkSession)
@@ -173,6 +168,7 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        release()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -237,6 +233,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool = True
     text, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

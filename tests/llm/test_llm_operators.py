@@ -446,7 +446,16 @@ def test_jaccard_keeps_one(wide, spark):
     classes = jaccard_classes(ROWS, 5, 80)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(k for k, (_, c) in classes.items() if k == c)
     anonymous = spark.createDataFrame([(None, "some words here", "en", "s", 1)] * 2 + [(1, "some words here", "en", "s", 1)], SCHEMA)
-    assert sorted(str(r["doc_id"]) for r in jaccard_join.keep_one(anonymous, 5, 80).collect()) == ["1", "None", "None"]
+    assert [r["doc_id"] for r in jaccard_join.keep_one(anonymous, 5, 80).collect()] == [1]
+
+
+def test_jaccard_keeps_texts_of_one_id(spark):
+    """Rows that share an id, or have none, stay unless their texts are of one group; a column _id is no matter."""
+    one, two = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven"
+    rows = [(1, one), (1, two), (1, one), (2, two), (None, one), (None, two + " eight nine ten"), (None, two + " eight nine ten"), (3, None), (3, ""), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_id", F.lit("own")).withColumn("_t1", F.lit(1))
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard_join.keep_one(docs, 5, 80).collect()), key=str)
+    assert got == sorted([(1, one), (1, two), (None, two + " eight nine ten"), (3, None), (3, "")], key=str)
 
 
 # 9 -- substring dedup
