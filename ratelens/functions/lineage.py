@@ -12,16 +12,27 @@ recomputation.  Without a configured directory it falls back to ``persist``
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``); ValueError if none is set."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``).
+
+    Where none is set, a local session (tests, one machine) gets a folder of
+    its own; on a cluster a machine-local folder would lose data, so that
+    raises a ValueError.
+    """
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        d = tempfile.mkdtemp(prefix="ratelens-shared-")
+        sc.setCheckpointDir(d)
+        spark.conf.set("spark.checkpoint.dir", d)
     return f"{d.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

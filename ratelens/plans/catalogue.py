@@ -386,6 +386,7 @@ for _key, _fn, _name in (
 
 # ====================================================================== part B
 from ratelens.operators import colocate as C  # noqa: E402
+from ratelens.sources.snapshots import SnapshotStore  # noqa: E402
 from ratelens.sources.tables import load_table  # noqa: E402
 
 # Fixed value: explicit splits for the oracle-checked bucket reports.
@@ -677,3 +678,63 @@ def _d04(spark, sf_dir):
         store.append(_in_month(li, "l_shipdate", f"1997-{m:02d}-01"), 1997, m)
     out = functools.reduce(DataFrame.unionByName, [store.drift(1997, m) for m in (3, 4, 5)])
     return _round(out, *SKETCH_ROUND)
+
+
+# ---------------------------------------------------------------- written layouts and snapshots
+
+_B08_SQL = (
+    f"SELECT c.*, {_bucket_case('c.c_custkey')} AS partition_key, o.o_orderkey, o.o_totalprice "
+    "FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey"
+)
+
+
+@register("b07_write_read_join_partitioned", _B08_SQL)
+def _b07(spark, sf_dir):
+    """Master and details written by bucket, read back from their paths and joined."""
+    p = C.write_copartitioned(_copart(spark, sf_dir, EXPLICIT_SPLITS), shared_path(spark, "copart"))
+    master, orders = (spark.read.parquet(p.paths[k]) for k in ("master", "detail_0"))
+    return C.join_copartitioned(master, orders, "c_custkey", "o_custkey", detail_columns=["o_orderkey", "o_totalprice"])
+
+
+@register("b08_join_bucketed_tables", _B08_SQL)
+def _b08_bucketed(spark, sf_dir):
+    """Master and details saved as bucketed tables, joined on their keys without a shuffle."""
+    path = shared_path(spark, "copart")
+    prefix = path.rsplit("/", 1)[-1].replace("-", "_")
+    C.write_copartitioned(_copart(spark, sf_dir, EXPLICIT_SPLITS), path, layout="bucketed", table_prefix=prefix)
+    orders = spark.table(f"{prefix}_detail_0").select("o_custkey", "o_orderkey", "o_totalprice")
+    master = spark.table(f"{prefix}_master")
+    return master.join(orders, F.col("c_custkey") == F.col("o_custkey")).select(*master.columns, "o_orderkey", "o_totalprice")
+
+
+def _captured(spark: SparkSession, sf_dir: str, months: tuple[int, ...]) -> SnapshotStore:
+    """A snapshot store with these months of 1997."""
+    store = SnapshotStore(spark, shared_path(spark, "snapshots"))
+    for m in months:
+        store.capture(_in_month(_li(spark, sf_dir), "l_shipdate", f"1997-{m:02d}-01"), 1997, m)
+    return store
+
+
+@register(
+    "d05_drift_as_of_snapshot",
+    "SELECT * FROM ("
+    + DS.drift_time_series_sql("lineitem", "l_shipdate", LI_NUM, LI_CAT, ["l_returnflag = 'R'"])
+    + ") WHERE window_start = DATE '1997-04-01'",
+)
+def _d05(spark, sf_dir):
+    """A month against the table as it was at the end of the month before, from captured snapshots."""
+    store = _captured(spark, sf_dir, (2, 3, 4))
+    out = M.drift_snapshot(
+        store.month(1997, 4), store.as_of("1997-04-15"), LI_NUM + LI_CAT, ["l_returnflag = 'R'"], "1997-04-01", "1997-03-01", mean_scale=4
+    )
+    return _round(out, *DRIFT_ROUND)
+
+
+@register(
+    "s15_snapshot_retention",
+    """SELECT CAST(year(l_shipdate) AS INTEGER) AS year, CAST(month(l_shipdate) AS INTEGER) AS month, count(*) AS row_count,
+  last_day(any_value(l_shipdate)) AS month_end, last_day(any_value(l_shipdate)) < DATE '1997-05-10' - INTERVAL 30 DAY AS expired
+FROM lineitem WHERE l_shipdate >= DATE '1997-02-01' AND l_shipdate < DATE '1997-05-01' GROUP BY 1, 2""",
+)
+def _s15(spark, sf_dir):
+    return _captured(spark, sf_dir, (2, 3, 4)).list_snapshots(30, "1997-05-10")
