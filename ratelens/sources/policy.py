@@ -29,8 +29,7 @@ def policy_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Join plan: lineitem-orders and orders-customer are key/foreign-key joins
     between large tables and are left to the optimizer (sort-merge, or
-    broadcast-hash once AQE sees a small side); ``nation`` has a fixed domain
-    of a few dozen rows, so it is broadcast explicitly.
+    broadcast-hash once AQE sees a small side), as is the one with ``nation``.
     """
     li = load_table(spark, sf_dir, "lineitem")
     orders = load_table(spark, sf_dir, "orders")

@@ -2,9 +2,9 @@
 
 A store is one Parquet table partitioned by ``(year, month)``.  A capture
 overwrites its month's directory, so writing April leaves March in place, and
-re-capturing a month replaces only that month, also when no rows are left.  Everything is
-lazy DataFrame work; which partition an as-of read takes is decided by a
-scalar subquery inside the plan, not by driver code.
+re-capturing a month replaces only that month, also when no rows are left.  An
+as-of read first asks the partition columns for the month (a small job), and
+then filters to it, so only that partition is read.
 """
 
 from __future__ import annotations
