@@ -1,13 +1,19 @@
 """Substring dedup by hashing lines, the sentences inside them, and runs of words.
 
-Units are of two kinds.  Sentences inside a line: a unit ends with the line, or
-with a sentence end (``.``, ``!`` or ``?`` and white space) once the unit's last
-sentence has ``SENTENCE_WORDS`` words, so that short sentences are part of a
-longer unit.  And ``RUN_WORDS`` words from each word that the words alone choose
-(winnowing: of ``WINDOW`` successive places the one whose three words hash
-least, all of them on ties), wherever sentences and lines begin.  A unit's words are normalised
-(lower case, only letters and digits, one space between words) and hashed to
-128 bits; units with fewer than ``min_words`` normalised words are left alone.
+Units are of three kinds, each of ``min_words`` normalised words or more.  Whole
+lines.  Sentences inside a line: such a unit ends with the line, or with a
+sentence end (``.``, ``!`` or ``?`` and white space, or a full-width one) once the
+unit's last sentence has ``SENTENCE_WORDS`` words, so that short sentences are
+part of a longer unit.  And ``RUN_WORDS`` words from each word that the words
+alone choose (winnowing: of ``WINDOW`` successive places the one whose three
+words hash least, all of them on ties), wherever sentences and lines begin.  A
+unit's words are normalised (lower case, only letters and digits, one space
+between words) and hashed to 128 bits.  A word is a run of letters and digits,
+or one letter of a script that is written without spaces (``SOLO``).
+
+With the default of 20 words a shorter line or sentence that many documents
+share (a licence line, a stock phrase) is no repeated passage and stays; ask for
+fewer words to take such lines out too.
 
 Texts that share a run of words choose the same places inside it, at most
 ``WINDOW`` apart.  So of a run of ``RUN_WORDS + WINDOW - 1`` words or more (49)
@@ -54,12 +60,15 @@ from pyspark.sql import functions as F
 from ratelens.llm.shared import free_name, gram_hashes, mix64, release, ship, text_digest, with_text
 
 SENTENCE_WORDS = 4
-MIN_WORDS = 6
+MIN_WORDS = 20
 RUN_WORDS = 30
 WINDOW = 20
 #: A run of text up to a sentence end, a line end or the text's end.
-SENTENCE = re.compile(r"[^\n.!?]*+(?:[.!?]++(?!\s|\Z)[^\n.!?]*+)*+(?:[.!?]++[^\S\n]*+|\n++|\Z)")
-WORDS = re.compile(r"[^\W_]+")
+SENTENCE = re.compile(r"[^\n.!?。！？]*+(?:[.!?]++(?![\s。！？]|\Z)[^\n.!?。！？]*+)*+(?:[.!?。！？]++[^\S\n]*+|\n++|\Z)")
+#: Code point ranges of Thai and Lao, Myanmar, Khmer, kana, Han.
+SOLO = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3134F))
+_SOLO = "".join(f"{chr(a)}-{chr(b)}" for a, b in SOLO)
+WORDS = re.compile(rf"[^\W_{_SOLO}]+|(?!_)\w")
 
 
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -85,10 +94,16 @@ _letters: list[np.ndarray] = []
 def word_spans(text: str) -> np.ndarray:
     """(start, end) of the matches of ``WORDS``."""
     if not _letters:
-        _letters.append(np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000))
-    inside = np.zeros(len(text) + 2, bool)
-    inside[1:-1] = _letters[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
-    return np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2)
+        kinds = np.fromiter((chr(c).isalnum() for c in range(0x110000)), np.int8, 0x110000)
+        for a, b in SOLO:
+            kinds[a : b + 1] *= 2
+        _letters.append(kinds)
+    kind = np.zeros(len(text) + 2, np.int8)
+    kind[1:-1] = _letters[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+    before, after = kind[:-1], kind[1:]
+    starts = np.flatnonzero((after == 2) | ((after == 1) & (before != 1)))
+    ends = np.flatnonzero((before == 2) | ((before == 1) & (after != 1)))
+    return np.stack([starts, ends], 1)
 
 
 def sliding(best: np.ufunc, a: np.ndarray) -> np.ndarray:
@@ -142,22 +157,29 @@ def units(text: str, min_words: int) -> list[tuple[int, int, str]]:
 
 
 def sentences(text: str, lowered: str, same: bool, min_words: int) -> tuple[list[tuple[int, int, str]], list[str]]:
-    """The units that end with a sentence or line, and all words."""
+    """The units that are lines or sentences inside them, and all words."""
     found, every = [], []
-    start, words = 0, []
+    line = start = 0
+    line_at = at = 0  # their places in ``every``
+    parts: list[tuple[int, int, int, int]] = []
     for m in SENTENCE.finditer(text):
         a, b = m.span()
         if a == b:
             continue
         new = WORDS.findall(lowered, a, b) if same else WORDS.findall(text[a:b].lower())
-        words += new
         every += new
-        if len(new) >= SENTENCE_WORDS or text[b - 1] == "\n":
-            if len(words) >= min_words:
-                found.append((start, b, " ".join(words)))
-            start, words = b, []
-    if len(words) >= min_words:
-        found.append((start, len(text), " ".join(words)))
+        ended = b == len(text) or text[b - 1] == "\n"
+        if not ended and len(new) < SENTENCE_WORDS:
+            continue
+        if len(every) - at >= min_words:
+            parts.append((start, b, at, len(every)))
+        start, at = b, len(every)
+        if ended:
+            if len(every) - line_at >= min_words:
+                found.append((line, b, " ".join(every[line_at:])))
+            # a sentence with all the line's words is the line
+            found += [(x, y, " ".join(every[i:j])) for x, y, i, j in parts if j - i < len(every) - line_at]
+            line, line_at, parts = b, len(every), []
     return found, every
 
 

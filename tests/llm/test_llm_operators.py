@@ -472,8 +472,8 @@ def brute_removals(rows, min_words):
 
 
 def test_removals(docs, none):
-    got = substring_lines.removals(docs).collect()
-    assert {(r["doc_id"], r["start"], r["end"]) for r in got} == brute_removals(ROWS, substring_lines.MIN_WORDS)
+    got = substring_lines.removals(docs, 6).collect()
+    assert {(r["doc_id"], r["start"], r["end"]) for r in got} == brute_removals(ROWS, 6)
     for r in got:
         mine = TEXT[r["doc_id"]][r["start"] : r["end"]]
         words = substring_lines.WORDS.findall(mine.lower())
@@ -482,19 +482,93 @@ def test_removals(docs, none):
     assert substring_lines.removals(none).collect() == []
 
 
-def test_units_cover_lines():
+def plain_words(text):
+    """Words by a scan of the letters."""
+    out, word = [], ""
+    for c in text.lower() + " ":
+        solo = any(a <= ord(c) <= b for a, b in substring_lines.SOLO)
+        if c.isalnum() and not solo:
+            word += c
+            continue
+        out += [w for w in (word, c if solo and c.isalnum() else "") if w]
+        word = ""
+    return out
+
+
+def plain_units(text, min_words):
+    """Lines and the sentences inside them, for texts too short for runs."""
+    out, at = set(), 0
+    for line in re.findall(r"[^\n]+\n*|\n+", text):
+        cuts, start, k = [], 0, 0
+        body = line.rstrip("\n")
+        while k < len(body):
+            k += 1
+            if body[k - 1] not in ".!?。！？":
+                continue
+            tail = k
+            while tail < len(body) and body[tail] in ".!?。！？":
+                tail += 1
+            white = tail
+            while white < len(body) and body[white].isspace():
+                white += 1
+            if white > tail or set(body[k - 1 : tail]) & set("。！？") or tail == len(body):
+                cuts.append(white)
+                tail = white
+            k = tail
+        pieces, part = [], 0
+        for end in [*cuts, len(line)]:
+            # an end counts once enough words stand since the one before
+            if end == len(line) or len(plain_words(line[start:end])) >= substring_lines.SENTENCE_WORDS:
+                pieces.append((part, end))
+                part = end
+            start = end
+        whole = plain_words(line)
+        if len(whole) >= min_words:
+            out.add((at, at + len(line), " ".join(whole)))
+        for a, b in pieces:
+            words = plain_words(line[a:b])
+            if min_words <= len(words) < len(whole):
+                out.add((at + a, at + b, " ".join(words)))
+        at += len(line)
+    return out
+
+
+def test_units_are_lines_and_sentences():
+    import random
+
     text = "One. Two. Three four five six seven eight! 3.14 is pi, they say so here. \n\nNext line of six words follows\nshort"
-    found = [text[a:b] for a, b, _ in substring_lines.units(text, 1)]
-    assert "".join(found).replace("\n", "") == text.replace("\n", "")
-    assert found[0] == "One. Two. Three four five six seven eight! "
+    found = [text[a:b] for a, b, _ in substring_lines.units(text, 5)]
+    line = text.split("\n")[0] + "\n\n"
+    assert found == [line, "One. Two. Three four five six seven eight! ", "3.14 is pi, they say so here. ", "Next line of six words follows\n"]
+    assert [w for *_, w in substring_lines.units("漢字かな。", 1)] == ["漢 字 か な"]
     assert substring_lines.units("", 1) == [] and substring_lines.units("\n\n", 1) == []
+    rnd = random.Random(5)
+    letters = ["one", "Two", "x1", "é", "漢", "字", "。", ".", "!", "?", " ", " ", " ", " ", "\n", "_", ",", "ไ"]
+    for _ in range(4000):
+        text = "".join(rnd.choice(letters) for _ in range(rnd.randrange(60)))
+        if len(plain_words(text)) < substring_lines.RUN_WORDS + substring_lines.WINDOW - 1:
+            for least in (1, 3, 6):
+                got = substring_lines.units(text, least)
+                assert len(got) == len(set(got)) and set(got) == plain_units(text, least), (text, least)
+
+
+def test_short_lines_stay(spark):
+    """A line of fewer than twenty words that documents share stays unless fewer words are asked for; a longer one goes."""
+    stock = "licensed under terms that every document of this source repeats"
+    passage = " ".join(f"word{k}" for k in range(20))
+    rows = [(k, f"{stock}\nown{k} words{k}\n{passage}", "en", "s", 1) for k in range(3)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    left = {r["doc_id"]: r["text"] for r in substring_lines.dedup(docs).collect()}
+    assert all(stock in t and (passage in t) == (k == 0) for k, t in left.items()) and len(left) == 3
+    left = {r["doc_id"]: r["text"] for r in substring_lines.dedup(docs, 6).collect()}
+    assert all((stock in t) == (passage in t) == (k == 0) for k, t in left.items()) and len(left) == 3
 
 
 def test_dedup(wide, none, docs):
-    got = substring_lines.dedup(wide, drop_emptied=False)
+    got = substring_lines.dedup(wide, 6, drop_emptied=False)
     assert got.schema == wide.schema
     cuts = defaultdict(list)
-    for d, a, b in brute_removals(ROWS, substring_lines.MIN_WORDS):
+    for d, a, b in brute_removals(ROWS, 6):
         cuts[d].append((a, b))
     rows = got.collect()
     assert len(rows) == len(ROWS)
@@ -503,7 +577,7 @@ def test_dedup(wide, none, docs):
         want = substring_lines.cut_spans(text, cuts[r["doc_id"]]) if text else text
         assert r["text"] == want
         assert r["n_chars"] == (None if want is None else len(want))
-    kept = {r["doc_id"] for r in substring_lines.dedup(docs).collect()}
+    kept = {r["doc_id"] for r in substring_lines.dedup(docs, 6).collect()}
     gone = set(TEXT) - kept
     assert gone and all(not substring_lines.WORDS.search(substring_lines.cut_spans(TEXT[d], cuts[d])) for d in gone)
     assert substring_lines.dedup(none).collect() == []
@@ -512,7 +586,7 @@ def test_dedup(wide, none, docs):
 def test_null_ids_rank_last(spark):
     line = "the very same line of many words stands here"
     rows = [(None, line, "en", "s", 1), (7, line, "en", "s", 1), (3, line, "en", "s", 1)]
-    got = substring_lines.removals(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = substring_lines.removals(spark.createDataFrame(rows, SCHEMA), 6).collect()
     assert sorted((str(r["doc_id"]), r["first_doc"]) for r in got) == [("7", 3), ("None", 3)]
 
 
@@ -569,12 +643,12 @@ def test_documents_by_id_and_text(spark):
         (5, f"{other.replace('quite', 'yet')}\nfourth own words"): 2,
     }
     rows = [(d, t, "en", "s", len(t)) for (d, t), n in texts.items() for _ in range(n)]
-    got = sorted((str(r["doc_id"]), r["text"]) for r in substring_lines.dedup(spark.createDataFrame(rows, SCHEMA)).collect())
+    got = sorted((str(r["doc_id"]), r["text"]) for r in substring_lines.dedup(spark.createDataFrame(rows, SCHEMA), 6).collect())
     want = [(str(d), t if d or line not in t else t.split("\n")[1]) for d, t, *_ in rows]
     assert got == sorted(want)
     # without any id
     rows = [(None, t, "en", "s", len(t)) for t in (f"{line}\nfirst own words", f"{line}\nsecond own words")]
-    got = [r["text"] for r in substring_lines.dedup(spark.createDataFrame(rows, SCHEMA)).collect()]
+    got = [r["text"] for r in substring_lines.dedup(spark.createDataFrame(rows, SCHEMA), 6).collect()]
     assert sum(line in t for t in got) == 1 and all("own words" in t for t in got)
 
 
