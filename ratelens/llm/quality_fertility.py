@@ -8,7 +8,8 @@ Public vocabularies measure each text:
 * ``token_entropy``: Shannon entropy (bits) of the text's byte-BPE tokens,
 * ``symbols_per_word``: symbols, which split words into more tokens, per word.
 
-Each measure has a rejection band per script (the script of most letters:
+Each measure has a rejection band per script (the script of most letters,
+numbers and signs not counted:
 latin, cyrillic, greek, arabic, hebrew, cjk, other).  A text outside a band of
 its script is rejected.  The bands are fixed parameters, so a text's verdict
 does not depend on the rest of the table and nothing is shuffled.
@@ -115,7 +116,7 @@ class WordMeasures:
         scripts = np.zeros((len(new), len(SCRIPTS)), np.int64)
         for k, w in enumerate(new):
             if w.isascii():
-                scripts[k, 0] = len(w)
+                scripts[k, 0] = len(w) if w.isalpha() else len(SCRIPT_OF["latin"].findall(w))
             else:
                 scripts[k] = [len(p.findall(w)) for p in SCRIPT_OF.values()]
         self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.int64, int(lens.sum()))])

@@ -31,10 +31,11 @@ occurrence is removed, and its offsets in the original text are kept:
 * ``dedup``:    the documents with these spans cut out.
 
 One aggregation over all units, combined before its shuffle, finds each
-digest's first occurrence and count; digests that occur once never move again.
-The join back to the occurrences of repeated digests is a sort-merge join whose
-skewed partitions AQE splits, so one line in a third of all rows is no single
-task.
+digest's first occurrence, its count and, as 64 bits, the salts of its
+occurrences (a hash of doc_id and start).  Digests that occur more than once are
+joined back to their occurrences by digest and salt, one row for each salt that
+they have.  So a line that stands in a third of all rows is spread over 64
+joins, and one that stands twice makes two rows at most.
 
 Defined results: null and empty texts have no unit and stay as they are; rows
 with a null doc_id rank after all others; repeated rows (same doc_id or none, and
@@ -63,12 +64,24 @@ SENTENCE_WORDS = 4
 MIN_WORDS = 20
 RUN_WORDS = 30
 WINDOW = 20
+#: Bits of a long.
+SALTS = 64
 #: A run of text up to a sentence end, a line end or the text's end.
 SENTENCE = re.compile(r"[^\n.!?。！？]*+(?:[.!?]++(?![\s。！？]|\Z)[^\n.!?。！？]*+)*+(?:[.!?。！？]++[^\S\n]*+|\n++|\Z)")
 #: Code point ranges of Thai and Lao, Myanmar, Khmer, kana, Han.
 SOLO = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3134F))
 _SOLO = "".join(f"{chr(a)}-{chr(b)}" for a, b in SOLO)
 WORDS = re.compile(rf"[^\W_{_SOLO}]+|(?!_)\w")
+LATIN = re.compile(r"[^\n.!?]*+(?:[.!?]++(?!\s|\Z)[^\n.!?]*+)*+(?:[.!?]++[^\S\n]*+|\n++|\Z)"), re.compile(r"[^\W_]+")
+
+
+def patterns(text: str) -> tuple[re.Pattern, re.Pattern]:
+    """``SENTENCE`` and ``WORDS``, or what finds the same faster in a text of one byte a letter."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return SENTENCE, WORDS
+    return LATIN
 
 
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -125,7 +138,8 @@ def units(text: str, min_words: int) -> list[tuple[int, int, str]]:
     """(start, end, normalised words) of the units with enough words."""
     lowered = text.lower()
     same = len(lowered) == len(text)
-    found, words = sentences(text, lowered, same, min_words)
+    sentence, pattern = patterns(text)
+    found, words = sentences(text, lowered, same, min_words, sentence, pattern)
     if len(words) < RUN_WORDS + WINDOW - 1 or min_words > RUN_WORDS:
         return found
     spans = word_spans(text)
@@ -136,7 +150,7 @@ def units(text: str, min_words: int) -> list[tuple[int, int, str]]:
 
     def unit(k: int, n: int) -> tuple[int, int, str]:
         a, b = int(spans[k, 0]), int(spans[k + n - 1, 1])
-        return a, b, " ".join(words[k : k + n] if same else WORDS.findall(text[a:b].lower()))
+        return a, b, " ".join(words[k : k + n] if same else pattern.findall(text[a:b].lower()))
 
     every = [(*u, -1) for u in found] + [(*unit(k, RUN_WORDS), k) for k in chosen(words)]
     out, first = [], {}
@@ -156,17 +170,17 @@ def units(text: str, min_words: int) -> list[tuple[int, int, str]]:
     return out
 
 
-def sentences(text: str, lowered: str, same: bool, min_words: int) -> tuple[list[tuple[int, int, str]], list[str]]:
+def sentences(text: str, lowered: str, same: bool, min_words: int, sentence: re.Pattern, pattern: re.Pattern) -> tuple[list[tuple[int, int, str]], list[str]]:
     """The units that are lines or sentences inside them, and all words."""
     found, every = [], []
     line = start = 0
     line_at = at = 0  # their places in ``every``
     parts: list[tuple[int, int, int, int]] = []
-    for m in SENTENCE.finditer(text):
+    for m in sentence.finditer(text):
         a, b = m.span()
         if a == b:
             continue
-        new = WORDS.findall(lowered, a, b) if same else WORDS.findall(text[a:b].lower())
+        new = pattern.findall(lowered, a, b) if same else pattern.findall(text[a:b].lower())
         every += new
         ended = b == len(text) or text[b - 1] == "\n"
         if not ended and len(new) < SENTENCE_WORDS:
@@ -223,13 +237,17 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = occurrences(docs, min_words)
     # null ids rank last
     rank = F.struct(F.col("doc_id").isNull().alias("anon"), "doc_id", "t1", "t2", "start")
-    first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
-    both = found.join(first.drop("n"), ["h1", "h2"])
+    salt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int")
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id, start), {SALTS}) as int))")
+    first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n"), F.bit_or(bit).alias("salts")).where("n > 1")
+    salts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("salts", k) == 1)
+    both = found.withColumn("salt", salt).join(first.select("h1", "h2", "first", F.explode(salts).alias("salt")), ["h1", "h2", "salt"])
     other = ~reduce(and_, (F.col(c).eqNullSafe(F.col(f"first.{c}")) for c in ("doc_id", "t1", "t2", "start")))
     return (
         both.where(other)
-        .select("doc_id", "start", "end", "h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"), "t1", "t2")
+        .select("doc_id", "start", "end", "h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"), "t1", "t2", "salt")
         .distinct()
+        .drop("salt")
     )
 
 

@@ -227,6 +227,59 @@ def test_quality(docs, none):
     assert quality_fertility.judge(none, BYTE_BPE_RANKS, PIECE_BPE).collect() == []
 
 
+def brute_verdict(text, bpe, pieces):
+    """Script and verdict, by encoding every word and reading the bands as they are stated."""
+    words = words_of(text)
+    ids = [i for w in words for i in bpe.encode_ordinary(" " + w)]
+    parts = [i for w in words for i in pieces.encode(w)]
+    letters = {k: sum(len(p.findall(w)) for w in words) for k, p in quality_fertility.SCRIPT_OF.items()}
+    script = max(letters, key=letters.get) if any(letters.values()) else "other"
+    share = [n / len(ids) for n in Counter(ids).values()]
+    values = {
+        "chars_per_token": sum(map(len, words)) / len(ids) if ids else 0,
+        "byte_share": sum(map(pieces.is_byte, parts)) / len(parts) if parts else 0,
+        "token_entropy": -sum(p * math.log2(p) for p in share) if len(ids) >= 100 else None,
+        "symbols_per_word": sum(c in "#*$%&|<>" for c in text or "") / len(words) if words else 0,
+    }
+    fits = [v is None or ((lo is None or v >= lo) and (hi is None or v <= hi)) for v, (lo, hi) in ((values[k], b) for k, b in quality_fertility.BANDS[script].items())]
+    n, _, _, _, repeats = brute_quality(text)
+    return script, n >= 50 and 100 * repeats <= 50 * n and all(fits)
+
+
+def test_quality_verdict(spark):
+    """Scripts by letters alone, so numbers beside words of another script don't make a text latin; verdicts by brute force."""
+    ranks = open(BYTE_BPE_RANKS, "rb").read()
+    m = quality_fertility.WordMeasures(ranks, open(PIECE_BPE, "rb").read())
+    rnd = np.random.default_rng(3)
+    vocab = {
+        "latin": ["house", "river", "the", "and", "because", "l'été", "x2"],
+        "cyrillic": ["цена", "товар", "рубль", "город"],
+        "cjk": ["价格", "商品", "東京", "한국"],
+        "greek": ["τιμή", "πόλη"],
+        "other": ["12", "3.50", "--"],
+    }
+    texts = []
+    for own in vocab:
+        for n in (40, 60, 200):
+            for numbers in (0, 1, 2):
+                words = [vocab[own][k] + "абвгд"[j % 5] * (own == "cyrillic") for j, k in enumerate(rnd.integers(0, len(vocab[own]), n))]
+                texts.append(" ".join(w + f" {rnd.integers(10**6)},{rnd.integers(100):02d}" * numbers for w in words))
+    texts += [" ".join(f"{w}#" for w in t.split()) for t in texts[2:4]] + [None, ""]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: (r["script"], r["kept"]) for r in quality_fertility.judge(docs, BYTE_BPE_RANKS, PIECE_BPE).collect()}
+    assert got == {k: brute_verdict(t, m.bpe, m.pieces) for k, t in enumerate(texts)}
+    assert {s for s, _ in got.values()} == set(vocab) and {k for _, k in got.values()} == {True, False}
+
+
+def test_removals_spread_a_hot_line(spark):
+    """A line that many documents share is joined by salt and found in each of them but the first."""
+    line = " ".join(f"word{k}" for k in range(25))
+    rows = [(k, f"own text of document {k}\n{line}" if k % 3 else line, "en", "s", 1) for k in range(500)] * 2
+    got = substring_lines.removals(spark.createDataFrame(rows, SCHEMA)).collect()
+    at = {k: len(f"own text of document {k}\n") if k % 3 else 0 for k in range(500)}
+    assert sorted((r["doc_id"], r["start"], r["first_doc"], r["first_start"]) for r in got) == [(k, at[k], 0, 0) for k in range(1, 500)]
+
+
 def test_quality_keep(wide):
     kept = quality_fertility.keep(wide, BYTE_BPE_RANKS, PIECE_BPE)
     assert kept.schema == wide.schema
