@@ -180,6 +180,19 @@ def write_copartitioned(
     return plan
 
 
+def save_bucketed(df: DataFrame, key: str, table: str, path: str, buckets: int | None = None) -> None:
+    """``df`` as a catalog table in hash buckets of its key (default: ``spark.sql.shuffle.partitions``), sorted by it.
+
+    Rows are dealt by (key's bucket, hash of the row) before the write, so the
+    rows of a hot key are written by many tasks; a bucket may have several files.
+    """
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(n))
+    bucket = F.pmod(F.hash(key), F.lit(n))
+    out = df.repartition(n, bucket, salt)
+    out.write.mode("overwrite").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
+
+
 def create_partitioned_tables(
     master: DataFrame,
     master_key: str,

@@ -450,6 +450,8 @@ def _b08e(spark, sf_dir):
 
 # ====================================================================== part C
 from ratelens.operators.alerts import Rule, alerts  # noqa: E402
+from ratelens.operators.heavy_join import join_heavy  # noqa: E402
+from ratelens.operators.sample import exact_sample  # noqa: E402
 from ratelens.plans import drift_sql as DS  # noqa: E402
 from ratelens.plans import monitor as M  # noqa: E402
 
@@ -615,6 +617,20 @@ def _d18(spark, sf_dir):
     return _round(M.drift_time_series(sample, "l_shipdate", LI_NUM + LI_CAT, mean_scale=4), *DRIFT_ROUND)
 
 
+SAMPLE_ROWS, SAMPLE_SEED = 20_000, 42
+_SAMPLE_SQL = (
+    f"(SELECT * FROM lineitem ORDER BY ('0x' || md5('{SAMPLE_SEED}|=' || l_orderkey || '|=' || l_linenumber)[1:15])::BIGINT "
+    f"LIMIT {SAMPLE_ROWS}) AS sampled"
+)
+
+
+@register("d18_drift_on_exact_sample", DS.drift_time_series_sql(_SAMPLE_SQL, "l_shipdate", LI_NUM, LI_CAT))
+def _d18_exact(spark, sf_dir):
+    """Drift on 20,000 rows drawn by a seeded hash of the key."""
+    sample = exact_sample(_li(spark, sf_dir), ["l_orderkey", "l_linenumber"], SAMPLE_ROWS, SAMPLE_SEED)
+    return _round(M.drift_time_series(sample, "l_shipdate", LI_NUM + LI_CAT, mean_scale=4), *DRIFT_ROUND)
+
+
 @register(
     "d19_critical_vs_all",
     f"""WITH d AS ({DS.drift_time_series_sql("lineitem", "l_shipdate", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus"])}),
@@ -707,6 +723,22 @@ def _b08_bucketed(spark, sf_dir):
     return master.join(orders, F.col("c_custkey") == F.col("o_custkey")).select(*master.columns, "o_orderkey", "o_totalprice")
 
 
+_HOT_KEY = "CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE o_custkey END"
+
+
+@register(
+    "j02_heavy_key_join_stored",
+    f"SELECT c.*, o.o_orderkey, o.o_totalprice FROM customer c JOIN (SELECT *, {_HOT_KEY} AS hot_key FROM orders) o ON c.c_custkey = o.hot_key",
+)
+def _j02(spark, sf_dir):
+    """Stored, bucketed tables joined on a key of which one value holds a third of the rows."""
+    prefix = shared_path(spark, "heavy").rsplit("/", 1)[-1].replace("-", "_")
+    orders = load_table(spark, sf_dir, "orders").select(F.expr(_HOT_KEY).alias("hot_key"), "o_orderkey", "o_totalprice")
+    for name, df, key in (("master", load_table(spark, sf_dir, "customer"), "c_custkey"), ("detail", orders, "hot_key")):
+        C.save_bucketed(df, key, f"{prefix}_{name}", shared_path(spark, f"heavy-{name}"))
+    return join_heavy(spark.table(f"{prefix}_master"), spark.table(f"{prefix}_detail"), "c_custkey", "hot_key")
+
+
 def _captured(spark: SparkSession, sf_dir: str, months: tuple[int, ...]) -> SnapshotStore:
     """A snapshot store with these months of 1997."""
     store = SnapshotStore(spark, shared_path(spark, "snapshots"))

@@ -23,7 +23,7 @@ FAST = [
     "a03_policies_by_state", "a07_policy_duration_stats", "a10_premium_distribution_stats", "a18_premium_deciles",
     "a23_growth_buckets", "a25_coverage_pivot", "a29_high_variation_policies", "a35_rate_bands", "a40_renewal_by_state",
     "b04_master_buckets_explicit", "b08_copartitioned_join", "d01_drift_time_series_orders", "d08_profile_lineitem",
-    "d15_custom_metric_drift",
+    "d15_custom_metric_drift", "d18_drift_on_exact_sample", "j02_heavy_key_join_stored",
 ]
 
 
