@@ -10,7 +10,7 @@ handful of rows per task, and a hot value (a third of all rows) is one row.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,15 +50,30 @@ class Layout:
         if len(self.slices) >= 1 << self.SLICE_BITS or len(self.columns) >= 1 << self.COL_BITS:
             raise ValueError("too many slices or columns for one monitor pass")
 
-    def group_key(self, window: Column) -> Column:
+    def window_key(self, window: Column) -> Column:
         day = F.coalesce(F.unix_date(window), F.lit(self.NO_WINDOW)).cast("long")
-        return ((day * (1 << self.SLICE_BITS) + F.col("slice_id")) * (1 << self.COL_BITS) + F.col("col_id")).alias("_g")
+        return day * (1 << (self.SLICE_BITS + self.COL_BITS))
+
+    def column_id(self, g: str) -> Column:
+        return F.pmod(F.col(g), F.lit(1 << self.COL_BITS)).cast("int")
+
+    def series(self, g: str) -> Column:
+        """A key without its window: the slice and the column."""
+        return F.col(g).bitwiseAND((1 << (self.SLICE_BITS + self.COL_BITS)) - 1).alias("_series")
+
+    def day(self, g: str) -> Column:
+        # an arithmetic shift: windows before 1970 give negative keys
+        return F.shiftright(F.col(g), self.SLICE_BITS + self.COL_BITS).cast("int")
+
+    def at_day(self, g: str, day: Column) -> Column:
+        """The key of the same slice and column at another day (null: no window)."""
+        return self.window_key(F.date_from_unix_date(day)) + self.series(g)
 
     def decode(self, g: str = "_g") -> dict[str, Column]:
         # pmod, not %: windows before 1970 give negative keys
-        col_id = F.pmod(F.col(g), F.lit(1 << self.COL_BITS)).cast("int")
+        col_id = self.column_id(g)
         slice_id = F.pmod(F.floor(F.col(g) / (1 << self.COL_BITS)), F.lit(1 << self.SLICE_BITS)).cast("int")
-        day = F.floor(F.col(g) / (1 << (self.COL_BITS + self.SLICE_BITS))).cast("int")
+        day = self.day(g)
         return {
             "window_start": F.when(day != self.NO_WINDOW, F.date_from_unix_date(day)),
             "slice": F.element_at(F.array(*[F.lit(s) for s in self.slices]), slice_id + 1),
@@ -68,13 +83,17 @@ class Layout:
 
 def long_value_counts(
     df: DataFrame,
-    group_cols: Mapping[str, Column],
+    window: Column,
     layout: Layout,
+    group_cols: Sequence[str] = (),
+    sample: Sequence[str] = (),
     slices_col: str | None = None,
     single_scan: bool = False,
 ) -> DataFrame:
-    """``(group..., slice_id, col_id, num, cat, n)``: rows per distinct value.
+    """``(_g, [_groups], [sample...], col_id, num, cat, n)``: rows per distinct value.
 
+    ``_g`` is the layout's key of window, slice and column, so the counting
+    hashes one ``long`` and the value; ``_groups`` holds ``group_cols``.
     Numeric columns carry their value in ``num`` (NaN counted as null, dates and
     timestamps as days since 1970),
     categorical ones in ``cat`` (as string).  Slice ids come from the layout's
@@ -87,17 +106,32 @@ def long_value_counts(
     """
     if not layout.columns:
         raise ValueError("no column to monitor")
-    labels = F.col(slices_col) if slices_col else slice_column(layout.slices[1:])
+    packed, groups = group_keys(group_cols)
+    slices = layout.slices[1:]
+    holds = [] if slices_col else [F.expr(p).alias(f"_slice{i}") for i, p in enumerate(slices, start=1)]
     base = df.select(
-        *[c.alias(n) for n, c in group_cols.items()],
-        F.explode(labels).alias("slice_id"),
+        layout.window_key(window).alias("_w"),
+        *groups,
+        *sample,
+        *([F.explode(slices_col).alias("slice_id")] if slices_col else holds),
         *[as_number(df, c).alias(c) for c in layout.numeric],
         *layout.categorical,
     )
-    keys = [*group_cols, "slice_id", "col_id"]
+    if not slices_col:
+        # plain comparisons, not an array built for every row
+        base = base.withColumn("slice_id", F.explode(F.array(*[F.lit(i) for i in range(len(holds) + 1)])) if holds else F.lit(0))
+        member = F.col("slice_id") == 0
+        for i in range(1, len(holds) + 1):
+            member = member | ((F.col("slice_id") == i) & F.col(f"_slice{i}"))
+        base = base.where(member)
+    base = base.withColumn("_w", F.col("_w") + F.col("slice_id") * F.lit(1 << layout.COL_BITS))
+    keys = [*packed, *sample]
+    rest = keys[1:]
+    key = (F.col("_w") + F.col("col_id")).alias("_g")
     count = F.count(F.lit(1)).alias("n")
+    col_id = layout.column_id("_g").alias("col_id")
+    none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
     if single_scan and layout.numeric and layout.categorical:
-        none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
         items = [
             F.struct(F.lit(i).alias("col_id"), F.col(c).alias("num"), none_s.alias("cat"))
             for i, c in enumerate(layout.numeric)
@@ -105,8 +139,8 @@ def long_value_counts(
             F.struct(F.lit(len(layout.numeric) + i).alias("col_id"), none_d.alias("num"), F.col(c).cast("string").alias("cat"))
             for i, c in enumerate(layout.categorical)
         ]
-        long = base.select(*group_cols, "slice_id", F.inline(F.array(*items)))
-        return long.groupBy(*keys, "num", "cat").agg(count).select(*keys, "num", "cat", "n")
+        long = base.select("_w", *rest, F.inline(F.array(*items))).select(key, *rest, "num", "cat")
+        return long.groupBy(*keys, "num", "cat").agg(count).select(*keys, col_id, "num", "cat", "n")
     parts = []
     if layout.numeric:
         items = [
@@ -114,22 +148,31 @@ def long_value_counts(
             for i, c in enumerate(layout.numeric)
         ]
         parts.append(
-            base.select(*group_cols, "slice_id", F.inline(F.array(*items)))
+            base.select("_w", *rest, F.inline(F.array(*items)))
+            .select(key, *rest, "num")
             .groupBy(*keys, "num")
             .agg(count)
-            .withColumn("cat", F.lit(None).cast("string"))
+            .withColumn("cat", none_s)
         )
     if layout.categorical:
         off = len(layout.numeric)
         items = [F.struct(F.lit(off + i).alias("col_id"), F.col(c).cast("string").alias("cat")) for i, c in enumerate(layout.categorical)]
         parts.append(
-            base.select(*group_cols, "slice_id", F.inline(F.array(*items)))
+            base.select("_w", *rest, F.inline(F.array(*items)))
+            .select(key, *rest, "cat")
             .groupBy(*keys, "cat")
             .agg(count)
-            .withColumn("num", F.lit(None).cast("double"))
+            .withColumn("num", none_d)
         )
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return out.select(*keys, "num", "cat", "n")
+    return out.select(*keys, col_id, "num", "cat", "n")
+
+
+def weighted_total(value: Column, weight: Column, scale: int | None = None) -> Column:
+    """Sum of ``value`` repeated ``weight`` times; with ``scale`` an exact decimal (see :func:`weighted_mean`)."""
+    if scale is None:
+        return F.sum(value * weight)
+    return F.sum(value.cast(T.DecimalType(18, scale)) * weight.cast(T.DecimalType(20, 0)))
 
 
 def weighted_mean(value: Column, weight: Column, scale: int | None = None) -> Column:
@@ -140,11 +183,7 @@ def weighted_mean(value: Column, weight: Column, scale: int | None = None) -> Co
     depend on summation order; otherwise a double sum.
     """
     w = F.when(value.isNotNull(), weight)
-    if scale is None:
-        total = F.sum(value * weight)
-    else:
-        total = F.sum(value.cast(T.DecimalType(18, scale)) * weight.cast(T.DecimalType(20, 0))).cast("double")
-    return F.try_divide(total, F.sum(w))
+    return F.try_divide(weighted_total(value, weight, scale).cast("double"), F.sum(w))
 
 
 def group_keys(groups: Sequence[str]) -> tuple[list[str], list[Column]]:
@@ -166,8 +205,7 @@ def profile_from_counts(
 ) -> DataFrame:
     """Profile metrics per ``(window, slice, [groups], column)`` from long value counts."""
     groups = list(group_cols)
-    keys, packed = group_keys(groups)
-    vc = vc.select(layout.group_key(F.col(window)), *packed, "col_id", "num", "cat", "n")
+    keys, _ = group_keys(groups)
     is_num = F.col("col_id") < len(layout.numeric)
     num = vc.where(is_num).select(*keys, F.col("num").alias("value"), "n")
     cat = vc.where(~is_num).select(*keys, F.col("cat").alias("value"), "n")

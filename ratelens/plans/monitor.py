@@ -8,8 +8,8 @@
 * separate tables: one table per month, every month against its predecessor
   (``drift_separate``)
 
-All three end in the same plan: long value counts -> paired counts ->
-metrics per ``(window_start, baseline_start, slice, column_name)``.
+All three end in the same plan: long value counts -> counts dealt by value
+range and paired -> metrics per ``(window_start, baseline_start, slice, column_name)``.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratelens.functions.columns import categorical_columns, numeric_columns, temporal_columns
-from ratelens.functions.lineage import materialize
+from ratelens.functions.lineage import stored
 from ratelens.operators.alerts import DEFAULT_RULES, Rule, alerts
 from ratelens.operators.drift_metrics import DRIFT_COLUMNS, categorical_drift, numeric_drift
-from ratelens.operators.profile import Layout, group_keys, long_value_counts, profile_from_counts, slice_column
+from ratelens.operators.profile import Layout, long_value_counts, profile_from_counts, slice_column
 
 DRIFT_KEYS = ["window_start", "baseline_start", "slice", "column_name"]
 _UNITS = {"day", "week", "month", "quarter", "year"}
@@ -44,7 +44,8 @@ def window_unit(window: str) -> str:
 
 def window_start(ts: str | Column, unit: str) -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.date_trunc(unit, c).cast("date")
+    day = c.cast("timestamp").cast("date")
+    return day if unit == "day" else F.trunc(day, unit)
 
 
 def shift_window(d: Column, unit: str, k: int = 1) -> Column:
@@ -95,26 +96,39 @@ def hash_sample(df: DataFrame, key_cols: Sequence[str], fraction: float) -> Data
 
 
 def _metrics(
-    paired: DataFrame,
+    vc: DataFrame,
     layout: Layout,
-    baseline_start: Column,
+    pair: Callable[[DataFrame], DataFrame],
+    baseline_start: Callable[[Column], Column],
     buckets: int | None,
     mean_scale: int | None,
     group_cols: Sequence[str] = (),
+    sample: Sequence[str] = (),
 ) -> DataFrame:
-    """Drift metrics for a paired count frame ``(window_start, [groups], slice_id, col_id, num, cat, n_b, n_c)``."""
+    """Drift metrics from the stored counts ``(_g, [_groups], [sample columns], col_id, num, cat, n)`` of every sample.
+
+    ``pair`` gives a sample's rows to the comparisons it takes part in (see ``numeric_drift``).
+    """
     groups = list(group_cols)
-    keys, packed = group_keys(groups)
-    g = paired.select(layout.group_key(F.col("window_start")), *packed, "col_id", "num", "cat", "n_b", "n_c")
+    keys = ["_g", "_groups"] if groups else ["_g"]
+    of_sample = [*keys, *sample]
     is_num = F.col("col_id") < len(layout.numeric)
-    num = g.where(is_num).select(*keys, F.col("num").alias("value"), "n_b", "n_c")
-    cat = g.where(~is_num).select(*keys, F.col("cat").alias("value"), "n_b", "n_c")
-    out = numeric_drift(num, keys, buckets=buckets, mean_scale=mean_scale).unionByName(categorical_drift(cat, keys))
+    parts = []
+    if layout.numeric:
+        num = vc.where(is_num).select(*of_sample, layout.series("_g"), F.col("num").alias("value"), "n")
+        parts.append(numeric_drift(num, keys, of_sample, pair, buckets, mean_scale))
+    if layout.categorical:
+        cat = pair(vc.where(~is_num).select(*of_sample, F.col("cat").alias("value"), "n")).groupBy(*keys, "value").agg(
+            F.sum(F.when(F.col("_is_b"), F.col("n")).otherwise(0)).alias("n_b"),
+            F.sum(F.when(F.col("_is_b"), 0).otherwise(F.col("n"))).alias("n_c"),
+        )
+        parts.append(categorical_drift(cat, keys))
+    out = functools.reduce(DataFrame.unionByName, parts)
     names = layout.decode()
     ws = names["window_start"]
     return out.select(
         ws.alias("window_start"),
-        (baseline_start if isinstance(baseline_start, Column) else baseline_start(ws)).alias("baseline_start"),
+        baseline_start(ws).alias("baseline_start"),
         names["slice"].alias("slice"),
         *[F.col("_groups").getField(c).alias(c) for c in groups],
         names["column_name"].alias("column_name"),
@@ -131,30 +145,32 @@ def _drift_from_window_counts(
     group_cols: Sequence[str] = (),
     listed: Sequence[Column] | None = None,
 ) -> DataFrame:
-    """Pair every window's counts with the previous window's (one union + aggregate).
+    """Pair every window's counts with the previous window's.
 
-    The paired count frame (one row per window, slice, column and distinct
-    value) is materialized once; the metric aggregates read it from there.
+    The counts (one row per window, slice, column and distinct value) are
+    stored once; a window's rows are current in its own comparison and
+    baseline in the next one, which they join after the shuffle only.
     Metrics come for the ``listed`` windows, else for all up to the last one
     with rows and for rows without a window, which have no baseline.
     """
-    cols = [*group_cols, "slice_id", "col_id", "num", "cat"]
-    cur = vc.select(F.col("ws").alias("window_start"), *cols, F.lit(0).cast("long").alias("n_b"), F.col("n").alias("n_c"))
-    base = vc.where(F.col("ws").isNotNull()).select(
-        shift_window(F.col("ws"), unit).alias("window_start"), *cols, F.col("n").alias("n_b"), F.lit(0).cast("long").alias("n_c")
-    )
-    paired = (
-        cur.unionByName(base).groupBy("window_start", *cols).agg(F.sum("n_b").alias("n_b"), F.sum("n_c").alias("n_c"))
-    )
-    paired = materialize(paired)
-    at = F.col("window_start")
+    vc = stored(vc)
+    day = layout.day("_g")
     if listed is None:
         # baselines shifted past the last window are no windows
-        last = paired.where("n_c > 0").agg(F.max(at)).first()[0]
-        paired = paired.where(at.isNull() | (at <= F.lit(last).cast("date")))
+        last = vc.select(F.max(F.when(day != layout.NO_WINDOW, day))).first()[0]
+        wanted = F.col("_day").isNull() | (F.col("_day") <= F.lit(last).cast("int"))
     else:
-        paired = paired.where(at.isin(*listed))
-    return _metrics(paired, layout, lambda ws: shift_window(ws, unit, -1), buckets, mean_scale, group_cols)
+        wanted = F.col("_day").isin(*[F.unix_date(d) for d in listed])
+
+    def pair(df: DataFrame) -> DataFrame:
+        shifted = F.unix_date(shift_window(F.date_from_unix_date(day), unit))
+        both = df.withColumn("_is_b", F.explode(F.array(F.lit(False), F.lit(True))))
+        own = F.when(day != layout.NO_WINDOW, day)
+        both = both.withColumn("_day", F.when(F.col("_is_b"), F.when(day != layout.NO_WINDOW, shifted)).otherwise(own))
+        both = both.where(wanted & (~F.col("_is_b") | F.col("_day").isNotNull()))
+        return both.withColumn("_g", layout.at_day("_g", F.col("_day"))).drop("_day")
+
+    return _metrics(vc, layout, pair, lambda ws: shift_window(ws, unit, -1), buckets, mean_scale, group_cols)
 
 
 def drift_time_series(
@@ -192,8 +208,7 @@ def drift_time_series(
         ]
         return functools.reduce(DataFrame.unionByName, parts)
     layout = Layout(num, cat, slices)
-    groups = {"ws": window_start(ts_col, unit), **{c: F.col(c) for c in group_cols}}
-    vc = long_value_counts(df, groups, layout)
+    vc = long_value_counts(df, window_start(ts_col, unit), layout, group_cols)
     return _drift_from_window_counts(vc, layout, unit, buckets, mean_scale, group_cols)
 
 
@@ -220,13 +235,10 @@ def drift_snapshot(
     tagged = current.select(F.lit(0).alias("_b"), sl, *layout.columns).unionByName(
         baseline.select(F.lit(1).alias("_b"), sl, *layout.columns)
     )
-    vc = long_value_counts(tagged, {"_b": F.col("_b")}, layout, slices_col="_slices", single_scan=True)
-    paired = vc.groupBy("slice_id", "col_id", "num", "cat").agg(
-        F.sum(F.when(F.col("_b") == 1, F.col("n")).otherwise(0)).alias("n_b"),
-        F.sum(F.when(F.col("_b") == 0, F.col("n")).otherwise(0)).alias("n_c"),
-    )
-    paired = materialize(paired.withColumn("window_start", cs))
-    out = _metrics(paired, layout, bs, buckets, mean_scale)
+    tagged = tagged.withColumn("_is_b", F.col("_b") == 1)
+    # one comparison, whose window only labels the rows
+    vc = stored(long_value_counts(tagged, F.lit(None).cast("date"), layout, sample=["_is_b"], slices_col="_slices", single_scan=True))
+    out = _metrics(vc, layout, lambda df: df, lambda _: bs, buckets, mean_scale, sample=["_is_b"])
     return out.withColumn("window_start", cs)
 
 
@@ -255,7 +267,7 @@ def drift_separate(
     for y, m in needed:
         t = resolve(y, m).select(F.make_date(F.lit(y), F.lit(m), F.lit(1)).alias("_ws"), sl, *layout.columns)
         tagged = t if tagged is None else tagged.unionByName(t)
-    vc = long_value_counts(tagged, {"ws": F.col("_ws")}, layout, slices_col="_slices", single_scan=True)
+    vc = long_value_counts(tagged, F.col("_ws"), layout, slices_col="_slices", single_scan=True)
     listed = [F.make_date(F.lit(y), F.lit(m), F.lit(1)) for y, m in sorted(set(months))]
     return _drift_from_window_counts(vc, layout, "month", buckets, mean_scale, listed=listed)
 
@@ -273,8 +285,7 @@ def profile(
     """Profile metrics per ``(window_start, slice, [group_cols], column_name)``."""
     unit = window_unit(window)
     layout = Layout(*split_columns(df, columns, [ts_col, *group_cols]), slices)
-    groups = {"window_start": window_start(ts_col, unit), **{c: F.col(c) for c in group_cols}}
-    vc = materialize(long_value_counts(df, groups, layout))
+    vc = stored(long_value_counts(df, window_start(ts_col, unit), layout, group_cols))
     return profile_from_counts(vc, layout, "window_start", buckets, mean_scale, group_cols)
 
 

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +203,68 @@ def test_dates_drift_in_days(spark):
     df = spark.createDataFrame(rows, "t date, d date").withColumn("ts", F.col("d").cast("timestamp_ntz"))
     got = {r.column_name: r for r in M.drift_time_series(df, "t").where("status = 'OK'").collect()}
     assert set(got) == {"d", "ts"} and all(r.wasserstein_distance == pytest.approx(10.0) for r in got.values())
+
+
+def _read_counted(spark, rows, schema):
+    """A table that counts how many of its rows are read."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(seen), schema), read
+
+
+def test_counts_come_from_one_read(spark):
+    rows = [(dt.datetime(2025, m, 5), float(v * m)) for m in (1, 2, 3) for v in range(20)]
+    df, read = _read_counted(spark, rows, "ts timestamp_ntz, x double")
+    assert M.drift_time_series(df, "ts", ["x"]).count() == 3
+    assert read.value == len(rows)
+
+
+def test_ranges_of_values_equal_brute_force(spark):
+    """Ties, nulls, a hot value, empty ranges and a null group, in one range and in many."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for m, shift in ((1, 0.0), (2, 5.0), (4, 40.0)):
+        for g in ("a", None):
+            x = np.round(rng.normal(shift, 20, 300), 1)
+            x[:100] = 7.0
+            rows += [(dt.datetime(2025, m, 5), g, float(v)) for v in x] + [(dt.datetime(2025, m, 5), g, None)] * 3
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, g string, x double")
+    for buckets in (1, 5, 37):
+        got = {(r.window_start.month, r.g): r for r in M.drift_time_series(df, "ts", ["x"], group_cols=["g"], buckets=buckets).collect()}
+        assert set(got) == {(m, g) for m in (1, 2, 3, 4) for g in ("a", None)}
+        for g in ("a", None):
+            b, c = (np.sort([r[2] for r in rows if r[0].month == m and r[1] == g and r[2] is not None]) for m in (1, 2))
+            x = np.unique(np.concatenate([b, c]))
+            gap = np.abs(np.searchsorted(b, x, "right") / len(b) - np.searchsorted(c, x, "right") / len(c))
+            edges = np.unique([b[0], *np.quantile(b, np.arange(1, 10) / 10)])
+            bins = [np.where(s > b[-1], 99, np.searchsorted(edges, s, "right")) for s in (b, c)]
+            p, q = (np.bincount(k, minlength=100) / len(k) for k in bins)
+            both = (p + q) / 2
+            js = sum(0.5 * (s[s > 0] * np.log2(s[s > 0] / both[s > 0])).sum() for s in (p, q))
+            r = got[2, g]
+            assert (r.status, r.n_baseline, r.n_current, r.ks_stat) == ("OK", 300, 300, gap.max())
+            assert r.wasserstein_distance == pytest.approx((gap[:-1] * np.diff(x)).sum())
+            assert r.wasserstein_norm == pytest.approx((gap[:-1] * np.diff(x)).sum() / b.std(ddof=1))
+            assert r.js_divergence == pytest.approx(js)
+            assert got[3, g].status == "NO_CURRENT" and got[4, g].status == "NO_BASELINE" and got[4, g].ks_stat is None
+
+
+def test_monthly_tables_are_written_in_one_read(spark, monkeypatch):
+    from ratelens.plans import catalogue as C
+
+    rows = [(dt.datetime(2025, m, 5), float(v * m), "R") for m in (1, 2, 3, 5) for v in range(10)] + [(None, 1.0, "R")]
+    df, read = _read_counted(spark, rows, "l_shipdate timestamp_ntz, l_extendedprice double, l_returnflag string")
+    monkeypatch.setattr(C, "_li", lambda spark, sf_dir: df)
+    got = C.QUERIES["d03_drift_separate_monthly_tables"](spark, "").collect()
+    status = {(r.window_start.month, r.column_name): r.status for r in got}
+    assert status == {
+        (m, c): s
+        for m, s in ((1, "NO_BASELINE"), (2, "OK"), (3, "OK"), (4, "NO_CURRENT"), (5, "NO_BASELINE"))
+        for c in ("l_extendedprice", "l_returnflag")
+    }
+    # the range of months, and the write
+    assert read.value == 2 * len(rows)
