@@ -449,6 +449,7 @@ def _b08e(spark, sf_dir):
 
 
 # ====================================================================== part C
+from ratelens.functions.lineage import shared_path  # noqa: E402
 from ratelens.operators.alerts import Rule, alerts  # noqa: E402
 from ratelens.operators.heavy_join import join_heavy  # noqa: E402
 from ratelens.operators.sample import exact_sample  # noqa: E402
@@ -545,10 +546,14 @@ def _month_range(df: DataFrame, ts: str) -> list[tuple[int, int]]:
 )
 def _d03(spark, sf_dir):
     li = _li(spark, sf_dir)
+    # the monthly tables, written in one pass: a resolved month is read from its own files
+    path = shared_path(spark, "monthly")
+    tables = li.select(F.trunc(F.col("l_shipdate").cast("date"), "month").alias("month_start"), "l_extendedprice", "l_returnflag")
+    tables.where("month_start IS NOT NULL").write.partitionBy("month_start").parquet(path)
+    tables = spark.read.schema(tables.schema).parquet(path)
 
     def resolve(y: int, m: int) -> DataFrame:  # the month's "separate table"
-        start = F.make_timestamp_ntz(F.lit(y), F.lit(m), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-        return li.where((F.col("l_shipdate") >= start) & (F.col("l_shipdate") < F.add_months(start, 1).cast("timestamp_ntz")))
+        return tables.where(F.col("month_start") == F.make_date(F.lit(y), F.lit(m), F.lit(1))).drop("month_start")
 
     out = M.drift_separate(resolve, _month_range(li, "l_shipdate"), ["l_extendedprice", "l_returnflag"], mean_scale=4)
     return _round(out, *DRIFT_ROUND)
@@ -646,7 +651,6 @@ def _d19(spark, sf_dir):
 
 # ---------------------------------------------------------------- wide and incremental monitors
 
-from ratelens.functions.lineage import shared_path  # noqa: E402
 from ratelens.plans import wide_monitor as W  # noqa: E402
 
 SKETCH_ROUND = ("null_rate_delta", "mean_drift", "ks_stat", *DRIFT_ROUND, "ks_error", "wasserstein_error")
