@@ -61,67 +61,29 @@ def summary_statistics(df: DataFrame) -> DataFrame:
     """``describe()``: count / mean / stddev / min / max of every numeric and
     string column, as strings, one row per statistic.
 
-    One aggregate per column x statistic over a wide table exceeds the
-    codegen field limit and runs interpreted.  Instead numeric columns are
-    exploded to one long row per column (a single Generate) and aggregated
-    by column with fixed-width, codegen'd hash aggregates; string columns
-    (min/max buffers are variable-width) get one global aggregate, which
-    needs no sort.  The few dozen result rows are pivoted back to one
-    column per field.
+    One global aggregate over one read, so the joins behind a wide view run
+    once; it needs no sort, and a task sends on one row.  The few dozen
+    results are turned to one row per column and statistic and pivoted back
+    to one column per field.
     """
     fields = [f for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.StringType))]
     if not fields:
         return df.sparkSession.createDataFrame([(s,) for s in _SUMMARY], "summary string")
-    idx = {f.name: i for i, f in enumerate(fields)}
-    nums = [f for f in fields if isinstance(f.dataType, T.NumericType)]
-    strs = [f for f in fields if isinstance(f.dataType, T.StringType)]
-    parts = []
-    if nums:
-        items = [
-            F.struct(
-                F.lit(idx[f.name]).alias("i"),
-                F.col(f.name).cast("double").alias("d"),
-                (F.col(f.name).cast("long") if isinstance(f.dataType, T.IntegralType) else F.lit(None).cast("long")).alias("l"),
-            )
-            for f in nums
-        ]
-        parts.append(
-            df.select(F.inline(F.array(*items)))
-            .groupBy("i")
-            .agg(
-                F.count("d").cast("string").alias("count"),
-                F.avg("d").cast("string").alias("mean"),
-                F.stddev("d").cast("string").alias("stddev"),
-                F.coalesce(F.min("l").cast("string"), F.min("d").cast("string")).alias("min"),
-                F.coalesce(F.max("l").cast("string"), F.max("d").cast("string")).alias("max"),
-            )
-        )
-    if strs:
-        one = df.agg(
-            *[F.count(f.name).cast("string").alias(f"c{k}") for k, f in enumerate(strs)],
-            *[F.min(f.name).alias(f"lo{k}") for k, f in enumerate(strs)],
-            *[F.max(f.name).alias(f"hi{k}") for k, f in enumerate(strs)],
-        )
-        none = F.lit(None).cast("string")
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(idx[f.name]).alias("i"),
-                    F.col(f"c{k}").alias("count"),
-                    none.alias("mean"),
-                    none.alias("stddev"),
-                    F.col(f"lo{k}").alias("min"),
-                    F.col(f"hi{k}").alias("max"),
-                )
-                for k, f in enumerate(strs)
-            ]
-        )
-        parts.append(one.select(F.inline(rows)))
-    stats = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    aggs, rows = [], []
+    for i, f in enumerate(fields):
+        c, number = F.col(f.name), isinstance(f.dataType, T.NumericType)
+        # decimals and floats as doubles, integers as longs, strings as they are
+        ordered = c.cast("long") if isinstance(f.dataType, T.IntegralType) else c.cast("double") if number else c
+        aggs += [F.count(c).alias(f"count{i}"), F.min(ordered).alias(f"min{i}"), F.max(ordered).alias(f"max{i}")]
+        if number:
+            aggs += [F.avg(c.cast("double")).alias(f"mean{i}"), F.stddev(c.cast("double")).alias(f"stddev{i}")]
+        values = {s: F.col(f"{s}{i}") if number or s not in ("mean", "stddev") else F.lit(None) for s in _SUMMARY}
+        rows.append(F.struct(F.lit(i).alias("i"), *[v.cast("string").alias(s) for s, v in values.items()]))
+    stats = df.agg(*aggs).select(F.inline(F.array(*rows)))
     tall = stats.unpivot(["i"], list(_SUMMARY), "summary", "value")
     rank = F.array_position(F.array(*[F.lit(x) for x in _SUMMARY]), F.col("summary"))
     wide = tall.groupBy("summary").pivot("i", list(range(len(fields)))).agg(F.first("value"))
-    return wide.orderBy(rank).select("summary", *[F.col(str(idx[f.name])).alias(f.name) for f in fields])
+    return wide.orderBy(rank).select("summary", *[F.col(str(i)).alias(f.name) for i, f in enumerate(fields)])
 
 
 _SUMMARY = ("count", "mean", "stddev", "min", "max")

@@ -49,3 +49,18 @@ def test_reports_prune_columns(spark):
     cols = [c.split("#")[0] for c in scan.split("FileScan parquet [")[1].split("]")[0].split(",")]
     # rec_id (counted) needs the four key columns; amounts need price and discount
     assert cols == ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount"]
+
+
+def test_summary_statistics_read_the_table_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    rows = spark.sparkContext.parallelize([(1, 2.5, "b"), (None, float(3), "a"), (3, None, None)], 2).map(seen)
+    got = R.summary_statistics(spark.createDataFrame(rows, "n int, x double, s string")).collect()
+    assert read.value == 3
+    assert [tuple(r) for r in got if r.summary in ("count", "min", "max")] == [
+        ("count", "2", "2", "2"), ("min", "1", "2.5", "a"), ("max", "3", "3.0", "b"),
+    ]
